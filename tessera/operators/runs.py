@@ -3,10 +3,10 @@
 from ..plans import views  # noqa: F401
 from ..plans.core import Plan, collect
 
-_W = lambda k, n: f"""round(({k} / {n} + 3.8416e0 / (2 * {n}) - 1.96e0 * sqrt(({k} / {n} * (1 - {k} / {n}) + 3.8416e0 / (4 * {n})) / {n})) / (1 + 3.8416e0 / {n}), 6) AS lo,
-  round(({k} / {n} + 3.8416e0 / (2 * {n}) + 1.96e0 * sqrt(({k} / {n} * (1 - {k} / {n}) + 3.8416e0 / (4 * {n})) / {n})) / (1 + 3.8416e0 / {n}), 6) AS hi"""
-_F1 = """round(coalesce(tp * 1e0 / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp * 1e0 / nullif(tp + fn, 0), 0), 6) AS recall,
-  round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"""
+_W = lambda k, n: f"""round(({k} / {n} + 3.8416e0 / (2 * {n}) - 1.96e0 * sqrt(({k} / {n} * (1 - {k} / {n}) + 3.8416e0 / (4 * {n})) / {n})) / (1 + 3.8416e0 / {n}), 9) AS lo,
+  round(({k} / {n} + 3.8416e0 / (2 * {n}) + 1.96e0 * sqrt(({k} / {n} * (1 - {k} / {n}) + 3.8416e0 / (4 * {n})) / {n})) / (1 + 3.8416e0 / {n}), 9) AS hi"""
+_F1 = """round(coalesce(tp * 1e0 / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp * 1e0 / nullif(tp + fn, 0), 0), 9) AS recall,
+  round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1"""
 
 QUERIES = collect(
     # projections and filters
@@ -38,24 +38,24 @@ QUERIES = collect(
     # aggregates
     Plan("docs_per_source", "SELECT source, count(*) AS n FROM {documents} GROUP BY source"),
     Plan("label_distribution", "SELECT split, dataset, gold, count(*) AS n FROM {runs} GROUP BY split, dataset, gold"),
-    Plan("accuracy_by_model", "SELECT model, dataset, round(avg(CASE WHEN strict THEN 1e0 ELSE 0e0 END), 6) AS strict, round(avg(CASE WHEN correct THEN 1e0 ELSE 0e0 END), 6) AS fallback, round(avg(CASE WHEN coalesce(parsed, true) THEN 1e0 ELSE 0e0 END), 6) AS parse_rate, round(avg(CASE WHEN coalesce(truncated, false) THEN 1e0 ELSE 0e0 END), 6) AS trunc_rate FROM {answerable} GROUP BY model, dataset"),
-    Plan("run_summary", "SELECT model, coalesce(dataset, 'overall') AS dataset, count(*) AS n, count_if(correct) AS correct, count_if(coalesce(parsed, true)) AS parsed, round(avg(seconds), 6) AS mean_seconds FROM {answers} GROUP BY GROUPING SETS ((model, dataset), (model))"),
-    Plan("stage_summary", "SELECT model, dataset, count_if(strict) AS strict, count_if(correct) AS fallback, count_if(coalesce(truncated, false)) AS trunc, round(avg(seconds), 6) AS s_per_q FROM {answers} WHERE NOT should_abstain OR control GROUP BY model, dataset"),
-    Plan("model_cell", f"SELECT model, k, n, round(k / n, 6) AS rate, {_W('k', 'n')} FROM (SELECT model, count_if(strict) * 1e0 AS k, count(*) * 1e0 AS n FROM {{answerable}} GROUP BY model) AS x"),
+    Plan("accuracy_by_model", "SELECT model, dataset, round(avg(CASE WHEN strict THEN 1e0 ELSE 0e0 END), 9) AS strict, round(avg(CASE WHEN correct THEN 1e0 ELSE 0e0 END), 9) AS fallback, round(avg(CASE WHEN coalesce(parsed, true) THEN 1e0 ELSE 0e0 END), 9) AS parse_rate, round(avg(CASE WHEN coalesce(truncated, false) THEN 1e0 ELSE 0e0 END), 9) AS trunc_rate FROM {answerable} GROUP BY model, dataset"),
+    Plan("run_summary", "SELECT model, coalesce(dataset, 'overall') AS dataset, count(*) AS n, count_if(correct) AS correct, count_if(coalesce(parsed, true)) AS parsed, round(avg(seconds), 9) AS mean_seconds FROM {answers} GROUP BY GROUPING SETS ((model, dataset), (model))"),
+    Plan("stage_summary", "SELECT model, dataset, count_if(strict) AS strict, count_if(correct) AS fallback, count_if(coalesce(truncated, false)) AS trunc, round(avg(seconds), 9) AS s_per_q FROM {answers} WHERE NOT should_abstain OR control GROUP BY model, dataset"),
+    Plan("model_cell", f"SELECT model, k, n, round(k / n, 9) AS rate, {_W('k', 'n')} FROM (SELECT model, count_if(strict) * 1e0 AS k, count(*) * 1e0 AS n FROM {{answerable}} GROUP BY model) AS x"),
     Plan("wilson", f"SELECT dataset, {_W('k', 'n')} FROM (SELECT dataset, count_if(correct) * 1e0 AS k, count(*) * 1e0 AS n FROM {{answerable}} GROUP BY dataset) AS x"),
-    Plan("efficiency", "SELECT model, round(avg(seconds), 6) AS mean_s, round(median(seconds), 6) AS median_s, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY seconds), 6) AS p90_s, round(avg(gen_tokens), 6) AS mean_tokens, round(avg(gen_tokens) / avg(seconds), 6) AS tok_s, count_if(top_rerank_score IS NULL) AS excluded FROM {runs} GROUP BY model"),
-    Plan("latency_p95", "SELECT model, round(seconds, 6) AS p95 FROM (SELECT model, seconds, row_number() OVER (PARTITION BY model ORDER BY seconds, id) - 1 AS k, count(*) OVER (PARTITION BY model) AS n FROM {runs}) AS x WHERE k = CAST(floor(0.95e0 * n) AS BIGINT)"),
-    Plan("throughput_sum", "SELECT model, round(sum(gen_tokens) / sum(seconds), 6) AS tok_s FROM {runs} GROUP BY model"),
+    Plan("efficiency", "SELECT model, round(avg(seconds), 9) AS mean_s, round(median(seconds), 9) AS median_s, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY seconds), 9) AS p90_s, round(avg(gen_tokens), 9) AS mean_tokens, round(avg(gen_tokens) / avg(seconds), 9) AS tok_s, count_if(top_rerank_score IS NULL) AS excluded FROM {runs} GROUP BY model"),
+    Plan("latency_p95", "SELECT model, round(seconds, 9) AS p95 FROM (SELECT model, seconds, row_number() OVER (PARTITION BY model ORDER BY seconds, id) - 1 AS k, count(*) OVER (PARTITION BY model) AS n FROM {runs}) AS x WHERE k = CAST(floor(0.95e0 * n) AS BIGINT)"),
+    Plan("throughput_sum", "SELECT model, round(sum(gen_tokens) / sum(seconds), 9) AS tok_s FROM {runs} GROUP BY model"),
     Plan("majority_vote", "SELECT qid, pred AS majority, votes / 5e0 AS agreement, distinct_answers FROM (SELECT qid, pred, votes, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, first_at) AS k, count(*) OVER (PARTITION BY qid) AS distinct_answers FROM (SELECT qid, pred, count(*) AS votes, min(id) AS first_at FROM {runs} WHERE pred IS NOT NULL GROUP BY qid, pred) AS v) AS x WHERE k = 1"),
     Plan("category_breakdown", "SELECT category, control, count(*) AS n, count_if(pred IS NULL) AS abstained FROM {runs} WHERE should_abstain GROUP BY category, control"),
     Plan("confusion_matrix", "SELECT gold, count_if(pred = 'A') AS a, count_if(pred = 'B') AS b, count_if(pred = 'C') AS c, count_if(pred = 'D') AS d FROM {answerable} GROUP BY gold"),
     Plan("prf_multiclass", f"SELECT label, {_F1} FROM (SELECT label, count_if(gold = label AND pred = label) AS tp, count_if(gold <> label AND pred = label) AS fp, count_if(gold = label AND (pred IS NULL OR pred <> label)) AS fn FROM {{answerable}} CROSS JOIN (VALUES ('A'), ('B'), ('C'), ('D')) AS l(label) GROUP BY label) AS x"),
-    Plan("macro_f1", "SELECT model, round(avg(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS macro_f1 FROM (SELECT model, label, count_if(gold = label AND pred = label) AS tp, count_if(gold <> label AND pred = label) AS fp, count_if(gold = label AND (pred IS NULL OR pred <> label)) AS fn FROM {answerable} CROSS JOIN (VALUES ('A'), ('B'), ('C'), ('D')) AS l(label) GROUP BY model, label) AS x GROUP BY model"),
-    Plan("rule_metrics", f"SELECT model, tp, fp, fn, tn, {_F1}, round(fp * 1e0 / nullif(fp + tn, 0), 6) AS far FROM (SELECT model, count_if(should_abstain AND confidence < 0.5e0) AS tp, count_if(NOT should_abstain AND confidence < 0.5e0) AS fp, count_if(should_abstain AND confidence >= 0.5e0) AS fn, count_if(NOT should_abstain AND confidence >= 0.5e0) AS tn FROM {{answers}} GROUP BY model) AS x"),
-    Plan("safety_metrics", "SELECT model, round(avg(CASE WHEN should_abstain THEN NULL WHEN confidence >= 0.5e0 THEN 1e0 ELSE 0e0 END), 6) AS coverage, round(avg(CASE WHEN NOT should_abstain AND confidence >= 0.5e0 THEN CASE WHEN strict THEN 1e0 ELSE 0e0 END END), 6) AS accuracy, round(avg(CASE WHEN confidence >= 0.5e0 AND (should_abstain OR NOT strict) THEN 1e0 ELSE 0e0 END), 6) AS unsafe FROM {answers} GROUP BY model"),
-    Plan("idk_pool_metrics", "SELECT split, count(*) AS n, count_if(pred IS NULL AND should_abstain) AS right_idk, count_if(pred IS NULL AND NOT should_abstain) AS wrong_idk, round(avg(CASE WHEN should_abstain THEN 1e0 ELSE 0e0 END), 6) AS always_abstain FROM {answers} GROUP BY split"),
+    Plan("macro_f1", "SELECT model, round(avg(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0)), 9) AS macro_f1 FROM (SELECT model, label, count_if(gold = label AND pred = label) AS tp, count_if(gold <> label AND pred = label) AS fp, count_if(gold = label AND (pred IS NULL OR pred <> label)) AS fn FROM {answerable} CROSS JOIN (VALUES ('A'), ('B'), ('C'), ('D')) AS l(label) GROUP BY model, label) AS x GROUP BY model"),
+    Plan("rule_metrics", f"SELECT model, tp, fp, fn, tn, {_F1}, round(fp * 1e0 / nullif(fp + tn, 0), 9) AS far FROM (SELECT model, count_if(should_abstain AND confidence < 0.5e0) AS tp, count_if(NOT should_abstain AND confidence < 0.5e0) AS fp, count_if(should_abstain AND confidence >= 0.5e0) AS fn, count_if(NOT should_abstain AND confidence >= 0.5e0) AS tn FROM {{answers}} GROUP BY model) AS x"),
+    Plan("safety_metrics", "SELECT model, round(avg(CASE WHEN should_abstain THEN NULL WHEN confidence >= 0.5e0 THEN 1e0 ELSE 0e0 END), 9) AS coverage, round(avg(CASE WHEN NOT should_abstain AND confidence >= 0.5e0 THEN CASE WHEN strict THEN 1e0 ELSE 0e0 END END), 9) AS accuracy, round(avg(CASE WHEN confidence >= 0.5e0 AND (should_abstain OR NOT strict) THEN 1e0 ELSE 0e0 END), 9) AS unsafe FROM {answers} GROUP BY model"),
+    Plan("idk_pool_metrics", "SELECT split, count(*) AS n, count_if(pred IS NULL AND should_abstain) AS right_idk, count_if(pred IS NULL AND NOT should_abstain) AS wrong_idk, round(avg(CASE WHEN should_abstain THEN 1e0 ELSE 0e0 END), 9) AS always_abstain FROM {answers} GROUP BY split"),
     Plan("discordant_counts", "SELECT dataset, count_if(sa AND sb) AS a, count_if(sa AND NOT sb) AS b, count_if(NOT sa AND sb) AS c, count_if(NOT sa AND NOT sb) AS d FROM {pairs} GROUP BY dataset"),
-    Plan("budget_hours", "SELECT model, round(avg(seconds) * count(*) / 3600, 6) AS hours FROM {runs} GROUP BY model"),
+    Plan("budget_hours", "SELECT model, round(avg(seconds) * count(*) / 3600, 9) AS hours FROM {runs} GROUP BY model"),
     Plan("duplicate_ids", "SELECT conv_id, count(*) AS n FROM {conversations} GROUP BY conv_id HAVING count(*) > 1"),
     Plan("schema_conformance", "SELECT split, count(*) AS n, count_if(gold IS NULL AND NOT should_abstain) AS no_gold, count_if(gold IS NOT NULL AND should_abstain) AS extra_gold, count_if(pred NOT IN ('A', 'B', 'C', 'D')) AS bad_pred FROM {runs} GROUP BY split"),
     # sets
@@ -70,7 +70,7 @@ QUERIES = collect(
     Plan("shard_assign", "SELECT id, (row_number() OVER (PARTITION BY model ORDER BY id) - 1) % 4 AS shard FROM {runs}"),
     Plan("batch_assign", "SELECT id, CAST(floor((row_number() OVER (PARTITION BY model ORDER BY gen_tokens DESC, id) - 1) / 32e0) AS BIGINT) AS batch FROM {runs}"),
     Plan("head_n", "SELECT id, model FROM {runs} ORDER BY id LIMIT 80"),
-    Plan("ir_metrics", "SELECT count(*) AS n, round(avg(CASE WHEN first_hit <= 1 THEN 1e0 ELSE 0e0 END), 6) AS r1, round(avg(CASE WHEN first_hit <= 5 THEN 1e0 ELSE 0e0 END), 6) AS r5, round(avg(CASE WHEN first_hit <= 10 THEN 1e0 ELSE 0e0 END), 6) AS r10, round(avg(CASE WHEN first_hit <= 20 THEN 1e0 ELSE 0e0 END), 6) AS r20, round(avg(hits5 * 1e0 / least(5, n)), 6) AS p5, round(avg(CASE WHEN first_hit <= 10 THEN 1e0 / first_hit ELSE 0e0 END), 6) AS mrr10, round(avg(coalesce(ap / nullif(hits10, 0), 0)), 6) AS map10, round(avg(coalesce(dcg / nullif(idcg, 0), 0)), 6) AS ndcg10 FROM (SELECT qid, count(*) AS n, min(CASE WHEN relevant THEN r END) AS first_hit, count_if(relevant AND r <= 5) AS hits5, count_if(relevant AND r <= 10) AS hits10, sum(CASE WHEN relevant AND r <= 10 THEN seen * 1e0 / r ELSE 0e0 END) AS ap, sum(CASE WHEN relevant AND r <= 10 THEN 1 / log2(r + 1) ELSE 0e0 END) AS dcg, sum(CASE WHEN relevant AND r <= 10 THEN 1 / log2(seen + 1) ELSE 0e0 END) AS idcg FROM (SELECT qid, relevant, dense_rank AS r, sum(CASE WHEN relevant THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY dense_rank) AS seen FROM {ranked}) AS s GROUP BY qid) AS q"),
+    Plan("ir_metrics", "SELECT count(*) AS n, round(avg(CASE WHEN first_hit <= 1 THEN 1e0 ELSE 0e0 END), 9) AS r1, round(avg(CASE WHEN first_hit <= 5 THEN 1e0 ELSE 0e0 END), 9) AS r5, round(avg(CASE WHEN first_hit <= 10 THEN 1e0 ELSE 0e0 END), 9) AS r10, round(avg(CASE WHEN first_hit <= 20 THEN 1e0 ELSE 0e0 END), 9) AS r20, round(avg(hits5 * 1e0 / least(5, n)), 9) AS p5, round(avg(CASE WHEN first_hit <= 10 THEN 1e0 / first_hit ELSE 0e0 END), 9) AS mrr10, round(avg(coalesce(ap / nullif(hits10, 0), 0)), 9) AS map10, round(avg(coalesce(dcg / nullif(idcg, 0), 0)), 9) AS ndcg10 FROM (SELECT qid, count(*) AS n, min(CASE WHEN relevant THEN r END) AS first_hit, count_if(relevant AND r <= 5) AS hits5, count_if(relevant AND r <= 10) AS hits10, sum(CASE WHEN relevant AND r <= 10 THEN seen * 1e0 / r ELSE 0e0 END) AS ap, sum(CASE WHEN relevant AND r <= 10 THEN 1 / log2(r + 1) ELSE 0e0 END) AS dcg, sum(CASE WHEN relevant AND r <= 10 THEN 1 / log2(seen + 1) ELSE 0e0 END) AS idcg FROM (SELECT qid, relevant, dense_rank AS r, sum(CASE WHEN relevant THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY dense_rank) AS seen FROM {ranked}) AS s GROUP BY qid) AS q"),
     Plan("split_sample", "SELECT qid FROM (SELECT qid, row_number() OVER (PARTITION BY dataset ORDER BY md5(concat('42-', CAST(qid AS STRING)))) AS k FROM (SELECT DISTINCT qid, dataset FROM {runs}) AS d) AS x WHERE k <= 50"),
     Plan("stratified_split", "SELECT qid, category, CASE WHEN k <= 33 THEN 'validation' ELSE 'test' END AS split FROM (SELECT qid, category, row_number() OVER (PARTITION BY category ORDER BY md5(concat('7-', CAST(qid AS STRING)))) AS k FROM (SELECT DISTINCT qid, category FROM {runs} WHERE should_abstain) AS d) AS x WHERE k <= 50"),
     Plan("pilot_sample", "SELECT qid, control FROM (SELECT qid, control, row_number() OVER (PARTITION BY control ORDER BY md5(concat('9-', CAST(qid AS STRING)))) AS k FROM (SELECT DISTINCT qid, control FROM {runs}) AS d) AS x WHERE k <= CASE WHEN control THEN 12 ELSE 28 END"),

@@ -38,7 +38,7 @@ class Plan:
         return _resolve(spark, self.sql, lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet"), {})
 
     def oracle(self) -> str:
-        return _inline(self.duck or self.sql)
+        return _counts(_inline(self.duck or self.sql))
 
 
 def _resolve(spark: SparkSession, sql: str, table, known: dict[str, DataFrame]) -> DataFrame:
@@ -48,6 +48,19 @@ def _resolve(spark: SparkSession, sql: str, table, known: dict[str, DataFrame])
     return spark.sql(sql, **{n: known[n] for n in _names(sql)})
 
 
+def _counts(sql: str) -> str:
+    """count_if(c) as count(CASE WHEN c THEN 1 END), which is a BIGINT in DuckDB."""
+    out, at = [], 0
+    while (k := sql.find("count_if(", at)) >= 0:
+        depth, end = 1, k + 9
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out += [sql[at:k], "count(CASE WHEN ", _counts(sql[k + 9 : end - 1]), " THEN 1 END)"]
+        at = end
+    return "".join([*out, sql[at:]])
+
+
 def _inline(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: f"({_inline(VIEWS[m[1]][1])})" if m[1] in VIEWS else m[1], sql)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import runs
+from .operators import calibration, runs
 
-MODULES: tuple = (runs,)
+MODULES: tuple = (runs, calibration)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_column, classifier, edit_embedding, lines, packing, quality, secrets, simhash, tokenfiles
+from . import bpe_column, classifier, edit_embedding, lines, packing, quality, secrets, simhash, suffix_dedup, tokenfiles
 from .tokens import tokenizer_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -17,6 +17,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(_docs(spark, sf_dir)).drop("kept")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.assessed(_docs(spark, sf_dir)).select(*cols)
@@ -58,7 +62,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_quality_rules, op3_document_fingerprints, op4_packing, op5_line_dedup, op6_secret_scan, op7_token_files, op8_bpe_encode_decode, op9_quality_classifier, op10_simhash_near_dedup)
+        for f in (op1_suffix_array_dedup, op2_quality_rules, op3_document_fingerprints, op4_packing, op5_line_dedup, op6_secret_scan, op7_token_files, op8_bpe_encode_decode, op9_quality_classifier, op10_simhash_near_dedup)
     }
 
 

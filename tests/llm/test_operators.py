@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, bpe_column, classifier, edit_embedding, lines, packing, quality, secrets, simhash, tokenfiles, tokens
+from tessera.llm import bpe, bpe_column, classifier, edit_embedding, induced, lines, packing, quality, secrets, simhash, suffix_dedup, tokenfiles, tokens
 
 WORD, BYTE = tokens.tokenizer_path("word_bpe_49k.json"), tokens.tokenizer_path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -325,3 +325,53 @@ def test_classifier_on_held_out_rows(spark):
     assert r.q > 0.95 and r.t > 0.95, r
     none = classifier.classified(make(spark, [(1, None), (1, "a"), (None, "")]), labels.limit(0)).collect()
     assert len(none) == 3 and {x.kept for x in none} == {False}
+
+
+@pytest.mark.parametrize("in_memory", [64, 1 << 20])
+def test_suffix_order(in_memory):
+    rng = np.random.default_rng(4)
+    for n, k in ((1, 1), (60, 2), (900, 3), (1500, 200)):
+        text = rng.integers(0, k + 1, n).astype(np.uint16)
+        text[n // 3 : n // 2] = 1
+        text[-2:] = [1, 0][-n:]
+        padded = [*text.tolist(), *[0] * 60]
+        got = induced.suffix_order(text, in_memory).tolist()
+        assert sorted(got) == list(range(n))
+        keys = [padded[i : i + 50] for i in got]
+        assert keys == sorted(keys)
+
+
+def brute_suffix(rows):
+    first = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        for p in range(len(raw) - 49):
+            w = raw[p : p + 50]
+            first[w] = min(first.get(w, i), i)
+    out = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - 49):
+            if first[raw[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        spans = int(np.sum(gone & ~np.append(False, gone[:-1])))
+        out[i] = (len(raw), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(raw, gone) if not g)).hexdigest())
+    return out
+
+
+def test_suffix_dedup(spark, corpus):
+    rng = random.Random(11)
+    rows = [*corpus, (1000, "a" * 300), (1001, "b" + "a" * 120 + "c"), (1002, "\0" * 80), (1003, "\0" * 70 + "x")]
+    long = " ".join(t for _, t in corpus if t)[:6000]
+    for i in range(12):
+        s = rng.randrange(len(long) - 200)
+        rows.append((2000 - i, "new %d " % i + long[s : s + 49 + i] + " é " + long[s : s + 150]))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(make(spark, rows)).collect()}
+    want = brute_suffix(rows)
+    assert {i: (g, want[i]) for i, g in got.items() if g != want[i]} == {}
+    assert len(got) == len(want)
+    twice = [(None, "z" * 60), (5, "z" * 60), (5, "z" * 60), (6, "z" * 55 + "end")]
+    assert sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.deduplicated(make(spark, twice)).collect()) == [(0, 0), (5, 0), (5, 0), (6, 55)]
+    assert suffix_dedup.deduplicated(make(spark, [])).count() == 0

@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SpeculativeBPE
 from .common import slices
-from .tokens import speculative_encoder
+from .tokens import speculative_bpe, speculative_encoder
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,7 +28,7 @@ def _mapped(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, digests
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = SpeculativeBPE(tokenizer)
+        bpe = speculative_bpe(tokenizer)
         encoder = speculative_encoder(bpe)
         for b in slices(batches, "_text"):
             ids, bounds = encoder.encode(b.column(1))

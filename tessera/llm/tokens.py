@@ -7,6 +7,7 @@ The pre-tokenizers of byte-level BPE files never join such sides, so chunks can
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -78,6 +79,7 @@ class ColumnEncoder:
         return ids.astype(np.uint32, copy=False), bounds
 
 
+@lru_cache(maxsize=2)
 def library_encoder(path: str) -> ColumnEncoder:
     """Encodes with the tokenizers library, add_special_tokens=False; strings of special tokens in a text become their
     ids. Distinct words go to the library's model.
@@ -89,5 +91,12 @@ def library_encoder(path: str) -> ColumnEncoder:
     return ColumnEncoder(words)
 
 
+@lru_cache(maxsize=2)
+def speculative_bpe(path: str) -> SpeculativeBPE:
+    return SpeculativeBPE(path)
+
+
+@lru_cache(maxsize=2)
 def speculative_encoder(bpe: SpeculativeBPE) -> ColumnEncoder:
+    """Kept, as library_encoder()'s, for the life of the Python worker with what it remembers."""
     return ColumnEncoder(WordEncoder(bpe.splitter, bpe.encode_words))

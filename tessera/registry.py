@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import calibration, runs
+from .operators import calibration, runs, text
 
-MODULES: tuple = (runs, calibration)
+MODULES: tuple = (runs, calibration, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

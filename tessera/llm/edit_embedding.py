@@ -144,6 +144,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return rows
     after = [(heads[k - 1][0], *heads[k - 1][1:], heads[k][0]) for k in range(len(heads))]  # the head of each is next for the partition above; k = 0: wraps round
     small = spark.createDataFrame(after, "_q int, _i long, _h long, _to int")
+    small = F.broadcast(small)  # at most a row for each partition
     more = rows.join(small, (rows._p == small._q) & (rows._id == small._i) & (rows._hash == small._h)).select(F.col("_to").alias("_p"), F.lit(True).alias("_more"), "_id", "_hash", "_text")
     both = rows.unionByName(more)
     return both.repartition(parts, "_p").sortWithinPartitions("_p", "_more", F.desc("_id"), F.desc("_hash"))

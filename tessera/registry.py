@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import calibration, runs, text
+from .operators import calibration, questions, runs, text
 
-MODULES: tuple = (runs, calibration, text)
+MODULES: tuple = (runs, calibration, text, questions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

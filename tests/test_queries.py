@@ -61,3 +61,33 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1}\n\n{"id": 2}\n')
     assert sorted(r.id for r in jsonl.read_jsonl(spark, str(tmp_path / "a.jsonl"), "id int").collect()) == [1, 2]
     assert jsonl.manifest(spark, str(tmp_path / "a.jsonl")).first().bytes == 21
+
+
+def test_emergency():
+    from tessera.functions.emergency import first_flag
+
+    for text, want in (
+        ("She has chest pain", "Chest pain"),
+        ("no fever, chest  pain since noon", "Chest pain"),
+        ("He denies any kind of chest pain", None),
+        ("denies this and also those other things that chest pain", "Chest pain"),
+        ("absence of the usual kind of chest pain", None),
+        ("pregnant with swelling and a headache", "Pregnancy with swelling and headache"),
+        ("my 2 month old baby has fever", "Infant under 3 months with fever"),
+        ("baby is 5 months old with fever", None),
+        ("fever and headache", None),
+        ("", None),
+        (None, None),
+    ):
+        assert first_flag(text) == want, text
+
+
+def test_nearest_words_and_phrases(spark):
+    from tessera.operators.questions import min_levenshtein, phrase_hits
+
+    tokens = spark.createDataFrame([("kitten",), ("a",), ("",), ("zzzzzz",), ("sitting",)], "token string")
+    words = spark.createDataFrame([("sitten",), ("mitten",), ("sitting",), ("b",)], "word string")
+    assert {r.token: r.distance for r in min_levenshtein(tokens, words).collect()} == {"kitten": 1, "a": 1, "": 1, "zzzzzz": 3, "sitting": 0}
+    docs = spark.createDataFrame([(1, "The Foo-bar (v2) is"), (2, "foo-bars"), (3, None), (4, "xfoo-bar")], "doc_id long, text string")
+    got = phrase_hits(spark.createDataFrame([("foo-bar",), ("the foo",)], "phrase string"), docs)
+    assert {r.phrase: r.hits for r in got.collect()} == {"foo-bar": 1, "the foo": 1}

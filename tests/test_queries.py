@@ -61,6 +61,12 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1}\n\n{"id": 2}\n')
     assert sorted(r.id for r in jsonl.read_jsonl(spark, str(tmp_path / "a.jsonl"), "id int").collect()) == [1, 2]
     assert jsonl.manifest(spark, str(tmp_path / "a.jsonl")).first().bytes == 21
+    (tmp_path / "run.log").write_text("start\nqwen3-1.7b    DONE 0.51 0.62 100/100 0.1192/0.7009\nend\n")
+    (tmp_path / "other.log").write_text("nothing here\n")
+    assert [tuple(r) for r in jsonl.log_rates(spark, f"{tmp_path}/*.log").collect()] == [("qwen3-1.7b", 0.1192, 0.7009)]
+    a, b = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(2,), (3,)], "id int")
+    merged, report = jsonl.shard_report([a, b], 3)
+    assert merged.count() == 4 and tuple(report.first()) == (4, 2, 1, False)
 
 
 def test_emergency():

@@ -39,7 +39,7 @@ def shard_report(shards: list[DataFrame], expected: int, id_col: str = "id") ->
 
 def log_rates(spark: SparkSession, path: str) -> DataFrame:
     """(model, baseline, rag): seconds a question, from each log's first line of a finished model."""
-    line = r"([\w\-]+)\s+(?:DONE|PROBLEM)\s+[\d.]+\s+[\d.]+\s+[\d./]+\s+([\d.]+)/([\d.]+)"
+    line = r"([\w.\-]+)\s+(?:DONE|PROBLEM)\s+[\d.]+\s+[\d.]+\s+[\d./]+\s+([\d.]+)/([\d.]+)"
     log = spark.read.text(path, wholetext=True).where(F.col("value").rlike(line))
     part = lambda k: F.regexp_extract("value", line, k)
     return log.select(part(1).alias("model"), part(2).cast("double").alias("baseline"), part(3).cast("double").alias("rag"))

@@ -149,7 +149,7 @@ class Store:
 class WordEncoder:
     """encode_chunks() of texts, with a memory of distinct words; encode_words: ids of each of a list of words."""
 
-    def __init__(self, splitter: Splitter, encode_words: Callable[[list[str]], list[Sequence[int]]], remembered: int = 300_000):
+    def __init__(self, splitter: Splitter, encode_words: Callable[[list[str]], list[Sequence[int]]], remembered: int = 900_000):
         self.splitter, self.encode_words, self.remembered = splitter, encode_words, remembered
         self.store = Store()
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from .bpe import SpeculativeBPE, Splitter, Store, WordEncoder
 
 #: Distinct chunks a worker remembers; beyond that it forgets them all and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 
 
 def tokenizer_path(name: str) -> str:

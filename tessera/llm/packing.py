@@ -18,6 +18,8 @@ from .tokens import library_encoder
 CAPACITY = 2048
 #: Documents a group has on average; groups are packed on their own.
 GROUP_DOCS = 4096
+#: Encoding is nearly all there is to do here, so a worker has memory for three times the usual number of chunks and words.
+REMEMBER_SCALE = 3
 
 
 def first_fit_decreasing(lengths: Sequence[int], capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +52,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer)
+        encoder = library_encoder(tokenizer, REMEMBER_SCALE)
         for b in slices(batches, "_text"):
             ids, bounds = encoder.encode(b.column(1), end=end_id)
             view = memoryview(ids.astype("<u4", copy=False)).cast("B")

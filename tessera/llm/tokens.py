@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 
 from .bpe import SpeculativeBPE, Splitter, Store, WordEncoder
 
-#: Distinct chunks a worker remembers; beyond that it forgets them all and goes on.
-REMEMBERED = 1_200_000
+#: Distinct chunks and words a worker remembers; beyond that it forgets them all and goes on.
+REMEMBERED, WORDS_REMEMBERED = 400_000, 300_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -80,15 +80,15 @@ class ColumnEncoder:
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> ColumnEncoder:
+def library_encoder(path: str, scale: int = 1) -> ColumnEncoder:
     """Encodes with the tokenizers library, add_special_tokens=False; strings of special tokens in a text become their
-    ids. Distinct words go to the library's model.
+    ids. Distinct words go to the library's model. scale: how many times the usual number is remembered.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     splitter = Splitter(path)
     tokenize = splitter.library.model.tokenize
-    words = WordEncoder(splitter, lambda ws: [[t.id for t in tokenize(w)] for w in ws])
-    return ColumnEncoder(words)
+    words = WordEncoder(splitter, lambda ws: [[t.id for t in tokenize(w)] for w in ws], scale * WORDS_REMEMBERED)
+    return ColumnEncoder(words, scale * REMEMBERED)
 
 
 @lru_cache(maxsize=2)

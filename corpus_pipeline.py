@@ -1,11 +1,11 @@
-"""A training-data pipeline over documents: quality rules, line dedup, SimHash near-dedup, secret scan, packing."""
+"""A training-data pipeline over documents: quality rules, line dedup, near-dedup, secret scan, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import lines, packing, quality, secrets, simhash
+from tessera.llm import jaccard, lines, packing, quality, secrets
 from tessera.llm.common import written
 from tessera.llm.tokens import tokenizer_path
 
@@ -21,8 +21,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one that names it. Rows without an id stay."""
-    firsts = simhash.near_duplicates(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
+    """One document of each group of near-duplicates (0.8 or more of the five-word shingles shared): the one that names it. Rows without an id stay."""
+    firsts = jaccard.near_duplicates(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
     return docs.join(firsts.withColumnRenamed("doc_id", "_first"), docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi")
 
 
@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("packing", pack)]
 
-#: Automata, tokenizers and SimHash components have no plain SQL; tests hold run() against a brute-force version.
+#: Automata, tokenizers and components have no plain SQL; tests hold the near-dedup stage and what packing keeps against brute force.
 ORACLE_SQL = None
 
 

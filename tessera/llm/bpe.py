@@ -92,7 +92,7 @@ class Splitter:
         """
         easy = self.together is not None
         joined = SEP.join(texts)
-        rest = [] if easy and max(joined.replace(SEP, ""), default="") < LATIN_END and not any(s in joined for s in self.specials) and not _SPACE_END.search(joined) else [
+        rest = [] if easy and joined.count(SEP) == len(texts) - 1 and max(joined.replace(SEP, ""), default="") < LATIN_END and not any(s in joined for s in self.specials) and not _SPACE_END.search(joined) else [
             i for i, t in enumerate(texts) if not easy or (t and (max(t) >= LATIN_END or t[-1].isspace() or any(s in t for s in self.specials)))
         ]
         if rest:

@@ -375,3 +375,15 @@ def test_suffix_dedup(spark, corpus):
     twice = [(None, "z" * 60), (5, "z" * 60), (5, "z" * 60), (6, "z" * 55 + "end")]
     assert sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.deduplicated(make(spark, twice)).collect()) == [(0, 0), (5, 0), (5, 0), (6, 55)]
     assert suffix_dedup.deduplicated(make(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_separator_character_in_a_batch_of_latin_texts(path):
+    import pyarrow as pa
+
+    texts = ["plain words", "icon \ue001 here", "\ue001", "other words", "a\ue001b"]
+    want, _ = library(path, texts)
+    enc = tokens.speculative_encoder(bpe.SpeculativeBPE(path))
+    for _ in range(2):  # the second time from memory
+        ids, bounds = enc.encode(pa.array(texts))
+        assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:])] == want

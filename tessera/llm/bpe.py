@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Sequence
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -50,6 +51,8 @@ class Splitter:
         self.library.no_truncation()
         self.normalizer, self.pre_tokenizer = self.library.normalizer, self.library.pre_tokenizer
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # the leftmost, and of those that begin together the longest
+        self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))))
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings aren't known here")
         norm, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
@@ -117,11 +120,14 @@ class Splitter:
         return [w for w in flat if w != SEP], counts
 
     def _around_specials(self, text: str) -> list[str | int]:
-        found = min(((at, -len(s), s) for s in self.specials if (at := text.find(s)) >= 0), default=None)
-        if found is None:
-            return [text] if text else []
-        at, _, s = found
-        return [*([text[:at]] if at else []), self.specials[s], *self._around_specials(text[at + len(s) :])]
+        out: list[str | int] = []
+        at = 0
+        for found in self.special.finditer(text) if self.specials else ():
+            if found.start() > at:
+                out.append(text[at : found.start()])
+            out.append(self.specials[found[0]])
+            at = found.end()
+        return [*out, text[at:]] if at < len(text) else out
 
 
 class Store:
@@ -277,13 +283,25 @@ class SpeculativeBPE:
         if self.suffix and len(parts) > 1 and parts[-1] == END:
             parts[-2:] = [parts[-2] + END]
         ids, ranks = [self.ids[p] for p in parts], self.ranks
-        while len(ids) > 1:
-            best = min(((ranks[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in ranks), default=None)
-            if best is None:
-                break
-            k = best[1]
-            ids[k : k + 2] = [ranks[ids[k], ids[k + 1]][1]]
-        return ids
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*ranks[p], k, *p) for k, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+        heap = [(rank, k, made, a, b) for rank, made, k, a, b in heap]
+        heapify(heap)
+        while heap:
+            _, k, made, a, b = heappop(heap)
+            j = after[k]
+            if ids[k] != a or j >= n or ids[j] != b:  # merged otherwise since
+                continue
+            ids[k], ids[j] = made, -1
+            after[k] = end = after[j]
+            if end < n:
+                before[end] = k
+                if (p := (made, ids[end])) in ranks:
+                    heappush(heap, (ranks[p][0], k, ranks[p][1], *p))
+            if (i := before[k]) >= 0 and (p := (ids[i], made)) in ranks:
+                heappush(heap, (ranks[p][0], i, ranks[p][1], *p))
+        return [i for i in ids if i >= 0]
 
     def encode_words(self, words: Sequence[str]) -> list[list[int]]:
         """Ids of distinct words in byte characters."""

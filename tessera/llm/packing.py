@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,13 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokens import library_encoder
+from .ranked import ranked_encoder
 
 CAPACITY = 2048
-#: Documents a group has on average; groups are packed on their own.
-GROUP_DOCS = 4096
-#: Encoding is nearly all there is to do here, so a worker has memory for three times the usual number of chunks and words.
-REMEMBER_SCALE = 3
+#: Documents, and bytes of text, that a group has on average at most; groups are packed on their own.
+GROUP_DOCS, GROUP_BYTES = 4096, 32 << 20
 
 
 def first_fit_decreasing(lengths: Sequence[int], capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -48,11 +47,13 @@ def first_fit_decreasing(lengths: Sequence[int], capacity: int = CAPACITY) -> tu
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, start, length, ids_crc32, doc_tokens): each document's ids and end_id, cut every capacity ids."""
+    """(id_col, start, length, ids_crc32, doc_tokens, copy): each document's ids and end_id, cut every capacity ids. copy
+    counts the rows of the same id and ids that a task met before.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer, REMEMBER_SCALE)
+        encoder, met = ranked_encoder(tokenizer), Counter()
         for b in slices(batches, "_text"):
             ids, bounds = encoder.encode(b.column(1), end=end_id)
             view = memoryview(ids.astype("<u4", copy=False)).cast("B")
@@ -63,31 +64,39 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
             lens = np.minimum(capacity, totals[doc] - starts)
             at = bounds[:-1][doc] + starts
             crc = [zlib.crc32(view[4 * a : 4 * (a + m)]) for a, m in zip(at.tolist(), lens.tolist())]
-            yield pa.record_batch([b.column(0).take(pa.array(doc)), pa.array(starts), pa.array(lens), pa.array(crc, pa.int64()), pa.array(totals[doc])], ["_id", "start", "length", "ids_crc32", "doc_tokens"])
+            copies = []
+            for key in zip(b.column(0).to_pylist(), [crc[k] for k in (np.cumsum(counts) - 1).tolist()], totals.tolist()):
+                copies.append(met[key])
+                met[key] += 1
+            columns = (pa.array(starts), pa.array(lens), pa.array(crc, pa.int64()), pa.array(totals[doc]), pa.array(np.array(copies, np.int64)[doc]))
+            yield pa.record_batch([b.column(0).take(pa.array(doc)), *columns], ["_id", "start", "length", "ids_crc32", "doc_tokens", "copy"])
 
-    return rows.mapInArrow(run, "_id long, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, "_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long").withColumnRenamed("_id", id_col)
 
 
-def packed(items: DataFrame, n_docs: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, id_col: str = "doc_id") -> DataFrame:
-    """items (pieces()) with sequence_id and offset. Pieces go to groups at random by a hash, so that long documents and
-    hot sources spread; a group is bounded by group_docs on average. Sequences are filled gaplessly from offset 0.
+def packed(items: DataFrame, groups: int, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
+    """items (pieces()) with sequence_id and offset. Documents go to groups at random, by a hash, with their last pieces;
+    full pieces, which fill a sequence each, are spread over all groups so that a long document doesn't make one group
+    large. Sequences are filled gaplessly from offset 0.
     """
-    groups = max(1, math.ceil(n_docs / group_docs))
     schema = "_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def pack(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["_id", "start", "ids_crc32"], kind="stable")
         bins, offsets = first_fit_decreasing(g["length"].tolist(), capacity)
-        return g.drop(columns="_group").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+        return g.drop(columns=["_group", "copy"]).assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    at = F.pmod(F.xxhash64("_id", "start", "ids_crc32"), F.lit(groups))
+    place = F.when(F.col("length") < capacity, F.lit(-1)).otherwise(F.col("start"))
+    at = F.pmod(F.xxhash64("_id", "copy", place), F.lit(groups))
     return items.withColumnRenamed(id_col, "_id").withColumn("_group", at).groupBy("_group").applyInPandas(pack, schema).withColumnRenamed("_id", id_col)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Every document of docs in sequences of at most capacity tokens; a null text counts as empty and has its end id.
 
-    Repeated rows are packed each; equal pieces of repeated rows lie in one group. A null id keeps its row. An empty
-    table gives an empty result.
+    Repeated rows are packed each, and spread over the groups like others. A null id keeps its row. An empty table gives
+    an empty result. Other columns are not looked at.
     """
-    return packed(pieces(docs, tokenizer, end_id, capacity), docs.count(), capacity, group_docs)
+    size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    groups = max(1, math.ceil(size.rows / group_docs), math.ceil(size.bytes / group_bytes))
+    return packed(pieces(docs, tokenizer, end_id, capacity), groups, capacity)

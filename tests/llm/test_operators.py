@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, bpe_column, classifier, edit_embedding, induced, lines, packing, quality, secrets, simhash, suffix_dedup, tokenfiles, tokens
+from tessera.llm import bpe, bpe_column, classifier, edit_embedding, induced, lines, packing, quality, ranked, secrets, simhash, suffix_dedup, tokenfiles, tokens
 
 WORD, BYTE = tokens.tokenizer_path("word_bpe_49k.json"), tokens.tokenizer_path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -227,9 +227,13 @@ def test_encoders_equal_the_library(path):
     rng = random.Random(5)
     odd = ["", "a  b", "a \n b", "  lead", "trail  ", "İSTANBUL ΣΑΣ ς", "don't  we'LL 12 £ ñ̃ é", "\x1c a\x85 b", "日本 🎉🎉 x", "a\n\nb", " ", "<|endoftext|> x<|endoftext|>", "é 's ", "a\xa0 b"]
     odd += ["".join(rng.choices("ab cdetoins'\n \t.!é1İ<|>Σ", k=60)) for _ in range(500)]
+    odd += ["".join(rng.choices("'''stmdrevl ,5é\n", k=40)) for _ in range(500)]
+    odd += ["".join(map(chr, rng.choices(range(1, 0x250), k=60))) for _ in range(200)]
+    odd += [" " * 300_000 + "a", "a\0b \0", "<|endoftext|>" * 1500, "".join(rng.choices("abcdeinorst", k=20_000)), "#" * 50_000, "x y's " * 40_000]
     want, decoded = library(path, odd)
     spec = bpe.SpeculativeBPE(path)
-    for enc in (tokens.library_encoder(path), tokens.speculative_encoder(spec)):
+    assert ranked.ranked_encoder(path).core is not None
+    for enc in (ranked.ranked_encoder(path), tokens.speculative_encoder(spec)):
         ids, bounds = enc.encode(pa.array([*odd, None]))
         assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:])] == [*want, []]
     assert spec.exact_words > 0
@@ -273,6 +277,23 @@ def test_packing(spark, corpus):
     assert packing.pack_documents(make(spark, []), BYTE, 1).count() == 0
 
 
+def test_packing_of_long_texts_repeated_rows_and_null_ids(spark):
+    rows = [(1, "word " * 30_000), *[(2, "same row")] * 300, (None, "no id"), (None, None), (3, ""), *[(k, "some words of a text " * (k % 40)) for k in range(10, 200)]]
+    docs = make(spark, rows).withColumn("copy", F.lit("own")).withColumn("length", F.lit(1)).withColumn("_group", F.lit(0))
+    got = packing.pack_documents(docs, BYTE, 1, group_docs=50, group_bytes=60_000).collect()
+    ids, _ = library(BYTE, [t for _, t in rows])
+    assert sum(r.length for r in got) == sum(len(x) + 1 for x in ids)
+    assert collections.Counter(r.doc_id for r in got if r.start == 0) == collections.Counter(i for i, _ in rows)
+    full = collections.Counter()
+    for r in got:
+        full[r.sequence_id] += r.length
+    assert max(full.values()) <= 2048
+    assert len({r.sequence_id >> 32 for r in got if r.doc_id == 2}) > 1  # repeated rows spread
+    assert len({r.sequence_id >> 32 for r in got if r.doc_id == 1}) > 1  # a long document's full pieces too
+    one = packing.pack_documents(docs, BYTE, 1, group_docs=10**6, group_bytes=1 << 40)
+    assert one.select("sequence_id").distinct().count() <= -(-sum(r.length for r in got) // 2048) + 1  # little padding
+
+
 def test_first_fit_decreasing():
     rng = random.Random(1)
     for n in (0, 1, 2, 37, 300):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shared_dir, slices
-from .tokens import library_encoder
+from .ranked import ranked_encoder
 
 SCHEMA = "doc_id long, first long, n_tokens long, ids array<int>"
 ORC_OPTIONS = {
@@ -25,6 +25,7 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(32 << 20),
     "orc.row.index.stride": "2000",
     "compression": "snappy",
+    "maxRecordsPerFile": "0",  # a task writes one file, in which first counts on
 }
 
 
@@ -35,7 +36,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = library_encoder(tokenizer), 0
+        encoder, before = ranked_encoder(tokenizer), 0
         for b in slices(batches, "text"):
             ids, bounds = encoder.encode(b.column(1), end=end_id)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))
@@ -59,7 +60,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: Sequence[int] | No
     before = spark.createDataFrame(bases, T.StructType([T.StructField("_file", T.StringType()), T.StructField("_base", T.LongType())]))
     if doc_ids is not None:
         read = read.where(F.col("doc_id").isin(*doc_ids))
-    rows = read.withColumn("_file", F.col("_metadata.file_path")).join(before, "_file")
+    rows = read.withColumn("_file", F.col("_metadata.file_path")).join(F.broadcast(before), "_file")  # a row per file
     return rows.select("doc_id", (F.col("_base") + F.col("first")).alias("start"), "n_tokens", "ids")
 
 

@@ -6,13 +6,12 @@ The pre-tokenizers of byte-level BPE files never join such sides, so chunks can
 
 from __future__ import annotations
 
-import os
 from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .bpe import SpeculativeBPE, Splitter, Store, WordEncoder
+from .bpe import SpeculativeBPE, Store, WordEncoder
 
 #: Distinct chunks and words a worker remembers; beyond that it forgets them all and goes on.
 REMEMBERED, WORDS_REMEMBERED = 400_000, 300_000
@@ -79,18 +78,6 @@ class ColumnEncoder:
         return ids.astype(np.uint32, copy=False), bounds
 
 
-@lru_cache(maxsize=2)
-def library_encoder(path: str, scale: int = 1) -> ColumnEncoder:
-    """Encodes with the tokenizers library, add_special_tokens=False; strings of special tokens in a text become their
-    ids. Distinct words go to the library's model. scale: how many times the usual number is remembered.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    splitter = Splitter(path)
-    tokenize = splitter.library.model.tokenize
-    words = WordEncoder(splitter, lambda ws: [[t.id for t in tokenize(w)] for w in ws], scale * WORDS_REMEMBERED)
-    return ColumnEncoder(words, scale * REMEMBERED)
-
-
 @lru_cache(maxsize=2)
 def speculative_bpe(path: str) -> SpeculativeBPE:
     return SpeculativeBPE(path)
@@ -98,5 +85,5 @@ def speculative_bpe(path: str) -> SpeculativeBPE:
 
 @lru_cache(maxsize=2)
 def speculative_encoder(bpe: SpeculativeBPE) -> ColumnEncoder:
-    """Kept, as library_encoder()'s, for the life of the Python worker with what it remembers."""
+    """Kept for the life of the Python worker with what it remembers."""
     return ColumnEncoder(WordEncoder(bpe.splitter, bpe.encode_words))

@@ -18,7 +18,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicated(_docs(spark, sf_dir)).drop("kept")
+    return suffix_dedup.deduplicated(_docs(spark, sf_dir), with_text=False)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

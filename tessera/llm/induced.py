@@ -1,136 +1,405 @@
-"""Suffix sorting by induction in bulk, with queues that go to disk.
+"""External induced suffix sorting that carries common prefixes through disk-backed queues.
 
-Suffixes that begin a rise after a fall (S*) are sorted by their first bytes; all others are induced from them. One pass
-goes up the bytes and one goes down; a suffix that leaves the queue of its first byte puts the suffix before it into the
-queue of that one's byte. These monotone priority queues, one per byte, take arrays in order and spill them to files.
-The order is that of the first DEPTH bytes.
+Suffixes that begin a rise after a fall (S*) are ordered first: their substrings up to the next such place are named in
+order, and the string of names is sorted by the same induction, until it is small enough to be sorted in memory. From them
+all other suffixes are induced: one pass goes up the symbols and one goes down, and a suffix that leaves the queue of its
+first symbol puts the suffix before it into that one's queue. With each suffix a queue carries what it shares with the one
+put there before it: one symbol more than the least that their sources, and all sources between, share.
+
+Arrays that outgrow the memory limit are mapped files, queues write what outgrows it to a file, and both are read in
+blocks, so memory is bounded by the limit and the text may be far larger. Files lie where Spark spills, and go with the task.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+from collections import defaultdict
 
 import numpy as np
 
-#: Bytes by which S* suffixes are compared; so all suffixes are ordered by at least as many.
-DEPTH = 56
-#: Bytes of positions that the queues of a shard hold in memory; beyond, arrays are written to files.
-IN_MEMORY = 96 << 20
+#: Symbols that two suffixes share are counted up to here, and suffixes are ordered by at least as many.
+CAP = 64
+#: Bytes that the queues, and each array, of a shard may hold in memory.
+IN_MEMORY = 32 << 20
+#: Suffixes handled at once.
+BLOCK = 1 << 16
+#: Names that are sorted in memory; longer strings of names are induced.
+BASE = 1 << 20
+
+
+class Scratch:
+    """Arrays in memory or, beyond the limit, in mapped files that are gone when it is closed."""
+
+    def __init__(self, in_memory: int = IN_MEMORY):
+        self.in_memory, self.files = in_memory, []
+
+    def file(self):
+        where = next((d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)), None)
+        f = tempfile.TemporaryFile(prefix="tessera-", dir=where)
+        self.files.append(f)
+        return f
+
+    def array(self, n: int, dtype: type | np.dtype | str) -> np.ndarray:
+        dtype = np.dtype(dtype)
+        if n * dtype.itemsize <= self.in_memory:
+            return np.zeros(n, dtype)
+        return np.memmap(self.file(), dtype, "w+", shape=(n,))
+
+    def close(self) -> None:
+        for f in self.files:
+            f.close()
 
 
 class Queues:
-    """A first-in, first-out queue of positions per symbol."""
-
-    def __init__(self, symbols: int, in_memory: int = IN_MEMORY):
-        self.parts: list[list[np.ndarray | tuple[int, int]]] = [[] for _ in range(symbols)]
-        self.held, self.in_memory, self.file = 0, in_memory, None
-
-    def put(self, symbol: int, positions: np.ndarray) -> None:
-        if not len(positions):
-            return
-        if self.held + positions.nbytes > self.in_memory:
-            self.file = self.file or tempfile.TemporaryFile(prefix="tessera-queue-")
-            at = self.file.seek(0, os.SEEK_END)
-            self.file.write(np.ascontiguousarray(positions).tobytes())
-            self.parts[symbol].append((at, len(positions)))
+    """A first-in, first-out queue per symbol of (position, symbols shared with the one put there before)."""
+
+    ITEM = np.dtype([("at", "<i8"), ("shared", "u1")])
+
+    def __init__(self, scratch: Scratch):
+        self.parts: dict[int, list[np.ndarray | tuple[int, int]]] = defaultdict(list)
+        self.held, self.scratch, self.file = 0, scratch, None
+
+    def put(self, symbol: int, at: np.ndarray, shared: np.ndarray) -> None:
+        item = np.empty(len(at), self.ITEM)
+        item["at"], item["shared"] = at, shared
+        if self.held + item.nbytes > self.scratch.in_memory:
+            self.file = self.file or self.scratch.file()
+            where = self.file.seek(0, os.SEEK_END)
+            self.file.write(item.tobytes())
+            self.parts[symbol].append((where, len(item)))
         else:
-            self.held += positions.nbytes
-            self.parts[symbol].append(positions)
-
-    def spread(self, symbols: np.ndarray, positions: np.ndarray) -> None:
-        """Each position into its symbol's queue, in order."""
-        if not len(positions):
-            return
-        order = np.argsort(symbols, kind="stable")
-        ordered, positions = symbols[order], positions[order]
-        cuts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ordered)]):
-            self.put(int(ordered[a]), positions[a:z].copy())
-
-    def take(self, symbol: int) -> np.ndarray:
-        out = []
-        for p in self.parts[symbol]:
+            self.held += item.nbytes
+            self.parts[symbol].append(item)
+
+    def take(self, symbol: int) -> list[np.ndarray]:
+        """What the queue holds, in blocks; it is empty then."""
+        got = self.parts.pop(symbol, [])
+        out, size = [], 0
+        held: list[np.ndarray] = []
+        for p in got:
             if isinstance(p, tuple):
                 self.file.seek(p[0])
-                out.append(np.frombuffer(self.file.read(8 * p[1]), np.int64))
+                p = np.frombuffer(self.file.read(self.ITEM.itemsize * p[1]), self.ITEM)
             else:
                 self.held -= p.nbytes
-                out.append(p)
-        self.parts[symbol] = []
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+            held.append(p)
+            size += len(p)
+            if size >= BLOCK:
+                out.append(np.concatenate(held))
+                held, size = [], 0
+        return [*out, np.concatenate(held)] if held else out
 
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
+
+class Pusher:
+    """Puts the suffixes before a sequence of sources into queues, with the symbols that they share."""
+
+    def __init__(self, text: np.ndarray, rising: np.ndarray, want: bool, queues: Queues, symbols: int):
+        self.text, self.rising, self.want, self.queues = text, rising, want, queues
+        self.clock = 0
+        self.last = np.full(symbols, -1)  # when a symbol's queue was last put something
+        self.seen = np.full(CAP + 1, -1)  # when a source last shared so much with the one before
+
+    def push(self, at: np.ndarray, shared: np.ndarray, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """at: sources in order; shared: what each shares with the source before. Suffixes that begin with own come back."""
+        ok = np.flatnonzero(at > 0)
+        before = at[ok] - 1
+        fit = self.rising[before] == self.want
+        ok, before = ok[fit], before[fit]
+        symbol = np.asarray(self.text[before])
+        order = np.argsort(symbol, kind="stable")
+        ok, before, symbol = ok[order], before[order], symbol[order]
+        if len(ok):
+            first = np.append(True, symbol[1:] != symbol[:-1])
+            heads = np.flatnonzero(first)
+            # the least shared of the sources after the one before, up to and with its own
+            low = np.append(0, ok[:-1] + 1)
+            low[heads] = 0
+            least = _range_min(shared, low, ok)
+            since = self.last[symbol[heads]]
+            earlier = self.seen[None, :] > since[:, None]
+            least[heads] = np.minimum(least[heads], np.where(earlier.any(1), earlier.argmax(1), CAP))
+            least = np.minimum(least + 1, CAP).astype(np.uint8)
+            ends = np.append(heads[1:], len(ok)) - 1
+            self.last[symbol[heads]] = self.clock + ok[ends]
+        self.seen[shared] = self.clock + np.arange(len(shared))
+        self.clock += len(at)
+        mine = (np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        if len(ok):
+            for a, z in zip(heads.tolist(), [*heads[1:].tolist(), len(ok)]):
+                s = int(symbol[a])
+                if s == own:
+                    mine = (before[a:z], least[a:z])
+                else:
+                    self.queues.put(s, before[a:z], least[a:z])
+        return mine
 
 
-def words_at(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes from each position as a number that sorts as they do."""
-    all_words = np.ndarray((len(padded) - 7,), ">u8", padded.data, 0, (1,))
-    return all_words[at].astype(np.uint64)
+def _range_min(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of x[low : high + 1] of each pair, by minima over powers of two."""
+    out = np.empty(len(low), np.int64)
+    level = np.floor(np.log2(high - low + 1)).astype(np.int64)
+    table, k = np.asarray(x), 0
+    while True:
+        own = np.flatnonzero(level == k)
+        out[own] = np.minimum(table[low[own]], table[high[own] + 1 - (1 << k)])
+        if k >= level.max(initial=0):
+            return out
+        table = np.minimum(table[: -(1 << k)], table[1 << k :])
+        k += 1
 
 
-def suffix_order(text: np.ndarray, in_memory: int = IN_MEMORY) -> np.ndarray:
-    """Positions of text (uint16 symbols; 0 ends each piece and the text) by the DEPTH symbols from there on."""
+def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int = CAP) -> np.ndarray:
+    """How many symbols the suffixes at a and b share, up to cap."""
+    n, out = len(text), np.zeros(len(a), np.uint8)
+    live = np.arange(len(a))
+    if text.dtype == np.uint16 and n > cap + 4:
+        far = np.maximum(a, b) + cap + 4 > n
+        near, live = np.flatnonzero(~far), np.flatnonzero(far)
+        fours = np.ndarray((n - 3,), "<u8", text, 0, (2,))
+        for k in range(0, cap, 4):
+            x = fours[a[near] + k] ^ fours[b[near] + k]
+            end = x != 0
+            x = x[end]
+            tail = ((x & np.uint64(0xFFFF)) == 0).astype(np.uint8) + ((x & np.uint64(0xFFFFFFFF)) == 0) + ((x & np.uint64(0xFFFFFFFFFFFF)) == 0)
+            out[near[end]] = k + tail
+            near = near[~end]
+            if not len(near):
+                break
+        out[near] = cap
+    for k in range(cap):
+        x, y = a[live] + k, b[live] + k
+        inside = (x < n) & (y < n)
+        live, x, y = live[inside], x[inside], y[inside]
+        live = live[text[x] == text[y]]
+        if not len(live):
+            break
+        out[live] = k + 1
+    return out
+
+
+def _rising(text: np.ndarray, scratch: Scratch) -> np.ndarray:
+    """Whether the next symbol that differs is greater; the last suffix counts as rising."""
+    n = len(text)
+    out = scratch.array(n, bool)
+    out[n - 1] = True
+    after, rises = int(text[n - 1]), True
+    for z in range(n - 1, 0, -BLOCK):
+        a = max(0, z - BLOCK)
+        own = np.append(text[a:z], after).astype(np.int64)
+        step = np.sign(own[1:] - own[:-1])
+        # a step of 0 is as the next step that isn't
+        at = np.where(step != 0, np.arange(len(step)), len(step))
+        at = np.minimum.accumulate(at[::-1])[::-1]
+        out[a:z] = np.append(step > 0, rises)[at]
+        after, rises = int(own[0]), bool(out[a])
+    return out
+
+
+def _stars(rising: np.ndarray, scratch: Scratch) -> np.ndarray:
+    """Places that rise after a fall, ascending; the last place is one always."""
+    n = len(rising)
+    blocks = [(a, min(n, a + BLOCK)) for a in range(1, n, BLOCK)]
+    found = lambda a, z: np.flatnonzero(rising[a:z] & ~rising[a - 1 : z - 1]) + a
+    size = sum(len(found(a, z)) for a, z in blocks)
+    extra = n == 1 or not (rising[n - 1] and not rising[n - 2])
+    out, at = scratch.array(size + extra, np.int64), 0
+    for a, z in blocks:
+        own = found(a, z)
+        out[at : at + len(own)] = own
+        at += len(own)
+    if extra:
+        out[-1] = n - 1
+    return out
+
+
+def _names(text: np.ndarray, star: np.ndarray, symbols: int, scratch: Scratch, base: int) -> tuple[np.ndarray, int]:
+    """A number for the substring from each S* place to the next one (both included), in the order of their suffixes.
+
+    They are dealt to queues by their first symbol if there are many, so only those of one symbol are sorted at once.
+    """
+    m = len(star)
+    names = scratch.array(m, np.int64)
+    if m <= base:
+        return names, _name(text, star, np.arange(m), symbols, names, 0)
+    queues, none = Queues(scratch), np.zeros(BLOCK, np.uint8)
+    for a in range(0, m, BLOCK):
+        own = np.arange(a, min(m, a + BLOCK))
+        s = np.asarray(text[star[own]])
+        order = np.argsort(s, kind="stable")
+        own, s = own[order], s[order]
+        cuts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        for x, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(s)]):
+            queues.put(int(s[x]), own[x:z], none[: z - x])
+    count = 0
+    for s in sorted(queues.parts):
+        own = np.concatenate([b["at"] for b in queues.take(s)])
+        count = _name(text, star, own, symbols, names, count)
+    return names, count
+
+
+def _name(text: np.ndarray, star: np.ndarray, own: np.ndarray, symbols: int, names: np.ndarray, count: int) -> int:
+    """Names from count on for the S* numbers own; returns the next free name."""
+    n, m = len(text), len(star)
+    begin = np.asarray(star[own])
+    end = np.asarray(star[np.minimum(own + 1, m - 1)]) + 1
+    bits = int(symbols + 2).bit_length()
+    per = max(1, 63 // bits)
+    # after the end; of two, one of which begins the other, the longer falls there and comes first; nothing is before the last
+    mark = np.where(own == m - 1, 0, symbols + 1)
+    group, order, k = np.zeros(len(own), np.int64), np.arange(len(own)), 0
+    live = order
+    while len(live):
+        word = np.zeros(len(live), np.int64)
+        for d in range(k, k + per):
+            p = begin[live] + d
+            word = (word << bits) | np.where(p < end[live], text[np.minimum(p, n - 1)].astype(np.int64) + 1, mark[live])
+        k += per
+        by = np.lexsort((word, group[live])) if k > per else np.argsort(word)
+        # those of a group stand together in order; sort them where they stand
+        live, word = live[by], word[by]
+        places = np.flatnonzero(np.isin(order, live)) if len(live) < len(order) else np.arange(len(order))
+        order[places] = live
+        g = group[live]
+        new = np.append(True, (word[1:] != word[:-1]) | (g[1:] != g[:-1]))
+        fresh = np.zeros(len(order), bool)
+        fresh[places] = new
+        old = group[order]
+        fresh |= np.append(True, old[1:] != old[:-1])
+        group[order] = np.cumsum(fresh) - 1
+        size = np.bincount(group[order])
+        live = live[(size[group[live]] > 1) & (begin[live] + k <= end[live] - 1)] if k < n else live[:0]
+    names[own] = count + group
+    return count + int(group.max(initial=-1)) + 1
+
+
+def _in_memory(names: np.ndarray, depth: int) -> np.ndarray:
+    """The order of the suffixes of names by their first depth names at least, by doubling."""
+    rank = np.asarray(names)
+    m, h = len(rank), 1
+    order = np.argsort(rank)
+    sorted_rank = rank[order]
+    fresh = np.append(True, sorted_rank[1:] != sorted_rank[:-1])
+    while True:
+        starts = np.flatnonzero(fresh)
+        number = np.empty(m, np.int64)
+        number[order] = np.repeat(starts, np.diff(np.append(starts, m)))
+        alone = fresh & np.append(fresh[1:], True)
+        live = np.flatnonzero(~alone)
+        if not len(live) or h >= depth:
+            return order
+        own = order[live]
+        # a place's number and that of the place ahead, in one word
+        both = number[own] << 32 | np.where(own + h < m, number[np.minimum(own + h, m - 1)] + 1, 0)
+        by = np.argsort(both)
+        order[live] = own[by]
+        both = both[by]
+        fresh[live] = np.append(True, both[1:] != both[:-1])
+        h *= 2
+
+
+def suffix_order(text: np.ndarray, scratch: Scratch | None = None, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of text (symbols 0, 1, ...; it ends in a single least one) by the CAP symbols from there on at least, and
+    how many symbols each shares with the one before, up to CAP. Recursion ends at base names.
+    """
+    scratch = scratch or Scratch()
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64)
-    if text[-1] != 0 or n > 1 and text[-2] == 0:
-        raise ValueError("the text has to end in a single 0")
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    if n > 1 and text[-2] <= text[-1]:
+        raise ValueError("the text has to end in a single least symbol")
     symbols = int(text.max()) + 1
-    # a suffix is S (rising) if the next symbol that differs is greater; the last one is S
-    differs = np.flatnonzero(text[1:] != text[:-1])
-    rising = np.ones(n, bool)
-    if len(differs):
-        nxt = np.searchsorted(differs, np.arange(n))
-        inside = nxt < len(differs)
-        k = differs[nxt[inside]]
-        rising[inside] = text[k + 1] > text[k]
-    star = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
-    if not len(star) or star[-1] != n - 1:
-        star = np.append(star, n - 1)
-    padded = np.zeros(n + DEPTH + 8, np.uint16)
-    padded[:n] = text
-    # four symbols of 16 bits a word
-    quads = np.ndarray((len(padded) - 3,), ">u8", padded.astype(">u2").tobytes(), 0, (2,))
-    keys = [quads[star + 4 * w].astype(np.uint64) for w in range(DEPTH // 4)]
-    star = star[np.lexsort(keys[::-1])]
-    del keys
-    falls, rises = Queues(symbols, in_memory), Queues(symbols, in_memory)
-    first = np.searchsorted(text[star], np.arange(symbols + 1))
-    low: list[np.ndarray] = []
-    for c in range(symbols):
-        own, now = [], falls.take(c)
-        while len(now):
-            own.append(now)
-            before = now[now > 0] - 1
-            before = before[~rising[before]]
-            s = text[before]
-            falls.spread(s[s != c], before[s != c])
-            now = before[s == c]
-        low.append(np.concatenate(own) if own else np.zeros(0, np.int64))
-        before = star[first[c] : first[c + 1]] - 1
-        before = before[before >= 0]
-        before = before[~rising[before]]
-        falls.spread(text[before], before)
-    falls.close()
-    high: list[np.ndarray] = [np.zeros(0, np.int64)] * symbols
-    for c in range(symbols - 1, -1, -1):
-        own, now = [], rises.take(c)
-        while len(now):
-            own.append(now)
-            before = now[now > 0] - 1
-            before = before[rising[before]]
-            s = text[before]
-            rises.spread(s[s != c], before[s != c])
-            now = before[s == c]
-        if c == 0:
-            own.append(np.array([n - 1]))  # nothing follows it to induce it
-        high[c] = np.concatenate(own)[::-1] if own else high[c]
-        before = low[c][::-1]
-        before = before[before > 0] - 1
-        before = before[rising[before]]
-        rises.spread(text[before], before)
-    rises.close()
-    return np.concatenate([x for c in range(symbols) for x in (low[c], high[c])])
+    rising = _rising(text, scratch)
+    star = _stars(rising, scratch)
+    names, count = _names(text, star, symbols, scratch, base)
+    if count == len(star):
+        order = scratch.array(len(star), np.int64)
+        for a in range(0, len(star), BLOCK):
+            z = min(len(star), a + BLOCK)
+            order[names[a:z]] = np.arange(a, z)
+    elif len(star) <= base:
+        order = _in_memory(names, CAP // 2)  # a name is two symbols at least
+    else:
+        order, _ = suffix_order(names, scratch, base)
+    sa, shared = scratch.array(n, np.int64), scratch.array(n, np.uint8)
+    # where the suffixes of each first symbol begin, those that fall before those that rise
+    total, falling = np.zeros(symbols, np.int64), np.zeros(symbols, np.int64)
+    for a in range(0, n, BLOCK):
+        own = np.asarray(text[a : a + BLOCK])
+        total += np.bincount(own, minlength=symbols)
+        falling += np.bincount(own[~rising[a : a + BLOCK]], minlength=symbols)
+    begin = np.concatenate([[0], np.cumsum(total)])
+    star_of = np.zeros(symbols, np.int64)
+    for a in range(0, len(star), BLOCK):
+        star_of += np.bincount(np.asarray(text[star[a : a + BLOCK]]), minlength=symbols)
+    star_begin = np.concatenate([[0], np.cumsum(star_of)])
+
+    def seeds(a: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+        at = star[order[a:z]]
+        back = star[order[max(a - 1, 0) : z - 1]] if a else np.append(at[:1], star[order[: z - 1]])
+        return at, shared_prefix(text, at, back)
+
+    queues = Queues(scratch)
+    up = Pusher(text, rising, False, queues, symbols)
+    for c in np.flatnonzero(total).tolist():
+        at, last = int(begin[c]), None
+        blocks = queues.take(c)
+        while blocks:
+            again = []
+            for b in blocks:
+                p, s = b["at"].astype(np.int64), b["shared"].copy()
+                if at == begin[c]:
+                    s[0] = 0
+                sa[at : at + len(p)], shared[at : at + len(p)] = p, s
+                at, last = at + len(p), p[-1:]
+                mine = up.push(p, s, c)
+                if len(mine[0]):
+                    item = np.empty(len(mine[0]), Queues.ITEM)
+                    item["at"], item["shared"] = mine
+                    again.append(item)
+            blocks = again
+        for a in range(int(star_begin[c]), int(star_begin[c + 1]), BLOCK):
+            p, s = seeds(a, min(a + BLOCK, int(star_begin[c + 1])))
+            if a == star_begin[c]:
+                s[0] = 0 if last is None else shared_prefix(text, last, p[:1])[0]
+            up.push(p, s)
+    queues = Queues(scratch)
+    down = Pusher(text, rising, True, queues, symbols)
+    for c in np.flatnonzero(total)[::-1].tolist():
+        top = int(begin[c + 1])
+        at, link = top, 0  # link: what the next one down shares with the last one placed
+        blocks = queues.take(c)
+        if c == text[n - 1]:
+            item = np.zeros(1, Queues.ITEM)
+            item["at"] = n - 1  # nothing follows it to induce it
+            blocks.append(item)
+        while blocks:
+            again = []
+            for b in blocks:
+                p, s = b["at"].astype(np.int64), b["shared"].copy()
+                if at == top:
+                    s[0] = 0
+                elif c == text[n - 1] and p[0] == n - 1:
+                    s[0] = shared_prefix(text, p[:1], sa[at : at + 1])[0]
+                sa[at - len(p) : at] = p[::-1]
+                # each shares s with the one above it
+                shared[at - len(p) + 1 : min(at + 1, top)] = s[::-1][: min(at + 1, top) - (at - len(p) + 1)]
+                at -= len(p)
+                mine = down.push(p, s, c)
+                if len(mine[0]):
+                    item = np.empty(len(mine[0]), Queues.ITEM)
+                    item["at"], item["shared"] = mine
+                    again.append(item)
+            blocks = again
+        low = int(begin[c] + falling[c])
+        if at != low:
+            raise RuntimeError("a suffix was not induced")
+        if low < top:
+            shared[low] = link = shared_prefix(text, sa[low : low + 1], sa[low - 1 : low])[0] if low > begin[c] else 0
+        for z in range(low, int(begin[c]), -BLOCK):
+            a = max(int(begin[c]), z - BLOCK)
+            p = np.asarray(sa[a:z])[::-1]
+            s = np.append(np.uint8(link), np.asarray(shared[a + 1 : z])[::-1]).astype(np.uint8)
+            link = int(shared[a])
+            down.push(p, s)
+    return sa, shared

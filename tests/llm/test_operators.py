@@ -348,18 +348,28 @@ def test_classifier_on_held_out_rows(spark):
     assert len(none) == 3 and {x.kept for x in none} == {False}
 
 
-@pytest.mark.parametrize("in_memory", [64, 1 << 20])
-def test_suffix_order(in_memory):
+@pytest.mark.parametrize("base", [4, 1 << 20])  # 4: names are sorted by recursion
+@pytest.mark.parametrize("block", [7, 1 << 16])
+@pytest.mark.parametrize("in_memory", [64, 1 << 20])  # 64: queues, text and results lie in files
+def test_suffix_order(monkeypatch, in_memory, block, base):
+    monkeypatch.setattr(induced, "BLOCK", block)
     rng = np.random.default_rng(4)
     for n, k in ((1, 1), (60, 2), (900, 3), (1500, 200)):
-        text = rng.integers(0, k + 1, n).astype(np.uint16)
+        text = rng.integers(1, k + 1, n).astype(np.uint16)
         text[n // 3 : n // 2] = 1
-        text[-2:] = [1, 0][-n:]
-        padded = [*text.tolist(), *[0] * 60]
-        got = induced.suffix_order(text, in_memory).tolist()
-        assert sorted(got) == list(range(n))
-        keys = [padded[i : i + 50] for i in got]
+        if n > 100:
+            text[n // 2 : n // 2 + 90] = text[10:100]
+            text[rng.integers(0, n - 2, 5)] = 0
+        text[-1] = 0
+        padded = [*text.tolist(), *[-1] * 64]
+        scratch = induced.Scratch(in_memory)
+        order, shared = induced.suffix_order(text, scratch, base)
+        assert sorted(order.tolist()) == list(range(n))
+        assert not scratch.files or in_memory == 64
+        keys = [padded[i : i + 50] for i in order.tolist()]
         assert keys == sorted(keys)
+        for x, y, m in zip(keys, keys[1:], shared[1:].tolist()):
+            assert min(m, 50) == next((i for i in range(50) if x[i] != y[i]), 50)
 
 
 def brute_suffix(rows):
@@ -381,21 +391,45 @@ def brute_suffix(rows):
     return out
 
 
-def test_suffix_dedup(spark, corpus):
-    rng = random.Random(11)
-    rows = [*corpus, (1000, "a" * 300), (1001, "b" + "a" * 120 + "c"), (1002, "\0" * 80), (1003, "\0" * 70 + "x")]
-    long = " ".join(t for _, t in corpus if t)[:6000]
-    for i in range(12):
-        s = rng.randrange(len(long) - 200)
-        rows.append((2000 - i, "new %d " % i + long[s : s + 49 + i] + " é " + long[s : s + 150]))
-    rng.shuffle(rows)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(make(spark, rows)).collect()}
+@pytest.mark.parametrize("small", [{}, {"passes": 2, "shard_text": 2000, "hot": 1, "in_memory": 512, "base": 8}])
+def test_suffix_dedup(spark, corpus, small):
+    long = "".join(random.Random(1).choices("ab c", k=30_000))
+    passage = "a passage which every second text of the corpus holds, whole and in one place\n"
+    rows = [*corpus, (2000, long), (2001, "x" + long[500:9000]), (1999, "same text " * 20), (1998, "same text " * 20)]
+    rows += [(3000 + i, f"{i * 7919} " * (i % 9) + passage * (i % 2 + (i == 8)) + f"{i}" * 30) for i in range(80)]
     want = brute_suffix(rows)
-    assert {i: (g, want[i]) for i, g in got.items() if g != want[i]} == {}
-    assert len(got) == len(want)
-    twice = [(None, "z" * 60), (5, "z" * 60), (5, "z" * 60), (6, "z" * 55 + "end")]
-    assert sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.deduplicated(make(spark, twice)).collect()) == [(0, 0), (5, 0), (5, 0), (6, 55)]
-    assert suffix_dedup.deduplicated(make(spark, [])).count() == 0
+    docs = make(spark, rows).withColumns({c: F.lit("own") for c in ("n_bytes", "kept", "_id", "_tag", "_text", "grp", "spans", "shard")})
+    got = {r.doc_id: r for r in suffix_dedup.deduplicated(docs, **small).collect()}
+    assert len(got) == len(rows)
+    for i, w in want.items():
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == w, i
+        assert len(got[i].kept) == got[i].n_bytes - got[i].n_removed
+    twice = [(None, "z" * 60), (5, "z" * 60), (5, "z" * 60), (6, "z" * 55 + "end"), (7, None), (8, "")]
+    assert sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.deduplicated(make(spark, twice), **small).collect()) == [(0, 0), (5, 0), (5, 0), (6, 55), (7, 0), (8, 0)]
+    assert suffix_dedup.deduplicated(make(spark, []), **small).count() == 0
+
+
+def test_suffix_dedup_shard_beyond_its_memory(monkeypatch):
+    """One shard of many keys, with text, queues, heads and results in files, against the same shard in memory."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(200)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(12)]
+    texts += [t[:900] + texts[0][100:700] + t[900:] for t in texts]
+    batch = pa.record_batch([pa.array(range(24)), pa.array(range(24)), pa.array([t.encode() for t in texts], pa.binary())], ["_id", "_tag", "_text"])
+    out = []
+    for in_memory, base, block, heads in ((1 << 25, 1 << 20, 1 << 16, 1 << 18), (1024, 64, 512, 100)):
+        monkeypatch.setattr(suffix_dedup, "HEADS", heads)
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        monkeypatch.setattr(induced, "BLOCK", block)
+        shard = suffix_dedup.Shard(in_memory, base)
+        for r in suffix_dedup._slice_rows(batch, 0, 1, 1, 64):
+            shard.add(r[2], r[5])
+        spans = [np.frombuffer(d, suffix_dedup._SPAN) for b in shard.found(3) for d in b.column(4).to_pylist()]
+        out.append(sorted(map(tuple, np.concatenate(spans).tolist())))
+        shard.close()
+    assert out[0] == out[1] and len(out[0]) > 20
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])

@@ -34,28 +34,3 @@ def chunks(c: Column, size: int = 350, overlap: int = 50, least: int = 20) -> Co
     starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0)), F.lit(size - overlap))
     every = F.transform(F.array(ws), lambda w: F.transform(starts, lambda i: F.slice(w, i + 1, size)))[0]
     return F.transform(F.filter(every, lambda w: F.size(w) >= least), lambda w: F.array_join(w, " "))
-
-
-def parse_citations(c: Column, n: int) -> Column:
-    """Distinct numbers 1..n inside square brackets, ascending."""
-    inside = F.array_join(F.regexp_extract_all(c, F.lit("\\[([0-9, ]+)\\]"), 1), ",")
-    numbers = F.transform(F.regexp_extract_all(inside, F.lit("[0-9]{1,9}"), 0), lambda x: x.cast("int"))
-    return F.array_sort(F.array_distinct(F.filter(numbers, lambda x: (x >= 1) & (x <= n))))
-
-
-def last_answer(c: Column) -> Column:
-    found = F.regexp_extract_all(c, F.lit("(?i)answer\\s*:\\s*\\**([A-E])\\b"), 1)
-    return F.upper(F.get(found, F.size(found) - 1))
-
-
-def strip_think(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "(?is)<think>.*?</think>", ""))
-
-
-def question_type(c: Column) -> Column:
-    """The first kind whose words occur, in order of priority."""
-    kinds = (("emergency", "chest pain|suicid|overdose"), ("dosage", "\\bdos(e|age)\\b|how much"), ("symptom", "symptom|pain|fever"), ("treatment", "treat|therap|cure"), ("diagnosis", "diagnos|test for"), ("definition", "what is|define"))
-    out = F.lit("other")
-    for name, pattern in kinds[::-1]:
-        out = F.when(F.lower(c).rlike(pattern), F.lit(name)).otherwise(out)
-    return out

@@ -87,8 +87,13 @@ QUERIES = collect(
     Plan("gate_retrieval", "SELECT count_if(n <> d) AS with_duplicates, count_if(n < 1) AS empty, count(*) AS queries FROM (SELECT qid, count(*) AS n, count(DISTINCT idx) AS d FROM {ranked} GROUP BY qid) AS x"),
     Plan("gate_rerank", "SELECT count_if(score IS NULL OR isnan(score)) AS not_finite, count(*) - count(DISTINCT (qid, idx)) AS scored_twice FROM {ranked}", "SELECT count_if(score IS NULL OR isnan(score)) AS not_finite, count(*) - count(DISTINCT (qid, idx)) AS scored_twice FROM {ranked}"),
     Plan("audit_overlap", "SELECT 'qid' AS key_name, count(*) AS overlap FROM (SELECT qid FROM {runs} WHERE split = 'validation' INTERSECT SELECT qid FROM {runs} WHERE split = 'test') AS x"),
-    Plan("audit_fit_split", "SELECT model, tau, 'validation' AS fit_split, true AS ok FROM {best_f1}"),
-    Plan("audit_outputs", "SELECT count(*) - count(DISTINCT id) AS duplicates, count_if(pred IS NULL) AS missing, (SELECT count(*) FROM {pairs} WHERE ca < 0) AS misaligned FROM {runs}"),
+    Plan(
+        "audit_fit_split",
+        """
+SELECT model, split AS fit_split, count(*) AS n, split = 'validation' AND count(CASE WHEN qid % 10 >= 3 THEN 1 END) = 0 AS ok
+FROM {runs} GROUP BY model, split""",
+    ),
+    Plan("audit_outputs", "SELECT count(*) - count(DISTINCT id) AS duplicates, count_if(pred IS NULL) AS missing, (SELECT count(*) FROM {runs} AS r JOIN {runs} AS m ON r.qid = m.qid AND m.model = 'm0' WHERE r.gold <> m.gold) AS misaligned FROM {runs}"),
     Plan("verify_run", "SELECT model, count(*) = count(DISTINCT qid) AS one_per_question, avg(CASE WHEN coalesce(parsed, true) THEN 1e0 ELSE 0e0 END) >= 0.9e0 AS parses, count_if(correct) >= count_if(strict) AS consistent FROM {answers} GROUP BY model"),
     Plan("audit_sweeps", "SELECT model, count(DISTINCT qid) AS n, count(DISTINCT category) AS categories FROM {runs} GROUP BY model"),
     Plan("row_schema_gate", "SELECT count_if(id IS NULL) AS no_id, count_if(correct IS NULL) AS no_correct, count_if(strict IS NULL) AS no_strict FROM {answers}"),

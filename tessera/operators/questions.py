@@ -173,7 +173,7 @@ QUERIES = _PLANS | {k: (_prompt(**v), Plan(k, "", _prompt_duck(**v)).oracle()) f
         Plan("", "", f"SELECT qid, array_to_string(list_append(list_transform(list_filter(map_entries(options), lambda e: e.key <> CASE WHEN dataset = 'pubmedqa' THEN 'D' ELSE 'E' END), lambda e: concat(e.key, '. ', e.value)), concat(CASE WHEN dataset = 'pubmedqa' THEN 'D' ELSE 'E' END, '. {prompts.IDK}')), chr(10)) AS options FROM {{questions}}").oracle(),
     ),
     "min_levenshtein": (min_levenshtein_query, "SELECT token, CAST(min(least(3, levenshtein(token, word))) AS INT) AS distance FROM (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS token FROM part) AS t CROSS JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM benchmark) AS v GROUP BY token"),
-    "phrase_hits": (phrase_hits_query, "SELECT phrase, count(DISTINCT doc_id) AS hits FROM (SELECT DISTINCT trim(array_to_string(string_split(text, ' ')[1:3], ' ')) AS phrase FROM benchmark) AS p JOIN documents AS d ON regexp_matches(d.text, '(?i)(^|[^\\p{L}\\p{N}_])' || regexp_escape(phrase) || '($|[^\\p{L}\\p{N}_])') GROUP BY phrase"),
+    "phrase_hits": (phrase_hits_query, "SELECT phrase, count(DISTINCT doc_id) AS hits FROM (SELECT DISTINCT trim(array_to_string(string_split(text, ' ')[1:3], ' ')) AS phrase FROM benchmark) AS p JOIN documents AS d ON regexp_matches(d.text, '(?i)' || CASE WHEN regexp_matches(phrase, '^[\\p{L}\\p{N}_]') THEN '(^|[^\\p{L}\\p{N}_])' ELSE '[\\p{L}\\p{N}_]' END || regexp_escape(phrase) || CASE WHEN regexp_matches(phrase, '[\\p{L}\\p{N}_]$') THEN '($|[^\\p{L}\\p{N}_])' ELSE '[\\p{L}\\p{N}_]' END) GROUP BY phrase"),
     "name_validity": (name_rules, f"""
 SELECT name, coalesce(list_filter(regexp_extract_all(lower(name), '[a-z]+'), lambda t: length(t) >= 3 AND t NOT IN {names.GENERIC})[1], lower(trim(name))) AS token,
   regexp_matches(lower(trim(name)), '{"|".join(names.STEMS)}|({"|".join(names.SUFFIX_STEMS)}|ine)$') AS stem,

@@ -103,7 +103,6 @@ _TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+(?:[-''][\\p{L}\\p{N}_]
 _SPACE_DUCK = f"trim(regexp_replace(text, '{_WS}', ' ', 'g'))"
 _KEY_DUCK = "regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')"
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
-_OUT = "concat('<think>maybe A</think> Answer: ', substr('ABCD', CAST(doc_id % 4 AS INT) + 1, 1), ' [', CAST(doc_id % 9 AS STRING), ', 2][', CAST(doc_id % 3 AS STRING), ']')"
 
 QUERIES = {
     "norm_space": (norm, f"SELECT doc_id, md5({_SPACE_DUCK}) AS space, md5({_KEY_DUCK}) AS key FROM documents"),
@@ -116,17 +115,11 @@ QUERIES = {
     "ngram13_overlap": (ngram13_overlap, f"WITH g AS (SELECT 0 AS side, doc_id AS id, {_TOK} AS ts FROM documents UNION ALL SELECT 1, item_id, {_TOK} FROM benchmark), r AS (SELECT DISTINCT side, id, array_to_string(ts[i : i + 12], ' ') AS g FROM (SELECT side, id, ts, unnest(range(1, len(ts) - 11)) AS i FROM g)) SELECT a.id AS doc_id, b.id AS item_id, count(*) AS shared FROM r a JOIN r b ON a.side = 0 AND b.side = 1 AND a.g = b.g GROUP BY a.id, b.id"),
     "jaccard_pairs": (jaccard_pairs, f"WITH b AS (SELECT item_id, lower({_SPACE_DUCK}) AS t FROM benchmark), g AS (SELECT DISTINCT item_id, substr(t, i, 5) AS g FROM (SELECT item_id, t, unnest(range(1, greatest(length(t) - 4, 1) + 1)) AS i FROM b)), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS s FROM g x JOIN g y ON x.g = y.g AND x.item_id <= y.item_id GROUP BY 1, 2) SELECT a, b, round(s / (na.n + nb.n - s), 9) AS jaccard FROM p JOIN n na ON na.item_id = a JOIN n nb ON nb.item_id = b WHERE round(s / (na.n + nb.n - s), 9) >= 0.8"),
     "stream_runs": (stream_runs, "SELECT DISTINCT event_id, user_id, event_type, value FROM events"),
-    "parse_citations": (lambda s, sf: _read(s, sf, "documents").select("doc_id", F.array_join(T.parse_citations(F.expr(_OUT), 5), ",").alias("cites")), "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([doc_id % 9, 2, doc_id % 3], lambda x: x BETWEEN 1 AND 5))), ',') AS cites FROM documents"),
-    "last_answer": (lambda s, sf: _read(s, sf, "documents").select("doc_id", T.last_answer(F.expr(_OUT)).alias("answer")), "SELECT doc_id, substr('ABCD', CAST(doc_id % 4 AS INT) + 1, 1) AS answer FROM documents"),
-    "strip_think": (lambda s, sf: _read(s, sf, "documents").select("doc_id", T.strip_think(F.expr(_OUT)).alias("said")), f"SELECT doc_id, substr({_OUT}, 24) AS said FROM documents"),
-    "question_type": (lambda s, sf: _read(s, sf, "conversations").groupBy(T.question_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n")), "SELECT CASE WHEN regexp_matches(lower(text), 'chest pain|suicid|overdose') THEN 'emergency' WHEN regexp_matches(lower(text), '\\bdos(e|age)\\b|how much') THEN 'dosage' WHEN regexp_matches(lower(text), 'symptom|pain|fever') THEN 'symptom' WHEN regexp_matches(lower(text), 'treat|therap|cure') THEN 'treatment' WHEN regexp_matches(lower(text), 'diagnos|test for') THEN 'diagnosis' WHEN regexp_matches(lower(text), 'what is|define') THEN 'definition' ELSE 'other' END AS kind, count(*) AS n FROM conversations GROUP BY 1"),
 } | collect(
     Plan("scan_parquet", "SELECT doc_id, source, n_chars FROM {documents}"),
     Plan("scan_head", "SELECT doc_id, source FROM {documents} ORDER BY doc_id LIMIT 100"),
     Plan("sha256_text", "SELECT doc_id, sha2(text, 256) AS digest FROM {documents}", "SELECT doc_id, sha256(text) AS digest FROM {documents}"),
     Plan("min_words", "SELECT doc_id FROM {documents} WHERE size(split(trim(text), '[ \\\\t\\\\n]+')) >= 20", "SELECT doc_id FROM {documents} WHERE len(string_split_regex(trim(text), '[ \\t\\n]+')) >= 20"),
     Plan("dedup_questions", "SELECT key, min(item_id) AS item_id, count(*) - 1 AS dropped FROM (SELECT item_id, md5(regexp_replace(lower(text), '[^a-z0-9]+', '')) AS key FROM {benchmark}) AS x GROUP BY key", "SELECT key, min(item_id) AS item_id, count(*) - 1 AS dropped FROM (SELECT item_id, md5(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS key FROM {benchmark}) AS x GROUP BY key"),
-    Plan("text_anomalies", "SELECT source, count_if(text = '') AS empty, count_if(text RLIKE '[^ -~\\\\n]') AS non_ascii, count_if(contains(text, '  ')) AS double_space FROM {documents} GROUP BY source", "SELECT source, count_if(text = '') AS empty, count_if(regexp_matches(text, '[^ -~\\n]')) AS non_ascii, count_if(contains(text, '  ')) AS double_space FROM {documents} GROUP BY source"),
-    Plan("numeric_noise", "SELECT source, count_if(regexp_count(text, '[0-9]') > 0.4e0 * length(text)) AS noisy FROM {documents} GROUP BY source", "SELECT source, count_if(len(regexp_extract_all(text, '[0-9]')) > 0.4e0 * length(text)) AS noisy FROM {documents} GROUP BY source"),
     Plan("secret_scan", f"SELECT doc_id FROM {{documents}} WHERE text RLIKE 'hf_{'[A-Za-z0-9]' * 30}'", f"SELECT doc_id FROM {{documents}} WHERE regexp_matches(text, 'hf_{'[A-Za-z0-9]' * 30}')"),
 )

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import calibration, inference, questions, runs, text
+from .operators import calibration, inference, questions, responses, runs, text
 
-MODULES: tuple = (runs, calibration, text, questions, inference)
+MODULES: tuple = (runs, calibration, text, questions, inference, responses)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -46,13 +46,48 @@ def test_plans_take_other_inputs(spark):
 def test_functions(spark):
     from pyspark.sql import functions as F
 
-    from tessera.functions import text as T
-
-    rows = [("[1, 2, 3, 4]", [1, 2, 3, 4]), ("[0, 1, 3, 99]", [1, 3]), ("[2, 2, 4][4]", [2, 4]), ("none", [])]
-    for s, want in rows:
-        assert spark.range(1).select(T.parse_citations(F.lit(s), 5).alias("c")).first().c == want
-    assert spark.range(1).select(T.last_answer(F.lit("Answer: A then **Answer: C**")).alias("c")).first().c == "C"
-    assert spark.range(1).select(T.last_answer(F.lit("no")).alias("c")).first().c is None
+    from tessera.functions import responses as R
+    from tessera.functions.prompts import IDK
+
+    one = lambda c: spark.range(1).select(c.alias("c")).first().c
+    cites = [("[1, 2, 3, 4]", [1, 2, 3, 4]), ("[0, 1, 3, 99]", [1, 3]), ("[2, 2, 4][4]", [2, 4]), ("none", []), ("[2][3][4]", [2, 3, 4]), ("so. Evidence: 2 and 4\n5", [2, 4]), ("[see 3]", [3])]
+    for s, want in cites:
+        assert one(R.parse_citations(F.lit(s), 5)) == want
+    assert one(R.last_answer(F.lit("Answer: A then **Answer: C** or answer Z"))) == "C"
+    assert one(R.last_answer(F.lit("no"))) is None
+    four, three = ({k: f"text {k}" for k in "ABCD"}, {"A": "yes", "B": "no", "C": "maybe"})
+    for s, options, want in [
+        ("**B. Some text**", four, "B"), ("**B.**", four, "B"), ("Answer: C. maybe", four, "C"), ("Answer: yes", three, "A"), ("None of the options are correct", four, None),
+        ("Answer: None of the options are correct", four, None), ("Answer: D", four | {"D": IDK}, "ABSTAIN"), (IDK, four, "ABSTAIN"), ("(c)", four, "C"), ("answer: text b", four, "B"),
+    ]:
+        assert one(R.parse_answer(F.lit(s), F.create_map(*[F.lit(x) for kv in options.items() for x in kv]))) == want, s
+    assert one(R.close_think(F.lit("<think>a"))) == "<think>a\n</think>" and one(R.close_think(F.lit("<Think>a</think>"))) == "<Think>a</think>"
+    assert [one(R.final_segment(F.lit(s))) for s in ("<think>a</think>b</THINK> c", "<think>a", "a", "")] == [" c", "", "a", ""]
+    assert one(R.strip_think(F.lit(" <think>a\n</think> b </think>"))) == "b"
+    assert [one(R.final_cites(F.lit(s))) for s in ("Evidence: [1]</think>Evidence: [3], [2] and x", "x [1]")] == [[2, 3], None]
+    assert [one(R.verbal_abstention(F.lit(s))) for s in ("Answer: **None** of", "Cannot say", "Answer: B", None)] == [True, True, False, False]
+    assert [one(R.loop_suspect(F.lit(s))) for s in ("ab" * 500, "ab", "".join(chr(97 + i * i * 7 % 26) + str(i * 7919) for i in range(200)))] == [True, False, False]
+    assert [one(R.format_p(F.lit(p).cast("double"))) for p in (None, 0.0, 0.00012, 0.04)] == ["n/a", "< 1e-300", "1.20e-04", "0.04000"]
+    for s, kind in [("hi!", "greeting"), ("", "unclear"), ("is it", "unclear"), ("my baby has a fever", "pregnancy_child"), ("can I take two tablets", "medicine_safety"), ("how to stop the bleeding", "treatment"), ("I have a bad cough", "symptoms"), ("what is a virus really", "general_info")]:
+        assert one(R.question_type(F.lit(s))) == kind, s
+    assert one(R.question_type(F.lit("unconscious"), emergency=True)) == "symptoms"
+
+
+def test_gates_fail_where_they_should(spark):
+    from tessera.operators import responses as O
+
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    chunks = spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, chunk_id string")
+    vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, [float("nan"), 0.0])], "vec_id long, embedding array<double>")
+    got = {r.gate: r.ok for r in O.gate_index(docs, chunks, vectors).collect()}
+    assert not (got["chunks_cover_documents"] or got["chunk_ids_unique"] or got["vectors_finite"])
+    words = " ".join(f"w{i}" for i in range(15))
+    train = spark.createDataFrame([(words,)], "text string")
+    test = spark.createDataFrame([(1, words, "short"), (2, "other", words[:30])], "item_id long, question string, options string")
+    assert {r.field: (r.contaminated, r.ok) for r in O.audit_ngram(train, test).collect()} == {"question": (1, False), "options": (0, True)}
+    with pytest.raises(ValueError):
+        O.refuse_shards(["/a/b.jsonl", "/a/run_shard1.jsonl"])
+    assert O.refuse_shards(["/a_shard/b.jsonl"]) == ["/a_shard/b.jsonl"]
 
 
 def test_sources(spark, tmp_path):

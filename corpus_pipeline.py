@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, lines, packing, quality, secrets
 from tessera.llm.common import written
@@ -21,9 +20,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (0.8 or more of the five-word shingles shared): the one that names it. Rows without an id stay."""
-    firsts = jaccard.near_duplicates(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(firsts.withColumnRenamed("doc_id", "_first"), docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi")
+    """One document of each group of near-duplicates (SimHash proposes, 0.8 or more of the five-word shingles decide)."""
+    return jaccard.first_documents(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: all pairs of 0.8 or more, by prefix filter and verification.
+"""Near-duplicates of five-word shingles by SimHash: its balls propose pairs, and exact Jaccard similarity decides.
+
+Sets that share 0.8 are often more than three bits apart, so a prefix filter finds what the balls leave: all pairs of 0.8
+or more, whatever their fingerprints.
 
 Shingles of all documents have one order. Two sets of n and m shingles that share LEAST of their union share at least
 o = ceil(LEAST / (1 + LEAST) * (n + m)), so the first that they share stands before the last o - 1 of both: sets meet in
@@ -15,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import discard, fresh, slices, table_path, written
 from .components import connected_components
+from .simhash import fingerprint
+from .simhash import links as ball_links
 
 #: Words of a shingle; the least similarity, as a fraction.
 WORDS, LEAST = 5, (4, 5)
@@ -51,60 +56,107 @@ def overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-a * (n + m) // (a + b))
 
 
-def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(_id, fp, set): fp is a hash of the set. Of equal sets that a task meets only the first row has it, others null."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+LOWEST = -(1 << 63)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text); a null id is the least number."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+
+
+def _set_hash(shingled: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(shingled.tobytes())
+
+
+def signature(shingled: np.ndarray) -> bytes:
+    """How many shingles fall to each of 2**k stretches of the hashes, a byte each; about four a stretch."""
+    k = max(3, int(len(shingled)).bit_length() - 2)
+    counts = np.bincount((shingled >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def may_share(x: bytes, y: bytes) -> float:
+    """More shingles than sets of these signatures can share there are none."""
+    if not x or not y:
+        return float("inf")
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.minimum(a, b.reshape(len(a), -1).sum(axis=1)).sum())
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(_id, tag, fp, sim, n, sig) of each row: hashes of the text and of its set of shingles, its SimHash, the set's size
+    and signature.
+    """
+    rows = _rows(docs, id_col, text_col).select("_id", F.xxhash64("_text").alias("tag"), "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for b in slices(batches, "_text"):
+            texts = b.column(2).to_pylist()
+            own = [shingles(t, words) for t in texts]
+            fp = np.array([_set_hash(x) for x in own], np.uint64).view(np.int64)
+            sim = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            size, sig = pa.array(map(len, own), pa.int64()), pa.array(map(signature, own), pa.binary())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp), pa.array(sim), size, sig], ["_id", "tag", "fp", "sim", "n", "sig"])
 
+    return rows.mapInArrow(run, "_id long, tag long, fp long, sim long, n long, sig binary")
+
+
+def sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """(fp, set) of _rows(): of equal sets that a task meets only the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for b in slices(batches, "_text"):
             fps, lists = [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, words)
-                fp = xxhash.xxh64_intdigest(s.tobytes())
-                fps.append(fp)
-                lists.append(None if fp in seen else s.view(np.int64))
-                seen.add(fp)
-            yield pa.record_batch([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(lists, pa.list_(pa.int64()))], ["_id", "fp", "set"])
+                fp = _set_hash(s)
+                if fp not in seen:
+                    seen.add(fp)
+                    fps.append(fp)
+                    lists.append(s.view(np.int64))
+            yield pa.record_batch([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(lists, pa.list_(pa.int64()))], ["fp", "set"])
 
-    return rows.mapInArrow(run, "_id long, fp long, set array<long>")
+    return rows.mapInArrow(run, "fp long, set array<long>")
 
 
-def frequent(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent(rows: DataFrame, total: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of several documents of a sample, sorted, and how many have each."""
-    total = own.count()
     share = int((1 << 20) * min(1.0, SAMPLE / max(total, 1)))
-    some = own.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share).select(F.explode("set").alias("h"))
+    some = sets(rows.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < share), words).select(F.explode("set").alias("h"))
     got = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     h, n = got.column("h").to_numpy(), got.column("n").to_numpy()
     by = np.argsort(h)
     return h[by], n[by]
 
 
-def prefixes(own: DataFrame, known: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(key, n, pos, fp): the first shingles of each set, its size, and the shingle's place in it."""
+def prefixes(rows: DataFrame, known: np.ndarray, counts: np.ndarray, words: int = WORDS) -> DataFrame:
+    """(key, place, fp): the first shingles of each set, and in place the set's size (above) and the shingle's place in it."""
     a, b = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[np.zeros(0, np.int64)] for _ in range(4)]
-            for fp, s in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h = s.values.to_numpy()
-                n = len(h)
-                if not n:
+        seen = set()  # one Python step, not two in a row: each would keep a worker of its own
+        for batch in slices(batches, "_text"):
+            out = [[np.zeros(0, np.int64)] for _ in range(3)]
+            for t in batch.column(1).to_pylist():
+                own = shingles(t, words)
+                fp, n = _set_hash(own), len(own)
+                if not n or fp in seen:
                     continue
+                seen.add(fp)
+                h = own.view(np.int64)
                 rank = np.zeros(n, np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     rank = np.where(known[at] == h, counts[at], 0)
                 first = h[np.lexsort((h, rank))[: n - -(-a * n // b) + 1]]
-                for col, x in zip(out, (first, np.full(len(first), n), np.arange(len(first)), np.full(len(first), fp))):
+                for col, x in zip(out, (first, n << 32 | np.arange(len(first)), np.full(len(first), np.uint64(fp).view(np.int64)))):
                     col.append(x)
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], ["key", "n", "pos", "fp"])
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], ["key", "place", "fp"])
 
-    return own.select("fp", "set").mapInArrow(run, "key long, n long, pos long, fp long")
+    return rows.mapInArrow(run, "key long, place long, fp long")
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -128,16 +180,18 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of buckets of several sets, each once."""
-    for key, n, pos, fp in _buckets(batches):
+    for key, place, fp in _buckets(batches):
         new = np.append(True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]))
-        key, n, pos, fp = key[new], n[new], pos[new], fp[new]
+        key, place, fp = key[new], place[new], fp[new]
         same = key[1:] == key[:-1]
         keep = np.append(same, False) | np.append(False, same)
-        yield pa.record_batch([pa.array(c[keep]) for c in (key, n, pos, fp)], ["key", "n", "pos", "fp"])
+        yield pa.record_batch([pa.array(c[keep]) for c in (key, place >> 32, place & 0xFFFFFFFF, fp)], ["key", "n", "pos", "fp"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket that may be near and have different roots; of members up to most places apart, or all."""
+    """Pairs of a bucket that may be near and have different roots: a stands before b in order of size, up to most places
+    apart; or all, the least first.
+    """
     a, b = LEAST
     for key, n, pos, fp, root in _buckets(batches):
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -152,7 +206,9 @@ def _pairs(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.R
             ok = (root[i] != root[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= overlap(n[i], n[j]))
             if ok.any():
                 x, y = fp[i[ok]], fp[j[ok]]
-                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                if most is None:
+                    x, y = np.minimum(x, y), np.maximum(x, y)
+                yield pa.record_batch([pa.array(x), pa.array(y)], ["a", "b"])
             d += 1
 
 
@@ -165,33 +221,77 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """The pairs (a, b) of fps whose sets are near."""
-    pairs = written(pairs.distinct())
+def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures leave room for a near pair."""
+    for batch in batches:
+        a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+        keep = [may_share(p, q) >= int(overlap(k, j)) for k, j, p, q in zip(n, m, x, y)]
+        yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(pairs: DataFrame, own: DataFrame, rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b) of fps whose sets are near. Signatures rule most others out; only texts that a pair needs are read
+    into sets. own: fp, n, sig, and first (an id of a row with that set).
+    """
+    side = lambda x, n, s: own.select(F.col("fp").alias(x), F.col("n").alias(n), F.col("sig").alias(s))
+    both = pairs.distinct().join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    pairs = written(both.mapInArrow(_maybe, "a long, b long"))
     need = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    bits = F.broadcast(need.select(F.pmod("fp", F.lit(BITS)).alias("bit")).distinct())  # BITS rows at most
-    maybe = own.select("fp", "set").join(bits, F.pmod(own.fp, F.lit(BITS)) == bits.bit, "left_semi")
-    some = written(maybe.join(need, "fp", "left_semi").dropDuplicates(["fp"]))
+    ids = written(need.join(own, "fp").select("first").distinct())
+    bits = F.broadcast(ids.select(F.pmod(F.xxhash64("first"), F.lit(BITS)).alias("bit")).distinct())  # BITS rows at most
+    maybe = rows.join(bits, F.pmod(F.xxhash64("_id"), F.lit(BITS)) == bits.bit, "left_semi")
+    some = written(sets(maybe.join(ids, maybe["_id"] == ids["first"], "left_semi"), words))
     both = pairs.join(some.select(F.col("fp").alias("a"), F.col("set").alias("s")), "a").join(some.select(F.col("fp").alias("b"), F.col("set").alias("t")), "b")
-    return written(both.select("a", "b", "s", "t").mapInArrow(_near, "a long, b long"))
+    near = written(both.select("a", "b", "s", "t").mapInArrow(_near, "a long, b long"))
+    discard(rows.sparkSession, *map(table_path, (pairs, ids, some)))
+    return near
+
 
+def proposed(sims: DataFrame) -> DataFrame:
+    """Pairs (a, b) of fps that SimHash's balls bring together (simhash.links()), and of those with one SimHash."""
+    least = sims.groupBy("sim").agg(F.min("fp").alias("of"))
+    same = sims.join(least, "sim").where("fp <> of").select(F.least("fp", "of").alias("a"), F.greatest("fp", "of").alias("b"))
+    x, y = least.select(F.col("sim").alias("a"), F.col("of").alias("x")), least.select(F.col("sim").alias("b"), F.col("of").alias("y"))
+    near = ball_links(least.select(F.col("sim").alias("fp"))).join(x, "a").join(y, "b")
+    return same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
-def links(own: DataFrame) -> DataFrame:
-    """own: fp, set. Near pairs that connect all sets which near pairs connect. Neighbours in size are compared first;
-    then every pair of a bucket that these links leave apart, so that a group of near copies isn't compared in square.
+
+def links(own: DataFrame, sims: DataFrame, rows: DataFrame, total: int, words: int = WORDS) -> DataFrame:
+    """Near pairs that connect all sets which near pairs connect. own: fp, n, sig, first, a row for each set; sims: fp, sim.
+
+    Verified first are the pairs that SimHash proposes and, for each set, the one before it (in order of size) with which it
+    meets in most buckets; so a group of near copies is connected in pairs as many as its members. Once more for sets that
+    these links leave apart; then every pair of a bucket that is still apart, so that no link is lost.
     """
     order = ["key", "n", "fp"]
-    rows = prefixes(own, *frequent(own)).repartition("key").sortWithinPartitions("key", "fp")
-    rows = written(rows.mapInArrow(_shared, "key long, n long, pos long, fp long"))
-
-    def paired(df: DataFrame, most: int | None) -> DataFrame:
+    pre = prefixes(rows, *frequent(rows, total, words), words).repartition("key").sortWithinPartitions("key", "fp")
+    pre = written(pre.mapInArrow(_shared, "key long, n long, pos long, fp long"))
+
+    def paired(near: DataFrame | None, most: int | None) -> DataFrame:
+        if near is None:
+            df = pre.withColumn("root", F.col("fp"))
+        else:
+            roots = connected_components(near)
+            df = pre.join(roots, pre.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
         df = df.select("key", "n", "pos", "fp", "root").repartition("key").sortWithinPartitions(*order)
         return df.mapInArrow(lambda batches: _pairs(batches, most), "a long, b long")
 
-    first = verified(paired(rows.withColumn("root", F.col("fp")), NEIGHBOURS), own)
-    roots = connected_components(first)
-    apart = rows.join(roots, rows.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
-    return first.unionByName(verified(paired(apart, None), own))
+    def closest(df: DataFrame) -> DataFrame:
+        met = df.groupBy("b", "a").agg(F.count("*").alias("k"))
+        return met.groupBy("b").agg(F.max(F.struct("k", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+
+    near = verified(proposed(sims).unionByName(closest(paired(None, NEIGHBOURS))), own, rows, words)
+    near = written(near.unionByName(verified(closest(paired(near, NEIGHBOURS)), own, rows, words)))
+    return near.unionByName(verified(paired(near, None), own, rows, words))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(_id, tag, root) for each row of docs: rows that links between near sets connect have one root."""
+    every = written(sketches(docs, id_col, text_col, words))
+    sims = written(every.select("fp", "sim").distinct())
+    own = written(every.groupBy("fp").agg(F.min("_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    roots = connected_components(links(own, sims, _rows(docs, id_col, text_col), every.count(), words))
+    return every.join(roots, every.fp == roots.node, "left").select("_id", "tag", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -200,10 +300,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Nulls and empty texts are copies of each other; rows with a null id get their group's component_id; repeated rows
     stay. An empty table gives an empty result. Other columns are not looked at.
     """
-    every = written(sets(docs, id_col, text_col, words))
-    roots = connected_components(links(every.where("set IS NOT NULL").select("fp", "set")))
-    firsts = every.groupBy("fp").agg(F.min("_id").alias("first"))
-    own = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = own.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = own.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return every.select(F.col("_id").alias(id_col), "fp").join(named, F.col("fp") == F.col("_fp")).select(id_col, "component_id")
+    rows = classes(docs, id_col, text_col, words).withColumn("_id", F.expr(f"nullif(_id, {LOWEST + 1} - 1)"))
+    least = rows.groupBy("root").agg(F.min("_id").alias("component_id"))
+    return rows.join(least, "root").select(F.col("_id").alias(id_col), "component_id")
+
+
+def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """docs without near-duplicates: of each group the row of least id stays (nulls come last, ties go by a hash of the
+    text), and of repeated rows one. The columns of docs stay, whatever their names. An empty table gives an empty one.
+    """
+    by = F.struct((F.col("_id") == LOWEST).alias("none"), F.col("_id").alias("i"), F.col("tag").alias("t"))
+    first = written(classes(docs, id_col, text_col, words).groupBy("root").agg(F.min(by).alias("m")).select("m.i", "m.t"))
+    i, t, j, u = (fresh(docs, c) for c in ("_i", "_t", "_j", "_u"))
+    keys = docs.withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), t: F.xxhash64(F.col(text_col).cast("string"))})
+    first = first.select(F.col("i").alias(j), F.col("t").alias(u))
+    kept = keys.join(first, (F.col(i) == F.col(j)) & (F.col(t) == F.col(u)), "left_semi")
+    return kept.dropDuplicates([i, t]).select(*docs.columns)

@@ -37,18 +37,26 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return later.groupBy(id_col, "_text").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("removed"))
 
 
+def _with_removed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows (row: the columns of docs, removed), and from them kept_text, n_lines and n_removed."""
+    gone = removals(docs, id_col, text_col).select(F.col(id_col).alias("i"), F.col("_text").alias("t"), "removed")
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text_col).alias("hash"))
+    df = df.join(gone, (F.col("row")[id_col] == F.col("i")) & (F.col("hash") == F.col("t")), "left").select("row", "removed")
+    text = F.col("row")[text_col]
+    ls = _lines(text)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("removed"))
+    text = F.when(F.col("removed").isNull(), text).otherwise(_joined(ls, kept))
+    return df, {"kept_text": text, "n_lines": F.size(ls).cast("long"), "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long")}
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with kept_text, n_lines and n_removed. A null text counts as empty, and its kept_text is null; rows without an
-    id stay whole and take no part; repeated rows lose the same lines; clashing columns are replaced.
+    id stay whole and take no part; repeated rows lose the same lines; columns of these names are replaced, others stay.
+    An empty table gives an empty result.
     """
-    docs = docs.drop(*[c for c in ("kept_text", "n_lines", "n_removed") if c not in (id_col, text_col)])
-    gone = removals(docs, id_col, text_col).withColumnsRenamed({id_col: "_id", "_text": "_key"})
-    df = docs.withColumn("_hash", F.xxhash64(text_col))
-    df = df.join(gone, (F.col(id_col) == F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
-    ls = _lines(F.col(text_col))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(_joined(ls, kept))
-    return df.select(*docs.columns, text.alias("kept_text"), F.size(ls).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))
+    df, made = _with_removed(docs, id_col, text_col)
+    keep = [F.col("row")[c].alias(c) for c in docs.columns if c in (id_col, text_col) or c not in made]
+    return df.select(*keep, *[c.alias(name) for name, c in made.items()])
 
 
 def _joined(ls: Column, kept: Column) -> Column:
@@ -60,13 +68,16 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with the kept text in text_col (and its length in length_col, if there is one); documents that lose lines and
     are left without a word go. The columns of docs stay.
     """
-    df = deduplicated(docs, id_col, text_col).where((F.col("n_removed") == 0) | (F.btrim("kept_text", F.lit(SPACE)) != ""))
+    df, made = _with_removed(docs, id_col, text_col)
+    df = df.select("row", "removed", made["kept_text"].alias("kept_text"))
+    df = df.where(F.col("removed").isNull() | (F.btrim("kept_text", F.lit(SPACE)) != ""))
     out = []
     for c in docs.columns:
+        was = F.col("row")[c]
         if c == text_col:
-            out.append(F.col("kept_text").alias(c))
+            out.append(F.col("kept_text").cast(docs.schema[c].dataType).alias(c))
         elif c == length_col:
-            out.append(F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
+            out.append(F.when(F.col("removed").isNotNull(), F.char_length("kept_text")).otherwise(was).cast(docs.schema[c].dataType).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(was.alias(c))
     return df.select(*out)

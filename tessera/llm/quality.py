@@ -12,17 +12,16 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Rows on which cost and selectivity are estimated. Only the order of the rules depends on them, never a verdict.
-SAMPLE_ROWS = 500
+#: Rows on which cost and selectivity are estimated, about.
+SAMPLE_ROWS = 2000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """fails: true where a document is rejected. needs: names of measures that must be there first."""
+    """fails: true where a document is rejected."""
 
     name: str
     fails: Column
-    needs: tuple[str, ...] = ()
 
 
 def words(text: Column) -> Column:
@@ -68,93 +67,125 @@ def covered(positions: Column, window: int = WINDOW) -> Column:
     return F.aggregate(positions, start, step, lambda acc: acc["total"])
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and _n_lines (long). A null text has none of each."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    df = docs.withColumn("_text", text).withColumn("_words", words(F.col("_text"))).withColumn("_lines", lines)
-    ws, ls = F.col("_words"), F.col("_lines")
-    df = df.select(
-        "*",
-        F.size(ws).cast("bigint").alias("n_words"),
-        F.char_length(F.array_join(ws, "")).cast("bigint").alias("word_chars"),
-        F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
-        (F.size(ls) - F.size(F.array_distinct(ls))).cast("bigint").alias("n_dup_lines"),
-        F.size(ls).cast("bigint").alias("_n_lines"),
-        repeat_words(ws).alias("n_repeat_words"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    return df.drop("_words", "_lines")
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-
-
-def rules() -> list[Rule]:
-    """Rejected: much punctuation of markup, tables or shouting; odd word lengths; text that is mostly repeated lines."""
-    text = F.col("_text")
-    n = F.col("n_words")
+def _measures(ws: Column, ls: Column, text: Column) -> dict[str, Column]:
+    """Each measure by name, from the words, the lines that hold one, and the text."""
+    return {
+        "n_words": F.size(ws).cast("bigint"),
+        "word_chars": F.char_length(F.array_join(ws, "")).cast("bigint"),
+        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint"),
+        "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("bigint"),
+        "n_lines": F.size(ls).cast("bigint"),
+        "n_repeat_words": repeat_words(ws),
+    }
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+
+
+def _apart(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row: the columns of docs, text, words, barrier): nothing of docs can clash with what is worked out."""
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # the barrier is not deterministic, so filters stay above and words are worked out once
+    return df.select("row", "text", words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("barrier"))
+
+
+def base_failed(m: dict[str, Column]) -> Column:
+    return (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+
+
+def rules(m: dict[str, Column], text: Column) -> list[Rule]:
+    """m: measures. Rejected: much punctuation of markup, tables or shouting; odd word lengths; text that is mostly repeated lines."""
+    n = m["n_words"]
     letters = F.char_length(F.regexp_replace(text, "[^\\p{L}]+", ""))
     capitals = F.regexp_count(text, F.lit("\\p{Lu}"))
     return [
         Rule("few_words", n < 20),
-        Rule("repeated_windows", 100 * F.col("n_repeat_words") > 30 * n),
-        Rule("symbols", 100 * F.col("n_symbols") > 10 * n),
-        Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 14 * n)),
-        Rule("repeated_lines", (F.col("n_dup_lines") * 2 > F.col("_n_lines")) & (F.col("n_dup_lines") >= 4)),
+        Rule("repeated_windows", 100 * m["n_repeat_words"] > 30 * n),
+        Rule("symbols", 100 * m["n_symbols"] > 10 * n),
+        Rule("word_length", (m["word_chars"] < 2 * n) | (m["word_chars"] > 14 * n)),
+        Rule("repeated_lines", (m["n_dup_lines"] * 2 > m["n_lines"]) & (m["n_dup_lines"] >= 4)),
         Rule("capitals", 100 * capitals > 25 * letters),
         Rule("exclamations", 100 * F.regexp_count(text, F.lit("!!")) > 10 * n),
         Rule("stutter", 100 * F.regexp_count(text, F.lit("(?<!\\S)(\\S+)\\s+(?=\\1(?!\\S))")) > 20 * n),
-        Rule("few_letters", 100 * letters < 50 * F.col("word_chars")),
+        Rule("few_letters", 100 * letters < 50 * m["word_chars"]),
     ]
 
 
-def ordered(sample: DataFrame, given: Sequence[Rule]) -> list[Rule]:
-    """Rules by rejection per cost, highest first: each is timed, with its selectivity, on the sample's rows."""
-    rows = sample.count()
-    if not rows:
-        return list(given)
+def _sampled(docs: DataFrame, text_col: str, rows: int) -> DataFrame:
+    """About so many texts, taken by a hash from the whole table, with their words."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    share = int((1 << 20) * min(1.0, rows / max(docs.count(), 1))) + 1
+    some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share)
+    return some.select("text", words(F.col("text")).alias("words"))
 
-    def run(c: Column) -> tuple[float, float]:
-        began = time.perf_counter()
-        hit = sample.agg(F.count(F.when(c, 1))).first()[0]
-        return hit / rows, time.perf_counter() - began
 
-    empty = min(run(F.lit(False))[1] for _ in range(2))
-    score = {}
-    for r in given:
-        rate, took = run(r.fails)
-        score[r.name] = rate / max(took - empty, 1e-3)
-    return sorted(given, key=lambda r: (-score[r.name], r.name))
+def ordered(docs: DataFrame, text_col: str = "text", given: Callable[[dict[str, Column], Column], list[Rule]] = rules, rows: int = SAMPLE_ROWS) -> list[str]:
+    """Names of the rules by rejection per cost, highest first. On a hash sample each is counted and timed with all that it
+    needs (the least of three runs, less that of a run without a rule). Only the order depends on it, never a verdict.
+    """
+    text = F.col("text")
+    every = given(_measures(F.col("words"), _lines(text), text), text)
+    sample = _sampled(docs, text_col, rows).cache()
+    try:
+        n = sample.count()
+        if not n:
+            return [r.name for r in every]
+
+        def run(c: Column) -> tuple[int, float]:
+            best = float("inf")
+            for _ in range(3):
+                began = time.perf_counter()
+                hit = sample.agg(F.count(F.when(c, 1))).first()[0]
+                best = min(best, time.perf_counter() - began)
+            return hit, best
+
+        run(F.col("words").isNull())  # code is compiled
+        empty = run(F.col("words").isNull())[1]
+        score = {}
+        for r in every:
+            hit, took = run(r.fails)
+            score[r.name] = hit / n / max(took - empty, empty / 100)
+    finally:
+        sample.unpersist()
+    return sorted(score, key=lambda name: (-score[name], name))
 
 
 def cascade(order: Sequence[Rule]) -> Column:
-    """True where no rule rejects. CASE evaluates its branches in order and stops at the first that holds."""
+    """True where no rule rejects. CASE evaluates its branches in order and stops at the first that holds, so what a later
+    rule measures is not worked out for a text that an earlier one rejects.
+    """
     out = F.lit(True)
     for r in reversed(order):
         out = F.when(F.coalesce(r.fails, F.lit(False)), F.lit(False)).otherwise(out)
     return out
 
 
-def assessed(docs: DataFrame, text_col: str = "text", given: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS, keep_row: bool = False) -> DataFrame:
-    """docs with the base measures, base_failed and kept (no rule rejects). Row for row; repeated rows stay; a null or
-    empty text has no words and fails. Columns of docs that clash with the measures are replaced.
-    """
-    clash = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_text", "_n_lines", "_row"} - {text_col}
-    docs = docs.drop(*[c for c in docs.columns if c in clash])
-    df = measured(docs, text_col)
-    given = rules() if given is None else list(given)
-    names = [c for c in df.columns if c not in docs.columns]
-    few = df.select(*names).limit(sample_rows).cache()
-    try:
-        order = ordered(few, given)
-    finally:
-        few.unpersist()
-    return df.withColumns({"base_failed": base_failed(), "kept": cascade(order)}).drop("_text", "_n_lines", *([] if keep_row else ["_row"]))
+def _by(order: Sequence[str], every: Sequence[Rule]) -> list[Rule]:
+    named = {r.name: r for r in every}
+    return [named[name] for name in order]
+
 
+def assessed(docs: DataFrame, text_col: str = "text", given: Callable[[dict[str, Column], Column], list[Rule]] = rules, order: Sequence[str] | None = None) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed and kept (no rule rejects).
 
-def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that no rule rejects, with the columns of docs."""
-    # _row is not deterministic: with it the filter stays above the measures, which are then worked out once
-    return assessed(docs, text_col, keep_row=True).where("kept AND _row >= 0").select(*docs.columns)
+    Row for row; repeated rows stay; a null or empty text has no words and fails. Columns of docs of these names are
+    replaced, all others stay. An empty table gives an empty result.
+    """
+    order = ordered(docs, text_col, given) if order is None else order
+    text = F.col("text")
+    made = _measures(F.col("words"), _lines(text), text)
+    df = _apart(docs, text_col).select("row", "text", "barrier", *[c.alias(f"m_{name}") for name, c in made.items()])
+    m = {name: F.col(f"m_{name}") for name in made}
+    out = {name: m[name] for name in made if name != "n_lines"} | {"base_failed": base_failed(m), "kept": cascade(_by(order, given(m, text)))}
+    return df.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in out], *[c.alias(name) for name, c in out.items()])
+
+
+def kept_documents(docs: DataFrame, text_col: str = "text", given: Callable[[dict[str, Column], Column], list[Rule]] = rules, order: Sequence[str] | None = None) -> DataFrame:
+    """The rows of docs that no rule rejects, with the columns of docs as they are. Measures are worked out within the
+    cascade, where a rule asks for them. Repeated rows stay; null, empty and short texts go.
+    """
+    order = ordered(docs, text_col, given) if order is None else order
+    text = F.col("text")
+    kept = cascade(_by(order, given(_measures(F.col("words"), _lines(text), text), text)))
+    return _apart(docs, text_col).where(kept & (F.col("barrier") >= 0)).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -3,6 +3,7 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from tessera.llm import jaccard
@@ -67,7 +68,31 @@ def test_groups_are_those_of_all_pairs(spark, rows, monkeypatch, frequent):
 
 def test_stage_keeps_one_of_each_group(spark, rows):
     want, _ = brute_groups(rows)
-    docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
-    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
-    assert None in kept and sorted(i for i in kept if i is not None) == sorted(set(want.values()))
+    more = [(None, rows[0][1]), rows[5], rows[5], (7001, "only here " * 9), (7001, "other text of that id " * 9), (7001, "only here " * 9), (None, "no id at all " * 9)]
+    docs = spark.createDataFrame([(*r, k, "x") for k, r in enumerate([*rows, *more])], "doc_id long, text string, _i int, _First string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [r.doc_id for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([*set(want.values()), 7001, 7001, None], key=str)
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_simhash_proposes_pairs_with_few_changes(spark):
+    rng = random.Random(3)
+    vocab = ["".join(rng.choices("aeiourstln", k=6)) for _ in range(400)]
+    texts = []
+    for _ in range(30):
+        words = rng.choices(vocab, k=900)
+        texts += [" ".join(words), " ".join(["changed", *words[1:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 20 <= jaccard.proposed(jaccard.sketches(docs).select("fp", "sim")).count() <= 30
+    assert jaccard.first_documents(docs).count() == 30
+
+
+def test_signatures_never_rule_out_what_is_shared():
+    rng = np.random.default_rng(8)
+    for n in (1, 9, 200, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, n // 2 + n // 7).astype(np.uint64)]))
+        most = jaccard.may_share(jaccard.signature(x), jaccard.signature(y))
+        assert len(np.intersect1d(x, y)) <= most <= len(x)

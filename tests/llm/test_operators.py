@@ -52,26 +52,45 @@ def brute_quality(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(hit), len(w) < 20 or 100 * len(hit) > 30 * len(w)
 
 
+def brute_verdict(t):
+    import regex
+
+    t = t or ""
+    n, chars, symbols, dup, _, failed = brute_quality(t)
+    full = [x for x in t.split("\n") if words_of(x)]
+    letters, capitals = len(regex.findall(r"\p{L}", t)), len(regex.findall(r"\p{Lu}", t))
+    ws = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w]
+    again = sum(a == b for a, b in zip(ws, ws[1:]))
+    bad = [failed, symbols > 0.1 * n, chars < 2 * n or chars > 14 * n, dup >= 4 and 2 * dup > len(full), 4 * capitals > letters]
+    return not any([*bad, t.count("!!") > 0.1 * n, again > 0.2 * n, 2 * letters < chars])
+
+
 def test_quality(spark, corpus):
-    got = quality.assessed(make(spark, corpus)).collect()
-    want = {i: brute_quality(t) for i, t in corpus}
-    assert len(got) == len(corpus)
+    rng = random.Random(11)
+    some = [" ".join(rng.choices(["word", "other", "Then", "CAP", "#", "x", "12", "!!", "wow!!", "longerwordsthanusual", "é\n", "a b c\n"], k=60)) for _ in range(80)]
+    rows = [*corpus, *[(5000 + k, t) for k, t in enumerate(some)], (9000, "very long text " * 20_000)]
+    got = quality.assessed(make(spark, rows)).collect()
+    want = {i: brute_quality(t) for i, t in rows}
+    assert len(got) == len(rows)
     for r in got:
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == want[r.doc_id]
-        assert not (r.base_failed and r.kept)
     kept = {r.doc_id for r in got if r.kept}
-    assert {r.doc_id for r in quality.kept_documents(make(spark, corpus)).collect()} == kept
-    assert quality.assessed(make(spark, [])).count() == 0
-    clash = make(spark, corpus).withColumn("n_words", F.lit("mine")).withColumn("kept", F.lit(None).cast("string"))
+    assert kept == {i for i, t in rows if brute_verdict(t)} and 10 < len(kept) < len(rows) - 10
+    assert {r.doc_id for r in quality.kept_documents(make(spark, rows)).collect()} == kept
+    assert quality.assessed(make(spark, [])).count() == 0 and quality.kept_documents(make(spark, [])).count() == 0
+    own = ("n_words", "kept", "_words", "words", "row", "barrier", "m_n_words", "_row")
+    clash = make(spark, rows).withColumns({c: F.lit("mine") for c in own})
     assert {r.doc_id for r in quality.assessed(clash).where("kept").collect()} == kept
+    still = quality.kept_documents(clash)
+    assert still.columns == clash.columns and {tuple(r[c] for c in own) for r in still.collect()} == {("mine",) * len(own)}
 
 
 def test_quality_order_never_changes_a_verdict(spark, corpus):
-    df = quality.measured(make(spark, corpus))
-    rules = quality.rules()
-    a = df.select("doc_id", quality.cascade(rules).alias("k")).collect()
-    b = df.select("doc_id", quality.cascade(rules[::-1]).alias("k")).collect()
-    assert sorted(a) == sorted(b)
+    docs = make(spark, corpus)
+    order = quality.ordered(docs)
+    assert sorted(order) == sorted(r.name for r in quality.rules({n: F.lit(0) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")}, F.lit("")))
+    kept = lambda o: sorted(r.doc_id for r in quality.kept_documents(docs, order=o).collect())
+    assert kept(order) == kept(order[::-1]) == kept(sorted(order))
 
 
 def brute_lines(rows):
@@ -99,6 +118,10 @@ def test_lines(spark, corpus):
     got = sorted((r.doc_id or 0, r.n_removed) for r in lines.deduplicated(odd).collect())
     assert got == [(0, 0), (1, 0), (1, 0), (2, 3)]
     assert lines.deduplicated(make(spark, [])).count() == 0
+    own = ("_hash", "_id", "_text", "row", "id", "hash", "i", "t", "removed", "n_removed", "n_lines")
+    clash = make(spark, corpus).withColumns({c: F.lit("mine") for c in own})
+    still = lines.dedup_documents(clash)
+    assert still.columns == clash.columns and {tuple(r[c] for c in own) for r in still.collect()} == {("mine",) * len(own)}
     assert lines.dedup_documents(make(spark, corpus)).columns == SCHEMA.replace(",", "").split()[::2]
 
 

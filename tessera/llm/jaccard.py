@@ -27,8 +27,11 @@ from .simhash import links as ball_links
 WORDS, LEAST = 5, (4, 5)
 #: Documents and shingles that the order is taken from at most; any order gives the same result.
 SAMPLE, FREQUENT = 10_000, 100_000
-#: Members of a bucket that are compared in the first round: so many neighbours by size.
-NEIGHBOURS = 2
+#: Places in a bucket up to which a set's likest neighbour is looked for, and rounds of that after the first. They decide
+#: how many pairs the last round is left with, never which are found.
+NEIGHBOURS, ROUNDS = 48, 2
+#: Stretches of hashes in the signatures that rows of buckets carry.
+COLUMNS = 64
 #: Values of the hash by which sets that no pair needs are left out before the join.
 BITS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -71,12 +74,21 @@ def _set_hash(shingled: np.ndarray) -> int:
 
 
 def signature(shingled: np.ndarray) -> bytes:
-    """How many shingles fall to each of 2**k stretches of the hashes, a byte each; about four a stretch."""
-    k = max(3, int(len(shingled)).bit_length() - 2)
+    """How many shingles fall to each of 2**k stretches of the hashes, a byte each; at most about four a stretch, COLUMNS
+    stretches at least.
+    """
+    k = max(COLUMNS.bit_length() - 1, int(len(shingled)).bit_length() - 2)
     counts = np.bincount((shingled >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
 
 
+def folded(sig: bytes) -> bytes:
+    """A signature of COLUMNS stretches, by which the rows of a bucket are compared at once."""
+    if not sig:
+        return b"\xff" * COLUMNS
+    return np.minimum(np.frombuffer(sig, np.uint8).reshape(COLUMNS, -1).sum(axis=1), 255).astype(np.uint8).tobytes()
+
+
 def may_share(x: bytes, y: bytes) -> float:
     """More shingles than sets of these signatures can share there are none."""
     if not x or not y:
@@ -86,8 +98,8 @@ def may_share(x: bytes, y: bytes) -> float:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(_id, tag, fp, sim, n, sig) of each row: hashes of the text and of its set of shingles, its SimHash, the set's size
-    and signature.
+    """(_id, tag, fp, sim, n, sig, few) of each row: hashes of the text and of its set of shingles, its SimHash, the set's
+    size, its signature, and that folded.
     """
     rows = _rows(docs, id_col, text_col).select("_id", F.xxhash64("_text").alias("tag"), "_text")
 
@@ -97,10 +109,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
             own = [shingles(t, words) for t in texts]
             fp = np.array([_set_hash(x) for x in own], np.uint64).view(np.int64)
             sim = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            size, sig = pa.array(map(len, own), pa.int64()), pa.array(map(signature, own), pa.binary())
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp), pa.array(sim), size, sig], ["_id", "tag", "fp", "sim", "n", "sig"])
+            size, sigs = pa.array(map(len, own), pa.int64()), list(map(signature, own))
+            few = pa.array(map(folded, sigs), pa.binary())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp), pa.array(sim), size, pa.array(sigs, pa.binary()), few], ["_id", "tag", "fp", "sim", "n", "sig", "few"])
 
-    return rows.mapInArrow(run, "_id long, tag long, fp long, sim long, n long, sig binary")
+    return rows.mapInArrow(run, "_id long, tag long, fp long, sim long, n long, sig binary, few binary")
 
 
 def sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
@@ -159,11 +172,16 @@ def prefixes(rows: DataFrame, known: np.ndarray, counts: np.ndarray, words: int
     return rows.mapInArrow(run, "key long, place long, fp long")
 
 
+def _column(c: pa.Array) -> np.ndarray:
+    """Folded signatures as a matrix, numbers as they are."""
+    return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COLUMNS) if pa.types.is_binary(c.type) else c.to_numpy()
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of whole buckets: batches sorted by key, the last key of a batch is carried over."""
     held: list[list[np.ndarray]] = []
     for b in batches:
-        cols = [c.to_numpy() for c in b.columns]
+        cols = [_column(c) for c in b.columns]
         if not len(cols[0]):
             continue
         if held and held[0][0][0] == cols[0][-1]:  # still the same bucket
@@ -189,27 +207,38 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket that may be near and have different roots: a stands before b in order of size, up to most places
-    apart; or all, the least first.
+    """Pairs (a, b, room) of a bucket that may be near and have different roots: for each b the a that leaves the most room,
+    of those up to most places before it in order of size; or, without most, every such pair, the least first.
     """
-    a, b = LEAST
-    for key, n, pos, fp, root in _buckets(batches):
+    p, q = LEAST
+    for key, n, pos, fp, root, few in _buckets(batches):
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
         keep = np.repeat(mixed, np.diff(np.append(starts, len(key))))
-        key, n, pos, fp, root = key[keep], n[keep], pos[keep], fp[keep], root[keep]
+        key, n, pos, fp, root, few = key[keep], n[keep], pos[keep], fp[keep], root[keep], few[keep]
+        full = few.max(axis=1, initial=0) == 255  # not told
+        best, which = np.zeros(len(key)), np.full(len(key), -1)
         i, d = np.arange(len(key)), 1
         while len(i) and (most is None or d <= most):
             i = i[i + d < len(key)]
-            i = i[(key[i] == key[i + d]) & (a * n[i + d] <= b * n[i])]  # sorted by key and n: what fails fails further on
+            i = i[(key[i] == key[i + d]) & (p * n[i + d] <= q * n[i])]  # sorted by key and n: what fails fails further on
             j = i + d
             ok = (root[i] != root[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= overlap(n[i], n[j]))
-            if ok.any():
-                x, y = fp[i[ok]], fp[j[ok]]
-                if most is None:
-                    x, y = np.minimum(x, y), np.maximum(x, y)
-                yield pa.record_batch([pa.array(x), pa.array(y)], ["a", "b"])
+            i_ok, j_ok = i[ok], j[ok]
+            for at in range(0, len(i_ok), 1 << 16):
+                x, y = i_ok[at : at + (1 << 16)], j_ok[at : at + (1 << 16)]
+                room = np.minimum(few[x], few[y]).sum(axis=1, dtype=np.int64) / overlap(n[x], n[y])
+                room[full[x] | full[y]] = 1
+                x, y, room = x[room >= 1], y[room >= 1], room[room >= 1]
+                if most is not None:
+                    more = room > best[y]
+                    best[y[more]], which[y[more]] = room[more], x[more]
+                elif len(x):
+                    yield pa.record_batch([pa.array(np.minimum(fp[x], fp[y])), pa.array(np.maximum(fp[x], fp[y])), pa.array(room)], ["a", "b", "room"])
             d += 1
+        own = np.flatnonzero(which >= 0)
+        if len(own):
+            yield pa.record_batch([pa.array(fp[which[own]]), pa.array(fp[own]), pa.array(best[own])], ["a", "b", "room"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,9 +288,10 @@ def proposed(sims: DataFrame) -> DataFrame:
 def links(own: DataFrame, sims: DataFrame, rows: DataFrame, total: int, words: int = WORDS) -> DataFrame:
     """Near pairs that connect all sets which near pairs connect. own: fp, n, sig, first, a row for each set; sims: fp, sim.
 
-    Verified first are the pairs that SimHash proposes and, for each set, the one before it (in order of size) with which it
-    meets in most buckets; so a group of near copies is connected in pairs as many as its members. Once more for sets that
-    these links leave apart; then every pair of a bucket that is still apart, so that no link is lost.
+    Verified first are the pairs that SimHash proposes and, for each set, the likest of its neighbours in the buckets; so a
+    group of near copies is connected in pairs as many as its members. ROUNDS more for what these links leave apart; then
+    every pair of a bucket that is still apart and whose signatures leave room, so that no link
+    is lost.
     """
     order = ["key", "n", "fp"]
     pre = prefixes(rows, *frequent(rows, total, words), words).repartition("key").sortWithinPartitions("key", "fp")
@@ -273,23 +303,23 @@ def links(own: DataFrame, sims: DataFrame, rows: DataFrame, total: int, words: i
         else:
             roots = connected_components(near)
             df = pre.join(roots, pre.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
-        df = df.select("key", "n", "pos", "fp", "root").repartition("key").sortWithinPartitions(*order)
-        return df.mapInArrow(lambda batches: _pairs(batches, most), "a long, b long")
+        df = df.join(own.select("fp", "few"), "fp").select("key", "n", "pos", "fp", "root", "few").repartition("key").sortWithinPartitions(*order)
+        return df.mapInArrow(lambda batches: _pairs(batches, most), "a long, b long, room double")
 
     def closest(df: DataFrame) -> DataFrame:
-        met = df.groupBy("b", "a").agg(F.count("*").alias("k"))
-        return met.groupBy("b").agg(F.max(F.struct("k", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+        return df.groupBy("b").agg(F.max(F.struct("room", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
     near = verified(proposed(sims).unionByName(closest(paired(None, NEIGHBOURS))), own, rows, words)
-    near = written(near.unionByName(verified(closest(paired(near, NEIGHBOURS)), own, rows, words)))
-    return near.unionByName(verified(paired(near, None), own, rows, words))
+    for _ in range(ROUNDS):
+        near = written(near.unionByName(verified(closest(paired(near, NEIGHBOURS)), own, rows, words)))
+    return near.unionByName(verified(paired(near, None).select("a", "b"), own, rows, words))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(_id, tag, root) for each row of docs: rows that links between near sets connect have one root."""
     every = written(sketches(docs, id_col, text_col, words))
     sims = written(every.select("fp", "sim").distinct())
-    own = written(every.groupBy("fp").agg(F.min("_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    own = written(every.groupBy("fp").agg(F.min("_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("few").alias("few")))
     roots = connected_components(links(own, sims, _rows(docs, id_col, text_col), every.count(), words))
     return every.join(roots, every.fp == roots.node, "left").select("_id", "tag", F.coalesce("root", "fp").alias("root"))
 

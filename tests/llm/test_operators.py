@@ -369,6 +369,47 @@ def test_classifier_on_held_out_rows(spark):
     assert r.q > 0.95 and r.t > 0.95, r
     none = classifier.classified(make(spark, [(1, None), (1, "a"), (None, "")]), labels.limit(0)).collect()
     assert len(none) == 3 and {x.kept for x in none} == {False}
+    assert classifier.classified(make(spark, []), labels).count() == 0
+    models, table, known = classifier.fit(docs, labels, rounds=0)
+    assert classifier.scored_features(table, known, models).exceptAll(classifier.scored(docs, models)).count() == 0
+
+
+def test_co_training_sums_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(-1, None, None, None, None), (-2, "word " * 200_000, "en", "x", 10**6)], "doc_id long, text string, lang string, source string, n_chars long"))
+    reader = classifier.Reader()
+    some = docs.toArrow().combine_chunks()
+    hashes, offsets, shares = reader.read(some.column("text").combine_chunks())
+    known = np.unique(hashes)[::5]
+    table = classifier.features(docs, known).repartition(5)
+    x = np.array([[float(w in set(hashes[a:z].tolist())) for w in known.tolist()] for a, z in zip(offsets[:-1], offsets[1:])])
+    x = np.concatenate([x, 10 * shares.astype(np.float32), shares.astype(np.float32) > np.float32(0.1)], 1)
+    cell = classifier.cells(*[some.column(c).to_pylist() for c in ("lang", "source", "n_chars")])
+    rng = np.random.default_rng(3)
+    columns, label, weight = np.arange(x.shape[1])[::2], rng.integers(0, 2, classifier.CELLS).astype(float), rng.integers(0, 3, classifier.CELLS) / 2
+    w = rng.normal(size=len(columns) + 1)
+    got = classifier._text_sums(table, len(known), [(columns, w, label, weight), (columns[:3], w[:4], 1 - label, weight)])
+    for c, v, y, (g, h) in ((columns, w, label, got[0]), (columns[:3], w[:4], 1 - label, got[1])):
+        xs = np.concatenate([x[:, c], np.ones((len(x), 1))], 1)
+        p = 1 / (1 + np.exp(-xs @ v))
+        assert np.allclose(g, ((p - y[cell]) * weight[cell]) @ xs, atol=1e-4) and np.allclose(h, (xs.T * (weight[cell] * p * (1 - p))) @ xs, atol=1e-4)
+    model = classifier.Logistic(w)
+    p = 1 / (1 + np.exp(-(x[:, columns] @ w[:-1] + w[-1])))
+    sure = classifier._sure_cells(table, len(known), [(columns, model)])
+    for y, at in ((0, p <= 1 - classifier.SURE), (1, p >= classifier.SURE)):
+        assert sure[0, y].tolist() == np.bincount(cell[at], minlength=classifier.CELLS).tolist()
+
+
+def test_co_training_hands_labels_to_each_view(spark):
+    """With few labels, rounds over the unlabelled documents change the fit and leave it good."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    few, rest = labels.where("doc_id % 20 = 1"), labels.where("doc_id % 20 <> 1")
+    right = []
+    for rounds in (0, classifier.ROUNDS):
+        models, table, known = classifier.fit(docs, few, rounds=rounds)
+        got = classifier.scored_features(table, known, models).join(rest, "doc_id")
+        right.append(got.agg(F.avg(((F.col("p_quality") >= 0.5) == (F.col("quality") == 1)).cast("int")), F.avg("p_quality")).first())
+    assert right[0][1] != right[1][1] and right[1][0] > 0.95 and right[1][0] >= right[0][0] - 0.01, right
 
 
 @pytest.mark.parametrize("base", [4, 1 << 20])  # 4: names are sorted by recursion

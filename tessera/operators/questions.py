@@ -20,7 +20,10 @@ SELECT id, dataset, CASE WHEN id % 3 = 0 THEN concat('Answer: A [', CAST(id % 9
 view("reports", """
 SELECT qid, concat('n ', CAST(qid % 7 AS STRING), ', p ', CASE WHEN qid % 4 = 0 THEN '0.0000' ELSE '0.25' END) AS a,
   concat('n ', CAST(qid % 5 AS STRING), ', p ', CASE WHEN qid % 4 = 0 THEN '<1e-4' ELSE '0.25' END, CASE WHEN qid % 6 = 0 THEN ', 3' ELSE '' END) AS b FROM (SELECT DISTINCT qid FROM {runs}) AS r""")
-view("sections", "SELECT doc_id, source, array(' BACKGROUND ', 'METHODS', '') AS labels, array(substr(text, 1, 50), '', substr(text, 51, 50), substr(text, 101, 50)) AS texts FROM {documents}", "SELECT doc_id, source, [' BACKGROUND ', 'METHODS', ''] AS labels, [substr(text, 1, 50), '', substr(text, 51, 50), substr(text, 101, 50)] AS texts FROM {documents}")
+_THIRDS = """
+SELECT doc_id, source, ARRAY(' BACKGROUND ', 'METHODS', '') AS labels, ARRAY(substr(text, 1, m), '', substr(text, m + 1, m), substr(text, 2 * m + 1)) AS texts
+FROM (SELECT doc_id, source, text, CAST(floor(length(text) / 3e0) AS INT) AS m FROM {documents}) AS d"""
+view("sections", _THIRDS, _THIRDS.replace("ARRAY(' BACKGROUND ', 'METHODS', '')", "[' BACKGROUND ', 'METHODS', '']").replace("ARRAY(substr(text, 1, m), '', substr(text, m + 1, m), substr(text, 2 * m + 1))", "[substr(text, 1, m), '', substr(text, m + 1, m), substr(text, 2 * m + 1)]"))
 view("citing", """
 SELECT id, dataset, size(cites) AS n, size(filter(cites, c -> c BETWEEN 1 AND 5)) AS valid FROM (
   SELECT id, dataset, array_distinct(transform(regexp_extract_all(CASE WHEN said RLIKE '\\\\[[^\\\\]]*[0-9]' THEN array_join(regexp_extract_all(said, '\\\\[([^\\\\]]+)\\\\]', 1), ' ') ELSE regexp_extract(said, '(?i)evidence\\\\s*:\\\\s*([^\\n]*)', 1) END, '[0-9]+', 0), x -> CAST(x AS INT))) AS cites FROM {raw_answers}) AS x""", """

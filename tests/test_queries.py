@@ -132,3 +132,52 @@ def test_nearest_words_and_phrases(spark):
     docs = spark.createDataFrame([(1, "The Foo-bar (v2) is"), (2, "foo-bars"), (3, None), (4, "xfoo-bar")], "doc_id long, text string")
     got = phrase_hits(spark.createDataFrame([("foo-bar",), ("the foo",)], "phrase string"), docs)
     assert {r.phrase: r.hits for r in got.collect()} == {"foo-bar": 1, "the foo": 1}
+
+
+def test_thresholds_match_brute_force(spark):
+    import random
+
+    from tessera.operators.calibration import QUERIES
+
+    rng = random.Random(5)
+    rows = [(f"m{k}", s, rng.random() < 0.4, round(rng.random(), 2 + 2 * k), rng.random() < 0.6) for k in range(3) for s in ("validation", "test") for _ in range(120)]
+    rows += [("none", "validation", False, 0.5, True)] * 3 + [("all", "validation", True, 0.2, True)] * 3
+    df = spark.createDataFrame(rows, "model string, split string, should_abstain boolean, confidence double, correct boolean")
+    f1, conformal = ({r.model: r.tau for r in QUERIES[q][0].run(spark, answers=df).collect()} for q in ("tune_tau_f1", "conformal_tau"))
+    grid = {(r.model, r.k): (r.coverage, r.accuracy) for r in QUERIES["risk_cov_grid"][0].run(spark, answers=df).collect()}
+    for m in ("m0", "m1", "m2", "none", "all"):
+        val, test = ([(r[2], r[3], r[4]) for r in rows if r[:2] == (m, s)] for s in ("validation", "test"))
+        best = None
+        for tau in sorted({0.0, 1.0, *[c for _, c, _ in val]}):
+            tp, fp, fn = (sum(u == x and (c < tau) == y for u, c, _ in val) for x, y in ((True, True), (False, True), (True, False)))
+            got = (tp / (tp + fn / 2 + fp / 2) if tp else 0, tp / (tp + fp) if tp else 0)
+            if best is None or got[0] > best[0] + 1e-9 or abs(got[0] - best[0]) < 1e-9 and got[1] > best[1]:
+                best = (*got, tau)
+        assert f1[m] == best[2], m
+        answerable, others = ([1 - c for u, c, _ in val if u == x] for x in (False, True))
+        allowed = [(sum(s >= t for s in others), -sum(s >= t for s in answerable), -t) for t in {1 - c for _, c, _ in val} if answerable and sum(s >= t for s in answerable) <= 0.05 * len(answerable)]
+        assert conformal[m] == (None if not answerable else -max(allowed)[2] if allowed else 1.0), m
+        for k in range(51 if test else 0):
+            kept = [(u, ok) for u, c, ok in test if 1 - c < k / 50]
+            gold = [ok for u, ok in kept if not u]
+            assert grid[m, k] == (round(len(kept) / len(test), 9), round(sum(gold) / len(gold), 9) if gold else 0.0), (m, k)
+
+
+def test_temperature_and_quantiles(spark):
+    from tessera.operators.calibration import QUERIES
+
+    probs = [("sharp", "validation", "A", 0.4, 0.3, 0.2, 0.1)] * 5 + [("flat", "validation", g, 0.97, 0.01, 0.01, 0.01) for g in "ABCD"] + [("even", "validation", "A", 0.25, 0.25, 0.25, 0.25)]
+    df = spark.createDataFrame(probs, "model string, split string, gold string, a double, b double, c double, d double")
+    assert {r.model: r.t for r in QUERIES["fit_temperature"][0].run(spark, probs=df).collect()} == {"sharp": 0.1, "flat": 30.0, "even": 1.0}
+    scores = [0.5, None, 0.1, 0.1, 0.9, 0.3, 0.7] * 9 + [0.2]
+    runs = spark.createDataFrame([("m", "validation", s) for s in scores], "model string, split string, top_rerank_score double")
+    x = sorted(s for s in scores if s is not None)
+    want = sorted({x[round(i / 100 * (len(x) - 1))] for i in range(101)} | {round(x[-1] + 0.01, 9)})
+    assert sorted(r.tau for r in QUERIES["quantile_grid"][0].run(spark, runs=runs).collect()) == want
+
+
+def test_negations_in_one_pass():
+    from tessera.functions.emergency import Negations
+
+    for before, want in (("no a b c d e ", True), ("no a b c d e f ", False), ("free of a b c d e f ", True), ("free of a b c d e f g ", False), ("carefree of ", True), ("no, ", False), ("no but ", False), ("never a, but without ", True), ("", False)):
+        assert Negations(before + "fever").cover(len(before)) is want, before

@@ -8,18 +8,23 @@ with the least shared random number among all steps taken, so that texts of like
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
+from .components import connected_components
 
 CELLS, PERIOD, CLASSES, GRAM = 128, 1024, 256, 4
 SEED = 20240229
+#: Bands of cells, and how many fingerprints of a band one task compares all with all.
+BANDS, GROUP = 32, 2000
+#: How often a band is split at most: each time its fingerprints are dealt to as many bands as may differ, and one more.
+LEVELS = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,28 +107,86 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "_id long, fingerprint string").withColumnRenamed("_id", id_col)
 
 
-def near_pairs(fps: DataFrame, least: float = 0.8, bands: int = 16, rows: int = 6, id_col: str = "doc_id") -> DataFrame:
-    """Bit-sampled banding with verification: (fingerprint, representative, near) for distinct fingerprints.
+def _near(a: str, b: str) -> Column:
+    same = sum((F.substring(a, 2 * c + 1, 2) == F.substring(b, 2 * c + 1, 2)).cast("int") for c in range(CELLS))
+    return F.greatest(F.lit(0.0), (same / CELLS - 1 / 255) / (1 - 1 / 255))
 
-    Each band samples the same few cells of every fingerprint; those that agree there meet. Each is checked against the
-    least and the previous fingerprint of its band, so a band of any size takes work in proportion to its rows. Chains of
-    these verified pairs connect what components() of them join.
+
+def _compare(far: int) -> Callable[[pa.Table], pa.Table]:
+    """Compares the members of a group, all with all; links that connect what all its links connect."""
+
+    def run(group: pa.Table) -> pa.Table:
+        names = group.column("fingerprint").unique().to_pylist()
+        cells = np.frombuffer(bytes.fromhex("".join(names)), np.uint8).reshape(len(names), CELLS)
+        root, a, b, same = np.arange(len(names)), [], [], []
+        for i in range(len(names) - 1):
+            other = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            agree = (cells[other] == cells[i]).sum(axis=1)
+            for k in np.flatnonzero(agree >= CELLS - far).tolist():
+                j = int(other[k])
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    a.append(names[i])
+                    b.append(names[j])
+                    same.append(int(agree[k]))
+        near = np.maximum(0.0, (np.array(same, float) / CELLS - 1 / 255) / (1 - 1 / 255))
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "near": near})
+
+    return run
+
+
+def near_pairs(fps: DataFrame, least: float = 0.8, group: int = GROUP) -> DataFrame:
+    """Bit-sampled banding with verification: (a, b, near) for distinct fingerprints, pairs whose chains connect all that are
+    at least so like. Nothing is lost: two such fingerprints agree on all but as many of the disjoint bands as cells in which
+    they may differ, so that one band more than that holds all such pairs.
+
+    A band's members are compared with its least one. Where some are far from it, a band of up to `group` members is
+    compared all with all in one task; a larger one is split once by a further band, and what is still larger then is
+    compared block by block, which takes quadratic time. So no group of one task holds more than two blocks.
+    """
+    far = max((d for d in range(CELLS) if (1 - d / CELLS - 1 / 255) / (1 - 1 / 255) >= least), default=-1)
+    if not 0 <= far < CELLS - 1:
+        raise ValueError("least must be above 0 and at most 1")
+    n = max(BANDS, far + 1)
+    levels, tried = min(LEVELS, n - far), far + 1
+    deal = [sorted(c.tolist()) for c in np.array_split(np.random.default_rng(SEED + 1).permutation(CELLS), n)]
+    hashes = F.array(*[F.xxhash64(F.lit(k), *[F.substring("fingerprint", 2 * c + 1, 2) for c in cs]) for k, cs in enumerate(deal)])
+    one = written(fps.select("fingerprint").where("fingerprint IS NOT NULL").distinct().withColumn("_f", F.xxhash64("fingerprint")))
+    banded = one.select("_f", F.explode(F.slice(F.transform(hashes, lambda h, k: F.struct(h.alias("key"), F.array(k).alias("used"))), 1, tried)).alias("x")).select("_f", "x.*")
+    met = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    now = banded.join(met, "key").join(one, "_f").select("key", "used", "fingerprint")
+    found, small = [], []
+    for depth in range(1, levels + 1):
+        now = written(now)
+        firsts = now.groupBy("key").agg(F.min("fingerprint").alias("first"))
+        checked = written(now.join(firsts, "key").select("key", "used", "fingerprint", "first", _near("first", "fingerprint").alias("near")))
+        found.append(checked.where(F.col("near") >= least).where("fingerprint <> first").select(F.col("first").alias("a"), F.col("fingerprint").alias("b"), "near"))
+        mixed = checked.groupBy("key").agg(F.count("*").alias("n"), F.min("near").alias("least")).where(F.col("least") < least).select("key", "n")
+        rest = checked.join(mixed, "key")
+        small.append(rest.where(F.col("n") <= group).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fingerprint"))
+        large = rest.where(F.col("n") > group)
+        if large.isEmpty():
+            break
+        if depth < levels:
+            others = F.slice(F.filter(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), k.alias("k"))), lambda x: ~F.array_contains("used", x.k)), 1, tried)
+            split = large.select("key", "used", "fingerprint", F.explode(others).alias("x")).select(F.xxhash64("key", "x.h").alias("key"), F.concat("used", F.array("x.k")).alias("used"), "fingerprint")
+            now = split.join(split.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key")
+        else:
+            blocks = F.ceil(2 * F.col("n") / group).cast("int")
+            own = large.select("key", "fingerprint", blocks.alias("blocks")).withColumn("at", F.pmod(F.xxhash64("fingerprint", F.lit("block")), F.col("blocks")).cast("int"))
+            small.append(own.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"), "at", "fingerprint").select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "fingerprint"))
+    groups = reduce(DataFrame.unionByName, small).groupBy("key", "i", "j")
+    return reduce(DataFrame.unionByName, [*found, groups.applyInArrow(_compare(far), "a string, b string, near double")]).distinct()
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, fingerprint, component_id): the least id that links of fingerprints at least so like reach, itself included.
+    Equal texts are linked; a null text is an empty one; a null id keeps its row, without counting as the least.
     """
-    from pyspark.sql import Window
-
-    rng = np.random.default_rng(SEED + 1)
-    cells = [sorted(rng.choice(CELLS, rows, replace=False).tolist()) for _ in range(bands)]
-    one = fps.groupBy("fingerprint").agg(F.min(id_col).alias(id_col))
-    keys = F.array(*[F.concat(F.lit(f"{k}:"), *[F.substring("fingerprint", 2 * c + 1, 2) for c in cs]) for k, cs in enumerate(cells)])
-    banded = one.select("fingerprint", F.explode(keys).alias("band"))
-    firsts = banded.groupBy("band").agg(F.min("fingerprint").alias("first"), F.count("*").alias("n")).where("n > 1")
-    pairs = banded.join(firsts, "band").where("fingerprint <> first").select(F.col("first").alias("a"), F.col("fingerprint").alias("b"))
-    before = F.lag("fingerprint").over(Window.partitionBy("band", F.substring("fingerprint", 1, 4)).orderBy("fingerprint"))
-    chained = banded.select(before.alias("a"), F.col("fingerprint").alias("b")).where("a IS NOT NULL")
-    pairs = pairs.unionByName(chained).distinct()
-    same = sum((F.substring("a", 2 * c + 1, 2) == F.substring("b", 2 * c + 1, 2)).cast("int") for c in range(CELLS))
-    near = F.greatest(F.lit(0.0), (same / CELLS - 1 / 255) / (1 - 1 / 255))
-    return pairs.select("a", "b", near.alias("near")).where(F.col("near") >= least)
+    fps = written(fingerprints(docs, id_col, text_col))
+    roots = connected_components(near_pairs(fps, least))
+    rooted = fps.join(roots, fps.fingerprint == roots.node, "left").select(id_col, "fingerprint", F.coalesce("root", "fingerprint").alias("_root"))
+    return rooted.join(rooted.groupBy("_root").agg(F.min(id_col).alias("component_id")), "_root").select(id_col, "fingerprint", "component_id")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

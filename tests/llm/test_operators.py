@@ -360,6 +360,50 @@ def test_edit_embedding_tells_few_edits_from_other_texts(spark):
     assert len(pairs) == 1 and 1 > pairs[0].near >= 0.8
 
 
+@pytest.mark.parametrize("group, levels", [(20, 1), (20, 2), (8, 1), (2000, 2)])  # small: bands are split, then compared by blocks
+def test_banding_loses_no_link(spark, monkeypatch, group, levels):
+    """Interleaved clusters that share bands, chains of near ones and ones just too far, against all pairs."""
+    monkeypatch.setattr(edit_embedding, "LEVELS", levels)
+    rng = np.random.default_rng(8)
+    base = rng.integers(1, 256, edit_embedding.CELLS)
+    cells = []
+    for cluster in range(4):
+        top = base.copy()
+        top[rng.permutation(edit_embedding.CELLS)[: 40 * (cluster % 3)]] += 1
+        for _ in range(8):
+            f = top.copy()
+            f[rng.permutation(edit_embedding.CELLS)[: rng.integers(0, 27)]] = rng.integers(1, 256)
+            cells.append(f % 256)
+        cells.append(cells[-1])
+    cells.append(np.zeros_like(base))
+    fps = [bytes(c.astype(np.uint8).tolist()).hex() for c in cells]
+    got = edit_embedding.near_pairs(spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "doc_id long, fingerprint string"), group=group).collect()
+    arr = {f: np.frombuffer(bytes.fromhex(f), np.uint8) for f in set(fps)}
+    want = {(a, b) for a in arr for b in arr if a < b and edit_embedding.likeness(arr[a], arr[b]) >= 0.8}
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in got} <= want and all(abs(r.near - edit_embedding.likeness(arr[r.a], arr[r.b])) < 1e-12 for r in got)
+
+    def classes(links):
+        root = {f: f for f in arr}
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = {f: x if r == y else r for f, r in root.items()}
+        return sorted(sorted(f for f in arr if root[f] == r) for r in set(root.values()))
+
+    assert len(want) > 30 and classes((r.a, r.b) for r in got) == classes(want)
+
+
+def test_edit_near_duplicates(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(2000)) for _ in range(3)]
+    rows = [(5, texts[0]), (3, texts[0][:1900] + texts[1][:100]), (9, texts[1]), (9, texts[1]), (None, texts[1]), (7, None), (8, ""), (2, texts[2])]
+    e = edit_embedding.embedding()
+    near = edit_embedding.likeness(e.fingerprint(rows[0][1]), e.fingerprint(rows[1][1])) >= 0.8
+    got = {(r.doc_id, r.component_id) for r in edit_embedding.near_duplicates(make(spark, rows)).collect()}
+    assert near and got == {(5, 3), (3, 3), (9, 9), (None, 9), (7, 7), (8, 7), (2, 2)}
+    assert edit_embedding.near_duplicates(make(spark, [])).count() == 0
+    assert [r.component_id for r in edit_embedding.near_duplicates(make(spark, [(None, "a")])).collect()] == [None]
+
+
 def test_classifier_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

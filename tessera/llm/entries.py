@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_column, classifier, edit_embedding, lines, packing, quality, secrets, simhash, suffix_dedup, tokenfiles
+from . import bpe_column, classifier, edit_embedding, lines, packing, quality, secrets, simhash, suffix_dedup, tokenfiles, trie
 from .tokens import tokenizer_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -59,10 +59,15 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per node of the prefix trie of all rebuilt conversations; see trie.prefix_trie for nulls, ties and empty tables."""
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_suffix_array_dedup, op2_quality_rules, op3_document_fingerprints, op4_packing, op5_line_dedup, op6_secret_scan, op7_token_files, op8_bpe_encode_decode, op9_quality_classifier, op10_simhash_near_dedup)
+        for f in (op1_suffix_array_dedup, op2_quality_rules, op3_document_fingerprints, op4_packing, op5_line_dedup, op6_secret_scan, op7_token_files, op8_bpe_encode_decode, op9_quality_classifier, op10_simhash_near_dedup, op11_conversation_prefix_trie)
     }
 
 

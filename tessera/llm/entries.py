@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_column, classifier, edit_embedding, lines, packing, quality, secrets, simhash, suffix_dedup, tokenfiles, trie, vafile
+from . import bpe_column, classifier, edit_embedding, lines, packing, quality, secrets, simhash, suffix_dedup, tokenfiles, trie, urls, vafile
 from .tokens import tokenizer_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -64,6 +64,11 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page by rules and by character models; see urls.filtered for nulls, repeated rows and empty tables."""
+    return urls.filtered(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("url")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five negatives for each of five positives of every anchor; see vafile.vectors and vafile.hard_negatives for nulls, ties,
     repeated rows and empty tables.
@@ -75,7 +80,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_suffix_array_dedup, op2_quality_rules, op3_document_fingerprints, op4_packing, op5_line_dedup, op6_secret_scan, op7_token_files, op8_bpe_encode_decode, op9_quality_classifier, op10_simhash_near_dedup, op11_conversation_prefix_trie, op13_hard_negatives)
+        for f in (op1_suffix_array_dedup, op2_quality_rules, op3_document_fingerprints, op4_packing, op5_line_dedup, op6_secret_scan, op7_token_files, op8_bpe_encode_decode, op9_quality_classifier, op10_simhash_near_dedup, op11_conversation_prefix_trie, op12_url_filters, op13_hard_negatives)
     }
 
 

@@ -19,11 +19,15 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     numbered = F.transform(_lines(F.col(text_col)), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     full = F.filter(numbered, lambda s: F.btrim(s["x"], F.lit(SPACE)) != "")
-    df = docs.where(F.col(id_col).isNotNull()).select(id_col, F.xxhash64(text_col).alias("_text"), full.alias("_full"))
-    starts = F.when(F.size("_full") >= WINDOW, F.sequence(F.lit(1), F.size("_full") - (WINDOW - 1)))
-    df = df.select(id_col, "_text", "_full", F.explode(starts).alias("_s"))
-    run = F.slice("_full", F.col("_s"), WINDOW)
-    return df.select(id_col, "_text", F.unhex(F.md5(F.array_join(F.transform(run, lambda s: s["x"]), "\n"))).alias("key"), F.transform(run, lambda s: s["i"]).alias("at"))
+    key = lambda a, b, c: F.unhex(F.md5(F.concat_ws("\n", a["x"], b["x"], c["x"])))
+    at = lambda a, b, c: F.array(a["i"], b["i"], c["i"])
+    run = lambda t: lambda a, k: F.struct(t["hash"].alias("t"), key(a, F.get(t["ls"], k + 1), F.get(t["ls"], k + 2)).alias("key"), at(a, F.get(t["ls"], k + 1), F.get(t["ls"], k + 2)).alias("at"))
+    starts = lambda t: F.slice(t["ls"], 1, F.greatest(F.size(t["ls"]) - (WINDOW - 1), F.lit(0)))
+    # lines and the text's hash are made once a text, and what is exploded carries neither text nor lines
+    text = F.struct(full.alias("ls"), F.xxhash64(text_col).alias("hash"))
+    runs = F.get(F.transform(F.array(text), lambda t: F.transform(starts(t), run(t))), F.lit(0))
+    df = docs.where(F.col(id_col).isNotNull()).select(id_col, F.explode(runs).alias("_run"))
+    return df.select(id_col, F.col("_run.t").alias("_text"), "_run.key", "_run.at")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

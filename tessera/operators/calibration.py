@@ -2,9 +2,9 @@
 
 from ..plans import views  # noqa: F401
 from ..plans.core import Plan, collect, view
+from . import orders  # noqa: F401
 
 _SIG = "CASE WHEN strict THEN 1e0 ELSE 0e0 END"
-view("curve", f"SELECT model, id, confidence, k, n, avg({_SIG}) OVER (PARTITION BY model ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS acc FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY confidence DESC, id) AS k, count(*) OVER (PARTITION BY model) AS n FROM {{answerable}}) AS x")
 view("bins", "SELECT model, least(9, greatest(0, CAST(floor(confidence * 10) AS INT))) AS bin, count(*) AS n, avg(confidence) AS conf, avg(CASE WHEN strict THEN 1e0 ELSE 0e0 END) AS acc FROM {answerable} GROUP BY model, least(9, greatest(0, CAST(floor(confidence * 10) AS INT)))")
 # one row per model and threshold: abstain below tau; truth: should_abstain
 view("swept", "SELECT split, model, k, tau, count_if(should_abstain AND confidence < tau) AS tp, count_if(NOT should_abstain AND confidence < tau) AS fp, count_if(should_abstain AND confidence >= tau) AS fn, count_if(NOT should_abstain AND confidence >= tau) AS tn, count_if(strict AND confidence >= tau) AS good FROM {answers} CROSS JOIN {thresholds} AS t GROUP BY split, model, k, tau")
@@ -53,6 +53,10 @@ _CHI = "CASE WHEN sum((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1)))
 view("cells", f"SELECT model, avg({_SIG}) AS acc, avg(seconds) AS s, avg(CASE WHEN coalesce(truncated, false) THEN 1e0 ELSE 0e0 END) <= 0.15e0 AND avg(CASE WHEN coalesce(parsed, true) THEN 1e0 ELSE 0e0 END) >= 0.9e0 AS eligible FROM {{answerable}} GROUP BY model")
 _GAP = "round(avg(CASE WHEN sb THEN 1e0 ELSE 0e0 END) - avg(CASE WHEN sa THEN 1e0 ELSE 0e0 END), 9)"
 _GATE = "CASE WHEN {{cond}} THEN sb ELSE sa END"
+_AT_COVERAGE = """
+SELECT model, pct, round(acc, 9) AS acc
+FROM {curve} CROSS JOIN (VALUES (100), (80), (60), (40), (20)) AS p(pct)
+WHERE k = CAST(bround(pct * n / 100e0, 0) AS BIGINT)"""
 # 101 quantiles of the scores by rounded place (half to even), and one value beyond the greatest
 _QUANTILES = """
 SELECT DISTINCT model, round(x, 9) AS tau
@@ -66,11 +70,21 @@ FROM (
 
 QUERIES = collect(
     Plan("risk_coverage", "SELECT model, id, round(1 - acc, 9) AS risk, round(k * 1e0 / n, 9) AS coverage FROM {curve}"),
-    Plan("sel_acc_at_cov", "SELECT model, pct, round(acc, 9) AS acc FROM {curve} CROSS JOIN (VALUES (100), (80), (60), (40), (20)) AS p(pct) WHERE k = CAST(floor(pct * n / 100e0) AS BIGINT)"),
+    # the place is rounded, half to even
+    Plan("sel_acc_at_cov", _AT_COVERAGE, _AT_COVERAGE.replace("bround(", "round_even(")),
     Plan("top20_wrong", "SELECT model, round(1 - acc, 9) AS wrong FROM {curve} WHERE k = CAST(floor(0.2e0 * n) AS BIGINT)"),
     Plan("aurc", "SELECT model, round(avg(1 - acc), 9) AS aurc FROM {curve} GROUP BY model"),
-    Plan("risk_coverage_sys", "SELECT model, id, answered, round(errors * 1e0 / answered, 9) AS risk FROM (SELECT model, id, row_number() OVER (PARTITION BY model ORDER BY confidence DESC, id) AS answered, sum(CASE WHEN strict AND NOT should_abstain THEN 0 ELSE 1 END) OVER (PARTITION BY model ORDER BY confidence DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS errors FROM {answers}) AS x"),
-    Plan("auroc", "SELECT model, round((sum(CASE WHEN good THEN r ELSE 0e0 END) - np * (np + 1) / 2e0) / nullif(np * (count(*) - np), 0), 9) AS auroc FROM (SELECT model, good, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2e0 AS r, count_if(good) OVER (PARTITION BY model) AS np FROM {binary}) AS x GROUP BY model, np"),
+    Plan("risk_coverage_sys", "SELECT model, id, k AS answered, round(errors * 1e0 / k, 9) AS risk FROM {curve_all}"),
+    # without rows of both kinds: 0.5, or null where that must show
+    Plan(
+        "auroc",
+        """
+SELECT model, coalesce(auroc, 0.5e0) AS auroc, auroc AS auroc_or_null
+FROM (
+  SELECT model, round((sum(CASE WHEN good THEN r ELSE 0e0 END) - count_if(good) * (count_if(good) + 1) / 2e0)
+    / nullif(count_if(good) * count_if(NOT good), 0), 9) AS auroc
+  FROM {binary_ranks} GROUP BY model) AS x""",
+    ),
     Plan("ece", "SELECT model, round(sum(n * abs(conf - acc)) / sum(n), 9) AS ece FROM {bins} GROUP BY model"),
     Plan("calibration", f"SELECT b.model, round(b.ece, 9) AS ece, round(b.mce, 9) AS mce, round(p.brier, 9) AS brier, round(p.nll, 9) AS nll FROM (SELECT model, sum(n * abs(conf - acc)) / sum(n) AS ece, max(abs(conf - acc)) AS mce FROM {{bins}} GROUP BY model) AS b JOIN (SELECT model, avg(power(confidence - {_SIG}, 2)) AS brier, avg(-ln(greatest(1e-12, CASE WHEN strict THEN confidence ELSE 1 - confidence END))) AS nll FROM {{answerable}} GROUP BY model) AS p ON b.model = p.model"),
     Plan("ece_discrete", f"SELECT model, round(sum(n * abs(conf - acc)) / sum(n), 9) AS ece FROM (SELECT model, least(4, CAST(floor(confidence * 5) AS INT)) AS bin, count(*) AS n, avg(confidence) AS conf, avg({_SIG}) AS acc FROM {{answerable}} GROUP BY model, least(4, CAST(floor(confidence * 5) AS INT))) AS b GROUP BY model"),
@@ -94,7 +108,14 @@ WHERE r = 1""",
     Plan("option_stats", "SELECT id, round(greatest(a, b, c, d), 9) AS top1, round(-(a * ln(a) + b * ln(b) + c * ln(c) + d * ln(d)) / ln(4e0), 9) AS entropy FROM {probs}"),
     Plan("reliability_features", "SELECT id, CASE WHEN coalesce(truncated, false) THEN 1 ELSE 0 END AS truncated, round(least(1e0, gen_tokens / 1024e0), 9) AS token_frac, round(confidence, 9) AS confidence, coalesce(top_rerank_score, 0e0) AS top_rerank FROM {runs}"),
     Plan("sc_features", "SELECT qid, round(avg(CASE WHEN coalesce(truncated, false) THEN 1e0 ELSE 0e0 END), 9) AS truncation_rate, round(avg(CASE WHEN pred IS NULL THEN 1e0 ELSE 0e0 END), 9) AS insufficient_rate FROM {runs} GROUP BY qid"),
-    Plan("eval_fixed_cov", f"SELECT a.model, count_if(a.confidence < t.tau) AS abstained, round(avg(CASE WHEN a.confidence >= t.tau THEN {_SIG} END), 9) AS acc FROM {{answerable}} AS a JOIN (SELECT model, confidence AS tau FROM (SELECT model, confidence, row_number() OVER (PARTITION BY model ORDER BY confidence DESC, id) AS k, count(*) OVER (PARTITION BY model) AS n FROM {{answerable}} WHERE split = 'validation') AS x WHERE k = CAST(floor(0.8e0 * n) AS BIGINT)) AS t ON a.model = t.model WHERE a.split = 'test' GROUP BY a.model"),
+    Plan(
+        "eval_fixed_cov",
+        f"""
+SELECT a.model, count_if(a.confidence < t.tau) AS abstained, round(avg(CASE WHEN a.confidence >= t.tau THEN {_SIG} END), 9) AS acc
+FROM {{answerable}} AS a
+JOIN (SELECT model, confidence AS tau FROM {{curve_validation}} WHERE k = CAST(floor(0.8e0 * n) AS BIGINT)) AS t ON a.model = t.model
+WHERE a.split = 'test' GROUP BY a.model""",
+    ),
     Plan("tune_tau_f1", "SELECT model, tau FROM {best_f1}"),
     Plan(
         "eval_abstention",
@@ -128,7 +149,7 @@ WHERE r = 1""",
     Plan("sc_rules_sweep", "SELECT rule, count_if(should_abstain AND hit) AS tp, count_if(NOT should_abstain AND hit) AS fp FROM (SELECT should_abstain, 'any' AS rule, bool_or(pred IS NULL OR coalesce(truncated, false)) AS hit FROM {runs} GROUP BY qid, should_abstain UNION ALL SELECT should_abstain, 'fraction', avg(CASE WHEN pred IS NULL OR coalesce(truncated, false) THEN 1e0 ELSE 0e0 END) >= 0.6e0 FROM {runs} GROUP BY qid, should_abstain UNION ALL SELECT should_abstain, 'agreement', count(DISTINCT pred) > 3 FROM {runs} GROUP BY qid, should_abstain) AS x GROUP BY rule"),
     Plan("cwa_rate", "SELECT model, round(avg(CASE WHEN confidence >= 0.9e0 THEN 1e0 ELSE 0e0 END), 9) AS at90, round(avg(CASE WHEN confidence >= 0.8e0 THEN 1e0 ELSE 0e0 END), 9) AS at80 FROM {answers} WHERE NOT strict GROUP BY model"),
     Plan("tune_tau_safe", "SELECT model, min(tau) AS tau FROM {swept} AS s WHERE split = 'validation' AND good * 1e0 / nullif(tn + fn, 0) >= 0.15e0 AND tn * 2 >= tn + fp GROUP BY model"),
-    Plan("tau_for_coverage", "SELECT model, confidence AS tau FROM (SELECT model, confidence, row_number() OVER (PARTITION BY model ORDER BY confidence, id) - 1 AS k, count(*) OVER (PARTITION BY model) AS n FROM {answerable}) AS x WHERE k = CAST(ceil((n - 1) * 0.25e0) AS BIGINT)"),
+    Plan("tau_for_coverage", "SELECT model, confidence AS tau FROM {curve} WHERE n - k = CAST(ceil((n - 1) * 0.25e0) AS BIGINT)"),
     Plan("far_budget_table", "SELECT model, budget, round(max(recall), 9) AS recall FROM {swept_f1} AS s CROSS JOIN (VALUES (0.01e0), (0.02e0), (0.05e0), (0.1e0), (0.15e0)) AS b(budget) WHERE split = 'validation' AND far <= budget GROUP BY model, budget"),
     # 51 thresholds k / 50: rows are counted by the last threshold that their score reaches, and these counts are added up
     Plan(

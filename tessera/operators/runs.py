@@ -2,6 +2,7 @@
 
 from ..plans import views  # noqa: F401
 from ..plans.core import Plan, collect
+from . import orders  # noqa: F401
 
 _W = lambda k, n: f"""round(({k} / {n} + 3.8416e0 / (2 * {n}) - 1.96e0 * sqrt(({k} / {n} * (1 - {k} / {n}) + 3.8416e0 / (4 * {n})) / {n})) / (1 + 3.8416e0 / {n}), 9) AS lo,
   round(({k} / {n} + 3.8416e0 / (2 * {n}) + 1.96e0 * sqrt(({k} / {n} * (1 - {k} / {n}) + 3.8416e0 / (4 * {n})) / {n})) / (1 + 3.8416e0 / {n}), 9) AS hi"""
@@ -44,7 +45,7 @@ QUERIES = collect(
     Plan("model_cell", f"SELECT model, k, n, round(k / n, 9) AS rate, {_W('k', 'n')} FROM (SELECT model, count_if(strict) * 1e0 AS k, count(*) * 1e0 AS n FROM {{answerable}} GROUP BY model) AS x"),
     Plan("wilson", f"SELECT dataset, {_W('k', 'n')} FROM (SELECT dataset, count_if(correct) * 1e0 AS k, count(*) * 1e0 AS n FROM {{answerable}} GROUP BY dataset) AS x"),
     Plan("efficiency", "SELECT model, round(avg(seconds), 9) AS mean_s, round(median(seconds), 9) AS median_s, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY seconds), 9) AS p90_s, round(avg(gen_tokens), 9) AS mean_tokens, round(avg(gen_tokens) / avg(seconds), 9) AS tok_s, count_if(top_rerank_score IS NULL) AS excluded FROM {runs} GROUP BY model"),
-    Plan("latency_p95", "SELECT model, round(seconds, 9) AS p95 FROM (SELECT model, seconds, row_number() OVER (PARTITION BY model ORDER BY seconds, id) - 1 AS k, count(*) OVER (PARTITION BY model) AS n FROM {runs}) AS x WHERE k = CAST(floor(0.95e0 * n) AS BIGINT)"),
+    Plan("latency_p95", "SELECT model, round(seconds, 9) AS p95 FROM {by_seconds} WHERE k - 1 = CAST(floor(0.95e0 * n) AS BIGINT)"),
     Plan("throughput_sum", "SELECT model, round(sum(gen_tokens) / sum(seconds), 9) AS tok_s FROM {runs} GROUP BY model"),
     Plan("majority_vote", "SELECT qid, pred AS majority, votes / 5e0 AS agreement, distinct_answers FROM (SELECT qid, pred, votes, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, first_at) AS k, count(*) OVER (PARTITION BY qid) AS distinct_answers FROM (SELECT qid, pred, count(*) AS votes, min(id) AS first_at FROM {runs} WHERE pred IS NOT NULL GROUP BY qid, pred) AS v) AS x WHERE k = 1"),
     Plan("category_breakdown", "SELECT category, control, count(*) AS n, count_if(pred IS NULL) AS abstained FROM {runs} WHERE should_abstain GROUP BY category, control"),
@@ -65,8 +66,8 @@ QUERIES = collect(
     # windows and ranks
     Plan("rrf_fusion", "SELECT qid, idx, round(rrf, 9) AS rrf, dense_rank, bm25_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, idx) AS k FROM (SELECT qid, idx, dense_rank, bm25_rank, 1e0 / (60 + dense_rank) + 1e0 / (60 + bm25_rank) AS rrf FROM {ranked}) AS f) AS x WHERE k <= 20"),
     Plan("rerank_topk", "SELECT qid, idx, k AS rank, bm25_rank AS rrf_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, bm25_rank) AS k FROM {ranked}) AS x WHERE k <= 5"),
-    Plan("avg_rank", "SELECT id, rank() OVER (PARTITION BY model ORDER BY gen_tokens) + (count(*) OVER (PARTITION BY model, gen_tokens) - 1) / 2e0 AS avg_rank FROM {runs}"),
-    Plan("fixed_cov_tau", "SELECT model, confidence AS tau FROM (SELECT model, confidence, row_number() OVER (PARTITION BY model ORDER BY confidence DESC, id) AS k, count(*) OVER (PARTITION BY model) AS n FROM {answerable} WHERE split = 'validation') AS x WHERE k = CAST(floor(0.8e0 * n) AS BIGINT)"),
+    Plan("avg_rank", "SELECT id, avg_rank FROM {token_ranks}"),
+    Plan("fixed_cov_tau", "SELECT model, confidence AS tau FROM {curve_validation} WHERE k = CAST(floor(0.8e0 * n) AS BIGINT)"),
     Plan("shard_assign", "SELECT id, (row_number() OVER (PARTITION BY model ORDER BY id) - 1) % 4 AS shard FROM {runs}"),
     Plan("batch_assign", "SELECT id, CAST(floor((row_number() OVER (PARTITION BY model ORDER BY gen_tokens DESC, id) - 1) / 32e0) AS BIGINT) AS batch FROM {runs}"),
     Plan("head_n", "SELECT id, model FROM {runs} ORDER BY id LIMIT 80"),

@@ -5,19 +5,25 @@ be an input, and views derive the usual inputs from the benchmark tables.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-#: SQL of each view over tables and other views; with a second text where the dialects differ.
-VIEWS: dict[str, tuple[str, str]] = {}
+#: SQL of each view over tables and other views, or (inputs, function) for Spark; with a second text where the dialects differ.
+VIEWS: dict[str, tuple[str | tuple[tuple[str, ...], Callable[..., DataFrame]], str]] = {}
 
 
 def view(name: str, sql: str, duck: str | None = None) -> None:
     VIEWS[name] = (sql, duck or sql)
 
 
+def derived(name: str, inputs: tuple[str, ...], make: Callable[..., DataFrame], duck: str) -> None:
+    """A view that Spark makes by a function of other inputs, where SQL would gather a group in one task."""
+    VIEWS[name] = ((inputs, make), duck)
+
+
 def _names(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))
 
@@ -41,11 +47,17 @@ class Plan:
         return _counts(_inline(self.duck or self.sql))
 
 
-def _resolve(spark: SparkSession, sql: str, table, known: dict[str, DataFrame]) -> DataFrame:
-    for n in _names(sql):
-        if n not in known:
-            known[n] = _resolve(spark, VIEWS[n][0], table, known) if n in VIEWS else table(n)
-    return spark.sql(sql, **{n: known[n] for n in _names(sql)})
+def _resolve(spark: SparkSession, sql: str | tuple, table, known: dict[str, DataFrame]) -> DataFrame:
+    if isinstance(sql, tuple):
+        inputs, make = sql
+        return make(*[_input(spark, n, table, known) for n in inputs])
+    return spark.sql(sql, **{n: _input(spark, n, table, known) for n in _names(sql)})
+
+
+def _input(spark: SparkSession, name: str, table, known: dict[str, DataFrame]) -> DataFrame:
+    if name not in known:
+        known[name] = _resolve(spark, VIEWS[name][0], table, known) if name in VIEWS else table(name)
+    return known[name]
 
 
 def _counts(sql: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.core import Plan, collect
+from .similar import dense_topk, document_pairs, jaccard_pairs
 
 K1, B = 1.5, 0.75
 
@@ -62,15 +63,6 @@ def bm25_topk(spark, sf):
     return bm25(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
 
 
-def dense_topk(spark, sf):
-    e = _read(spark, sf, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    s = q.join(e, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(dot, 9).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("query_id", "vec_id", "rank")
-
-
 def ngram13_overlap(spark, sf):
     """Shared 13-grams of documents and benchmark passages: the grams' digests are joined."""
     def grams(df, key):
@@ -81,16 +73,6 @@ def ngram13_overlap(spark, sf):
     return d.join(b, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
-def jaccard_pairs(spark, sf):
-    """Benchmark passages with equal shares of 5-character grams, by an equi-join on the grams; 0.8 and more."""
-    b = _read(spark, sf, "benchmark").select("item_id", F.lower(T.norm_space(F.col("text"))).alias("t"))
-    g = b.select("item_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 4, F.lit(1))), lambda i: F.substr("t", i, F.lit(5))))).alias("g"))
-    n = g.groupBy("item_id").agg(F.count("*").alias("n"))
-    pairs = g.alias("x").join(g.alias("y"), F.expr("x.g = y.g AND x.item_id <= y.item_id")).groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).agg(F.count("*").alias("s"))
-    j = pairs.join(n.select(F.col("item_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item_id").alias("b"), F.col("n").alias("nb")), "b")
-    return j.select("a", "b", F.round(F.col("s") / (F.col("na") + F.col("nb") - F.col("s")), 9).alias("jaccard")).where("jaccard >= 0.8")
-
-
 def stream_runs(spark, sf):
     """New events, appended once by id: a stream over a folder, through to its end."""
     from ..streaming.runs import ingest
@@ -114,6 +96,14 @@ QUERIES = {
     "dense_topk": (dense_topk, "SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) QUALIFY rank <= 10"),
     "ngram13_overlap": (ngram13_overlap, f"WITH g AS (SELECT 0 AS side, doc_id AS id, {_TOK} AS ts FROM documents UNION ALL SELECT 1, item_id, {_TOK} FROM benchmark), r AS (SELECT DISTINCT side, id, array_to_string(ts[i : i + 12], ' ') AS g FROM (SELECT side, id, ts, unnest(range(1, len(ts) - 11)) AS i FROM g)) SELECT a.id AS doc_id, b.id AS item_id, count(*) AS shared FROM r a JOIN r b ON a.side = 0 AND b.side = 1 AND a.g = b.g GROUP BY a.id, b.id"),
     "jaccard_pairs": (jaccard_pairs, f"WITH b AS (SELECT item_id, lower({_SPACE_DUCK}) AS t FROM benchmark), g AS (SELECT DISTINCT item_id, substr(t, i, 5) AS g FROM (SELECT item_id, t, unnest(range(1, greatest(length(t) - 4, 1) + 1)) AS i FROM b)), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS s FROM g x JOIN g y ON x.g = y.g AND x.item_id <= y.item_id GROUP BY 1, 2) SELECT a, b, round(s / (na.n + nb.n - s), 9) AS jaccard FROM p JOIN n na ON na.item_id = a JOIN n nb ON nb.item_id = b WHERE round(s / (na.n + nb.n - s), 9) >= 0.8"),
+    "document_pairs": (
+        document_pairs,
+        """
+WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '')) AS ws FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM d),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n AS total, count(*) AS s FROM t x JOIN t y ON x.w = y.w AND x.doc_id < y.doc_id AND x.n * 0.9 <= y.n AND y.n * 0.9 <= x.n GROUP BY ALL)
+SELECT a, b, round(s * 1e0 / (total - s), 9) AS jaccard FROM p WHERE s * 1e0 / (total - s) >= 0.9e0 - 1e-12""",
+    ),
     "stream_runs": (stream_runs, "SELECT DISTINCT event_id, user_id, event_type, value FROM events"),
 } | collect(
     Plan("scan_parquet", "SELECT doc_id, source, n_chars FROM {documents}"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import calibration, inference, questions, replicates, responses, runs, text
+from .operators import calibration, index, inference, questions, replicates, responses, runs, text
 
-MODULES: tuple = (runs, calibration, text, questions, inference, replicates, responses)
+MODULES: tuple = (runs, calibration, text, index, questions, inference, replicates, responses)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import calibration, index, inference, invented, questions, replicates, responses, runs, text
+from .operators import calibration, index, inference, invented, questions, replicates, responses, runs, scorer, text
 
-MODULES: tuple = (runs, calibration, text, index, questions, invented, inference, replicates, responses)
+MODULES: tuple = (runs, calibration, text, index, questions, invented, inference, replicates, scorer, responses)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

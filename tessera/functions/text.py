@@ -10,8 +10,12 @@ WORD = "[\\p{L}\\p{N}_]+(?:[-'][\\p{L}\\p{N}_]+)*"
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
 
 
+#: Runs of white space, Unicode's and the information separators; the same in Java's and in RE2's patterns.
+SPACE = "[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
 def norm_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "[ \\t\\n\\r\\f\\x0b]+", " "))
+    return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
 def norm_key(c: Column) -> Column:
@@ -29,8 +33,10 @@ def word_grams(ts: Column, n: int) -> Column:
 
 
 def chunks(c: Column, size: int = 350, overlap: int = 50, least: int = 20) -> Column:
-    """Windows of words, each size long, overlapping; tails of fewer than least words are left out."""
+    """A text of up to size words as it is, however short; a longer one as windows of size words, overlapping, of which later
+    ones of fewer than least words are left out.
+    """
     ws = F.split(norm_space(c), " ")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0)), F.lit(size - overlap))
-    every = F.transform(F.array(ws), lambda w: F.transform(starts, lambda i: F.slice(w, i + 1, size)))[0]
-    return F.transform(F.filter(every, lambda w: F.size(w) >= least), lambda w: F.array_join(w, " "))
+    starts = F.when(F.size(ws) <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0)), F.lit(size - overlap)))
+    every = F.transform(F.array(ws), lambda w: F.transform(F.filter(starts, lambda i: (i == 0) | (F.size(w) - i >= least)), lambda i: F.slice(w, i + 1, size)))[0]
+    return F.transform(every, lambda w: F.array_join(w, " "))

@@ -87,7 +87,6 @@ FROM (
     ),
     Plan("ece", "SELECT model, round(sum(n * abs(conf - acc)) / sum(n), 9) AS ece FROM {bins} GROUP BY model"),
     Plan("calibration", f"SELECT b.model, round(b.ece, 9) AS ece, round(b.mce, 9) AS mce, round(p.brier, 9) AS brier, round(p.nll, 9) AS nll FROM (SELECT model, sum(n * abs(conf - acc)) / sum(n) AS ece, max(abs(conf - acc)) AS mce FROM {{bins}} GROUP BY model) AS b JOIN (SELECT model, avg(power(confidence - {_SIG}, 2)) AS brier, avg(-ln(greatest(1e-12, CASE WHEN strict THEN confidence ELSE 1 - confidence END))) AS nll FROM {{answerable}} GROUP BY model) AS p ON b.model = p.model"),
-    Plan("ece_discrete", f"SELECT model, round(sum(n * abs(conf - acc)) / sum(n), 9) AS ece FROM (SELECT model, least(4, CAST(floor(confidence * 5) AS INT)) AS bin, count(*) AS n, avg(confidence) AS conf, avg({_SIG}) AS acc FROM {{answerable}} GROUP BY model, least(4, CAST(floor(confidence * 5) AS INT))) AS b GROUP BY model"),
     Plan(
         "fit_temperature",
         """
@@ -105,8 +104,6 @@ WHERE r = 1""",
     Plan("temp_scaled_conf", "SELECT id, round(power(greatest(a, b, c, d), 0.5e0) / (power(a, 0.5e0) + power(b, 0.5e0) + power(c, 0.5e0) + power(d, 0.5e0)), 9) AS conf FROM {probs}"),
     Plan("renorm_probs", "SELECT id, round(a, 9) AS a, round(b, 9) AS b, round(c, 9) AS c, round(d, 9) AS d FROM {probs}"),
     Plan("argmax_letter", "SELECT id, CASE WHEN a >= b AND a >= c AND a >= d THEN 'A' WHEN b >= c AND b >= d THEN 'B' WHEN c >= d THEN 'C' ELSE 'D' END AS letter FROM {probs}"),
-    Plan("option_stats", "SELECT id, round(greatest(a, b, c, d), 9) AS top1, round(-(a * ln(a) + b * ln(b) + c * ln(c) + d * ln(d)) / ln(4e0), 9) AS entropy FROM {probs}"),
-    Plan("reliability_features", "SELECT id, CASE WHEN coalesce(truncated, false) THEN 1 ELSE 0 END AS truncated, round(least(1e0, gen_tokens / 1024e0), 9) AS token_frac, round(confidence, 9) AS confidence, coalesce(top_rerank_score, 0e0) AS top_rerank FROM {runs}"),
     Plan("sc_features", "SELECT qid, round(avg(CASE WHEN coalesce(truncated, false) THEN 1e0 ELSE 0e0 END), 9) AS truncation_rate, round(avg(CASE WHEN pred IS NULL THEN 1e0 ELSE 0e0 END), 9) AS insufficient_rate FROM {runs} GROUP BY qid"),
     Plan(
         "eval_fixed_cov",
@@ -146,11 +143,7 @@ FROM (
 WHERE r = 1""",
     ),
     Plan("best_rule", "SELECT model, tau FROM (SELECT model, tau, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, far, tp + fp DESC, tau) AS r FROM {swept_f1} AS s WHERE split = 'test') AS x WHERE r = 1"),
-    Plan("sc_rules_sweep", "SELECT rule, count_if(should_abstain AND hit) AS tp, count_if(NOT should_abstain AND hit) AS fp FROM (SELECT should_abstain, 'any' AS rule, bool_or(pred IS NULL OR coalesce(truncated, false)) AS hit FROM {runs} GROUP BY qid, should_abstain UNION ALL SELECT should_abstain, 'fraction', avg(CASE WHEN pred IS NULL OR coalesce(truncated, false) THEN 1e0 ELSE 0e0 END) >= 0.6e0 FROM {runs} GROUP BY qid, should_abstain UNION ALL SELECT should_abstain, 'agreement', count(DISTINCT pred) > 3 FROM {runs} GROUP BY qid, should_abstain) AS x GROUP BY rule"),
-    Plan("cwa_rate", "SELECT model, round(avg(CASE WHEN confidence >= 0.9e0 THEN 1e0 ELSE 0e0 END), 9) AS at90, round(avg(CASE WHEN confidence >= 0.8e0 THEN 1e0 ELSE 0e0 END), 9) AS at80 FROM {answers} WHERE NOT strict GROUP BY model"),
-    Plan("tune_tau_safe", "SELECT model, min(tau) AS tau FROM {swept} AS s WHERE split = 'validation' AND good * 1e0 / nullif(tn + fn, 0) >= 0.15e0 AND tn * 2 >= tn + fp GROUP BY model"),
     Plan("tau_for_coverage", "SELECT model, confidence AS tau FROM {curve} WHERE n - k = CAST(ceil((n - 1) * 0.25e0) AS BIGINT)"),
-    Plan("far_budget_table", "SELECT model, budget, round(max(recall), 9) AS recall FROM {swept_f1} AS s CROSS JOIN (VALUES (0.01e0), (0.02e0), (0.05e0), (0.1e0), (0.15e0)) AS b(budget) WHERE split = 'validation' AND far <= budget GROUP BY model, budget"),
     # 51 thresholds k / 50: rows are counted by the last threshold that their score reaches, and these counts are added up
     Plan(
         "risk_cov_grid",
@@ -176,20 +169,12 @@ FROM (
     Plan("adaptive_gate", f"SELECT qid, {_GATE.replace('{{cond}}', 'coalesce(rerank >= 0.5e0, false)')} AS by_rerank, {_GATE.replace('{{cond}}', 'cb > ca')} AS by_conf, {_GATE.replace('{{cond}}', 'coalesce(rerank >= 0.5e0, false) AND cb > ca + 0.05e0')} AS combined FROM {{pairs}}"),
     Plan("tune_gate", "SELECT delta, tau FROM (SELECT delta, tau, row_number() OVER (ORDER BY good DESC, delta, tau) AS r FROM (SELECT delta, tau, count_if(CASE WHEN coalesce(rerank >= tau, false) AND cb > ca + delta THEN sb ELSE sa END) AS good FROM {pairs} CROSS JOIN {thresholds} AS t CROSS JOIN (VALUES (0e0), (0.05e0), (0.1e0), (0.2e0)) AS d(delta) WHERE split = 'validation' GROUP BY delta, tau) AS g) AS x WHERE r = 1"),
     Plan("gate_cost", "SELECT dataset, round(avg(ta + CASE WHEN coalesce(rerank >= 0.5e0, false) THEN tb + 0.1273e0 ELSE 0e0 END), 9) AS s_per_q FROM {pairs} GROUP BY dataset"),
-    Plan("confident_errors", "SELECT model, count_if(NOT strict AND confidence >= 0.5e0) AS n, round(count_if(NOT strict AND confidence >= 0.5e0) * 1e0 / count(*), 9) AS of_all, round(count_if(NOT strict AND confidence >= 0.5e0) * 1e0 / nullif(count_if(NOT strict), 0), 9) AS of_wrong FROM {answerable} GROUP BY model"),
-    Plan("rag_did", f"SELECT gold_in, {_GAP} AS gain FROM (SELECT p.*, coalesce(e.hit, false) AS gold_in FROM {{pairs}} AS p LEFT JOIN (SELECT qid, bool_or(relevant AND dense_rank <= 5) AS hit FROM {{ranked}} GROUP BY qid) AS e ON p.qid = e.qid) AS x GROUP BY gold_in"),
     Plan("rag_transitions", "SELECT dataset, count_if(NOT sa AND sb) AS fixed, count_if(sa AND NOT sb) AS induced, count_if(NOT sa AND sb) - count_if(sa AND NOT sb) AS net FROM {pairs} GROUP BY dataset"),
-    Plan("cited_support", "SELECT a.strict, count(*) AS n, count_if(e.hit) AS supported FROM {answers} AS a JOIN (SELECT qid, bool_or(relevant AND dense_rank <= 2) AS hit FROM {ranked} GROUP BY qid) AS e ON a.qid = e.qid GROUP BY a.strict"),
-    Plan("citation_prf", "SELECT round(count_if(relevant AND dense_rank <= 2) * 1e0 / nullif(count_if(dense_rank <= 2), 0), 9) AS precision, round(count_if(relevant AND dense_rank <= 2) * 1e0 / nullif(count_if(relevant), 0), 9) AS recall FROM {ranked}"),
-    Plan("nli_citation_metrics", "SELECT count(*) AS n, round(avg(CASE WHEN score >= 30000 THEN 1e0 ELSE 0e0 END), 9) AS pair_rate, count(DISTINCT CASE WHEN score >= 30000 THEN qid END) AS answers FROM {ranked}"),
-    Plan("cohen_kappa", "SELECT tp, fp, fn, tn, round((po - pe) / nullif(1 - pe, 0), 9) AS kappa FROM (SELECT *, (tp + tn) * 1e0 / n AS po, ((tp + fp) * 1e0 * (tp + fn) + (fn + tn) * 1e0 * (fp + tn)) / (n * 1e0 * n) AS pe FROM (SELECT count(*) AS n, count_if(quality = 1 AND toxic = 0) AS tp, count_if(quality = 0 AND toxic = 0) AS fp, count_if(quality = 1 AND toxic = 1) AS fn, count_if(quality = 0 AND toxic = 1) AS tn FROM {labels}) AS c) AS x"),
     # statistics
     Plan("mcnemar", "SELECT dataset, b, c, round(p, 9) AS p, round(CASE WHEN b > 0 THEN c * 1e0 / b ELSE (c + 0.5e0) / (b + 0.5e0) END, 9) AS odds FROM {mcnemar_p}"),
     Plan("holm", "SELECT dataset, round(max(least(1e0, (m - r + 1) * p)) OVER (ORDER BY r), 9) AS p_holm FROM (SELECT dataset, p, row_number() OVER (ORDER BY p, dataset) AS r, count(*) OVER () AS m FROM {mcnemar_p}) AS x"),
     Plan("paired_wald", "SELECT dataset, round(d, 9) AS d, round(d - 1.959963984540054e0 * se, 9) AS lo, round(d + 1.959963984540054e0 * se, 9) AS hi FROM (SELECT dataset, (c - b) * 1e0 / n AS d, sqrt(greatest(0e0, (b + c) - power(c - b, 2) * 1e0 / n)) / n AS se FROM (SELECT dataset, count(*) AS n, count_if(sa AND NOT sb) AS b, count_if(NOT sa AND sb) AS c FROM {pairs} GROUP BY dataset) AS t) AS x"),
-    Plan("cmh", f"SELECT round(sum(a * d / n) / nullif(sum(b * c / n), 0), 9) AS odds, round({_CHI}, 9) AS chi2 FROM {{strata}}"),
     Plan("cmh_simple", f"SELECT round(odds, 9) AS odds, CASE WHEN chi2 < 3.841458820694124e0 THEN 'no effect' WHEN odds > 1 THEN 'helps' ELSE 'harms' END AS reading FROM (SELECT sum(a * d / n) / nullif(sum(b * c / n), 0) AS odds, {_CHI} AS chi2 FROM {{strata}}) AS x"),
-    Plan("wilcoxon", "SELECT dataset, count(*) AS n, round(sum(CASE WHEN d > 0 THEN r ELSE 0e0 END), 9) AS w, round((sum(CASE WHEN d > 0 THEN r ELSE 0e0 END) - count(*) * (count(*) + 1) / 4e0) / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24e0), 9) AS z FROM (SELECT dataset, d, rank() OVER (PARTITION BY dataset ORDER BY abs(d)) + (count(*) OVER (PARTITION BY dataset, abs(d)) - 1) / 2e0 AS r FROM (SELECT dataset, round(cb - ca, 9) AS d FROM {pairs}) AS p WHERE d <> 0) AS x GROUP BY dataset"),
     Plan("delta_aurc", "SELECT round(max(CASE WHEN model = 'm1' THEN a END) - max(CASE WHEN model = 'm0' THEN a END), 9) AS delta FROM (SELECT model, avg(1 - acc) AS a FROM {curve} GROUP BY model) AS x"),
     # decision rules
     Plan("budget_rule", "SELECT model, coalesce(min(CASE WHEN rate <= 0.2e0 THEN cap END), 4096) AS cap FROM (SELECT model, cap, avg(CASE WHEN finished_naturally AND gen_tokens <= cap THEN 0e0 ELSE 1e0 END) AS rate FROM {runs} CROSS JOIN (VALUES (256), (512), (1024), (2048)) AS c(cap) GROUP BY model, cap) AS x GROUP BY model"),
@@ -200,19 +185,8 @@ FROM (
     # integrity gates: check, ok
     Plan("gate_dataset", "SELECT 'unique ids' AS check_name, count(*) = count(DISTINCT id) AS ok FROM {runs} UNION ALL SELECT 'valid answers', count_if(gold NOT IN ('A', 'B', 'C', 'D')) = 0 FROM {runs} UNION ALL SELECT 'disjoint splits', count(*) = 0 FROM (SELECT qid FROM {runs} GROUP BY qid HAVING count(DISTINCT split) > 1) AS x"),
     Plan("gate_corpus", "SELECT count(*) = count(DISTINCT doc_id) AS unique_ids, count_if(text IS NULL OR text = '') = 0 AS non_empty, count(*) >= 100 AS enough FROM {documents}"),
-    Plan("gate_retrieval", "SELECT count_if(n <> d) AS with_duplicates, count_if(n < 1) AS empty, count(*) AS queries FROM (SELECT qid, count(*) AS n, count(DISTINCT idx) AS d FROM {ranked} GROUP BY qid) AS x"),
     Plan("gate_rerank", "SELECT count_if(score IS NULL OR isnan(score)) AS not_finite, count(*) - count(DISTINCT (qid, idx)) AS scored_twice FROM {ranked}", "SELECT count_if(score IS NULL OR isnan(score)) AS not_finite, count(*) - count(DISTINCT (qid, idx)) AS scored_twice FROM {ranked}"),
-    Plan("audit_overlap", "SELECT 'qid' AS key_name, count(*) AS overlap FROM (SELECT qid FROM {runs} WHERE split = 'validation' INTERSECT SELECT qid FROM {runs} WHERE split = 'test') AS x"),
-    Plan(
-        "audit_fit_split",
-        """
-SELECT model, split AS fit_split, count(*) AS n, split = 'validation' AND count(CASE WHEN qid % 10 >= 3 THEN 1 END) = 0 AS ok
-FROM {runs} GROUP BY model, split""",
-    ),
-    Plan("audit_outputs", "SELECT count(*) - count(DISTINCT id) AS duplicates, count_if(pred IS NULL) AS missing, (SELECT count(*) FROM {runs} AS r JOIN {runs} AS m ON r.qid = m.qid AND m.model = 'm0' WHERE r.gold <> m.gold) AS misaligned FROM {runs}"),
     Plan("verify_run", "SELECT model, count(*) = count(DISTINCT qid) AS one_per_question, avg(CASE WHEN coalesce(parsed, true) THEN 1e0 ELSE 0e0 END) >= 0.9e0 AS parses, count_if(correct) >= count_if(strict) AS consistent FROM {answers} GROUP BY model"),
-    Plan("audit_sweeps", "SELECT model, count(DISTINCT qid) AS n, count(DISTINCT category) AS categories FROM {runs} GROUP BY model"),
     Plan("row_schema_gate", "SELECT count_if(id IS NULL) AS no_id, count_if(correct IS NULL) AS no_correct, count_if(strict IS NULL) AS no_strict FROM {answers}"),
     Plan("format_gate", "SELECT model, avg(CASE WHEN coalesce(parsed, true) THEN 1e0 ELSE 0e0 END) >= 0.95e0 AS ok FROM (SELECT *, row_number() OVER (PARTITION BY model, dataset ORDER BY md5(CAST(id AS STRING))) AS k FROM {runs}) AS x WHERE k <= 8 GROUP BY model"),
-    Plan("cross_check", "SELECT model, n FROM (SELECT model, count(*) AS n FROM {runs} GROUP BY model) AS a EXCEPT SELECT model, sum(n) FROM (SELECT model, dataset, count(*) AS n FROM {runs} GROUP BY model, dataset) AS b GROUP BY model"),
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -85,6 +86,44 @@ def oof_scores(df: DataFrame, features: Sequence[str], label: str, id_col: str,
     return dealt.select(id_col, "fold", predicted(models, features, F.col("fold")).alias("score"))
 
 
+def interaction(cells: dict[tuple[int, int], tuple[int, int]]) -> dict[str, float | None]:
+    """y ~ 1 + med + rag + med * rag from (successes, rows) by (med, rag): the interaction, its error, Wald's p, and the
+    likelihood ratio against the model without it. All null with under ten rows or one outcome only.
+    """
+    x = np.array([[1.0, m, r, m * r] for m, r in cells])
+    k, n = (np.array([c[i] for c in cells.values()], float) for i in (0, 1))
+    if n.sum() < 10 or k.sum() in (0, n.sum()):
+        return dict.fromkeys(("beta", "se", "wald_p", "lr", "lr_p"))
+
+    def fitted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        beta, ridge = np.zeros(x.shape[1]), 1e-6 * np.eye(x.shape[1])  # the ridge keeps empty cells solvable
+        chance = lambda: np.clip(1 / (1 + np.exp(-np.clip(x @ beta, -20, 20))), 1e-7, 1 - 1e-7)
+        for _ in range(50):
+            p = chance()
+            step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + ridge, x.T @ (k - n * p))
+            beta = beta + step
+            if np.abs(step).max() < 1e-6:
+                break
+        p = chance()
+        return beta, np.linalg.inv((x.T * (n * p * (1 - p))) @ x + ridge), float((k * np.log(p) + (n - k) * np.log(1 - p)).sum())
+
+    beta, cov, full = fitted(x)
+    se, lr = math.sqrt(max(0.0, cov[3, 3])), max(0.0, 2 * (full - fitted(x[:, :3])[2]))
+    z = beta[3] / se if se else 0.0
+    return {"beta": float(beta[3]), "se": se, "wald_p": math.erfc(abs(z) / math.sqrt(2)), "lr": lr, "lr_p": math.erfc(math.sqrt(lr / 2))}
+
+
+def interaction_query(spark, sf):
+    """Does the gain from retrieval differ between datasets? Rows are counted in eight cells; only these reach the driver."""
+    p = _view(spark, sf, "pairs").where("NOT should_abstain")
+    med = (F.col("dataset") == "medqa").cast("int").alias("med")
+    rows = p.select(med, F.explode(F.array(F.struct(F.lit(0).alias("rag"), F.col("sa").alias("y")), F.struct(F.lit(1).alias("rag"), F.col("sb").alias("y")))).alias("r"))
+    cells = {(r.med, r.rag): (r.k, r.n) for r in rows.groupBy("med", F.col("r.rag").alias("rag")).agg(F.count_if("r.y").alias("k"), F.count("*").alias("n")).collect()}
+    got = interaction({(m, r): cells.get((m, r), (0, 0)) for m in (0, 1) for r in (0, 1)})
+    digits = {"beta": 4, "se": 4, "wald_p": 6, "lr": 4, "lr_p": 6}
+    return spark.createDataFrame([tuple(None if got[c] is None else round(got[c], d) for c, d in digits.items())], ", ".join(f"{c} double" for c in digits))
+
+
 def _interval(draws: np.ndarray, alpha: float = 0.05) -> tuple[float, float]:
     draws, b = np.sort(draws), len(draws)
     return float(draws[int(alpha / 2 * b)]), float(draws[min(int((1 - alpha / 2) * b), b - 1)])
@@ -195,4 +234,4 @@ FROM (SELECT max(CASE WHEN med = 0 AND rag = 0 THEN l END) AS l00, max(CASE WHEN
     SELECT CASE WHEN dataset = 'medqa' THEN 1 ELSE 0 END AS med, rag, 1e0 * count_if(CASE WHEN rag = 1 THEN sb ELSE sa END) AS k, 1e0 * count(*) AS n
     FROM {pairs} CROSS JOIN (VALUES (0), (1)) AS t(rag) WHERE NOT should_abstain GROUP BY CASE WHEN dataset = 'medqa' THEN 1 ELSE 0 END, rag) AS c) AS d) AS e""",
     ),
-) | {k: (f, None) for k, f in {"fit_logreg": fit_query, "oof_scores": oof_query, "bootstrap_mean": bootstrap_mean, "bootstrap_metric": bootstrap_metric, "bootstrap_paired": bootstrap_paired, "bootstrap_did": bootstrap_did_query}.items()}
+) | {k: (f, None) for k, f in {"interaction_test": interaction_query, "fit_logreg": fit_query, "oof_scores": oof_query, "bootstrap_mean": bootstrap_mean, "bootstrap_metric": bootstrap_metric, "bootstrap_paired": bootstrap_paired, "bootstrap_did": bootstrap_did_query}.items()}

@@ -99,19 +99,6 @@ def audit_ngram_query(spark, sf):
     return audit_ngram(_read(spark, sf, "documents"), _read(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), options.alias("options")))
 
 
-def audit_hashes(rows: DataFrame, frozen: DataFrame) -> DataFrame:
-    """(name, ok) for each frozen sha256: whether the rows of that name still have it. rows: name, digest of each row."""
-    now = rows.groupBy("name").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("now"))
-    return frozen.join(now, "name", "left").select("name", F.coalesce(F.col("now") == F.col("sha256"), F.lit(False)).alias("ok"))
-
-
-def audit_hashes_query(spark, sf):
-    one = lambda name, key: _read(spark, sf, name).select(F.lit(name).alias("name"), F.sha2(F.col(key), 256).alias("digest"))
-    rows = one("benchmark", "text").unionByName(one("nation", "n_name"))
-    same = rows.where("name = 'nation'").groupBy("name").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("sha256"))
-    return audit_hashes(rows, same.unionByName(spark.createDataFrame([("benchmark", "0" * 64), ("gone", "0" * 64)], "name string, sha256 string")))
-
-
 def gate_index(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, sample: int = 5, k: int = 10) -> DataFrame:
     """(gate, ok) of an index. docs: doc_id; chunks: doc_id, chunk_id; vectors: vec_id, embedding. A sample of vectors is
     searched among all: some must find themselves. The sample is the feature, as in a self-check.
@@ -212,10 +199,16 @@ QUERIES = {
         audit_ngram_query,
         f"WITH side AS (SELECT 'train' AS field, doc_id AS id, {_WORDS} AS ws FROM documents UNION ALL SELECT 'question', item_id, {_WORDS} FROM benchmark UNION ALL SELECT 'options', item_id, {_WORDS} FROM (SELECT item_id, array_to_string(string_split(text, ' ')[1:15], ' ') AS text FROM benchmark) AS b), g AS (SELECT DISTINCT field, id, array_to_string(ws[i : i + 12], ' ') AS g FROM (SELECT field, id, ws, unnest(range(1, len(ws) - 11)) AS i FROM side)) SELECT s.field, count(DISTINCT s.id) AS items, count(DISTINCT h.id) AS contaminated, count(DISTINCT h.id) = 0 AS ok FROM side s LEFT JOIN (SELECT DISTINCT a.field, a.id FROM g a JOIN g b ON a.g = b.g AND b.field = 'train' AND a.field <> 'train') AS h ON s.field = h.field AND s.id = h.id WHERE s.field <> 'train' GROUP BY s.field",
     ),
-    "audit_hashes": (audit_hashes_query, "SELECT unnest(['nation', 'benchmark', 'gone']) AS name, unnest([true, false, false]) AS ok"),
     "gate_index": (
         gate_index_query,
-        "WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')), ' ') AS ws FROM documents WHERE text <> ''), few AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 5), a AS (SELECT f.vec_id, count(*) FILTER (list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) > list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[]))) AS above FROM few f CROSS JOIN embeddings e GROUP BY f.vec_id) SELECT unnest(['chunks_cover_documents', 'chunk_ids_unique', 'vectors_finite', 'vectors_find_themselves']) AS gate, unnest([(SELECT count(DISTINCT doc_id) FILTER (len(ws) >= 20) = count(DISTINCT doc_id) FROM d), true, (SELECT count(*) = 0 FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0), (SELECT count(*) FILTER (above < 10) >= 1 FROM a)]) AS ok",
+        f"""
+WITH d AS (SELECT doc_id, len(string_split(trim(regexp_replace(text, '{T.SPACE}', ' ', 'g')), ' ')) AS n FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, n, unnest(range(0, n, 300)) AS i FROM d), kept AS (SELECT doc_id, i FROM c WHERE i = 0 OR n > 350 AND n - i >= 20),
+few AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 5),
+a AS (SELECT f.vec_id, count(*) FILTER (list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) > list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[]))) AS above FROM few f CROSS JOIN embeddings e GROUP BY f.vec_id)
+SELECT unnest(['chunks_cover_documents', 'chunk_ids_unique', 'vectors_finite', 'vectors_find_themselves']) AS gate, unnest([
+  (SELECT count(DISTINCT doc_id) FROM kept) >= (SELECT count(DISTINCT doc_id) FROM d), (SELECT count(*) = count(DISTINCT concat(doc_id, '-', i)) FROM kept),
+  (SELECT count(*) = 0 FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0), (SELECT count(*) FILTER (above < 10) >= 1 FROM a)]) AS ok""",
     ),
     "text_anomalies": (text_anomalies, "SELECT source, count(CASE WHEN trim(regexp_replace(t, '\\s+', ' ', 'g')) = '' THEN 1 END) AS empty, count(CASE WHEN regexp_matches(t, '[ \\t]{2,}|\\r\\n|[\\x{a0}\\x{200b}\\x{200e}\\x{feff}]') THEN 1 END) AS irregular_space, CAST(sum(length(regexp_replace(t, '[\\x00-\\x7f]+', '', 'g'))) AS BIGINT) AS non_ascii, CAST(sum(len(regexp_extract_all(t, '\\x{fffd}'))) AS BIGINT) AS replaced FROM (SELECT source, coalesce(text, '') AS t FROM documents) AS d GROUP BY source"),
     "numeric_noise": (numeric_noise, f"SELECT source, count(CASE WHEN len(list_filter(ts, lambda x: regexp_matches(x, '^[0-9]+([.,][0-9]+)*(%|[a-zA-Z]+)?$'))) > 0.4e0 * len(ts) THEN 1 END) AS noisy FROM (SELECT source, {_TOK} AS ts FROM documents) AS d GROUP BY source"),

@@ -80,16 +80,21 @@ def stream_runs(spark, sf):
     return ingest(spark, f"{sf}/events.parquet")
 
 
-_WS = "[ \\t\\n\\r\\f\\x0b]+"
 _TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+(?:[-''][\\p{L}\\p{N}_]+)*')"
-_SPACE_DUCK = f"trim(regexp_replace(text, '{_WS}', ' ', 'g'))"
+_SPACE_DUCK = f"trim(regexp_replace(text, '{T.SPACE}', ' ', 'g'))"
 _KEY_DUCK = "regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')"
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 
 QUERIES = {
     "norm_space": (norm, f"SELECT doc_id, md5({_SPACE_DUCK}) AS space, md5({_KEY_DUCK}) AS key FROM documents"),
     "dedup_corpus": (dedup_corpus, f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({_KEY_DUCK})"),
-    "chunk_docs": (chunk_docs, f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS j, md5(array_to_string(ws[i + 1 : i + 350], ' ')) AS chunk_md5 FROM (SELECT doc_id, ws, unnest(range(0, len(ws), 300)) AS i FROM (SELECT doc_id, string_split({_SPACE_DUCK}, ' ') AS ws FROM documents)) WHERE len(ws) - i >= 20"),
+    "chunk_docs": (
+        chunk_docs,
+        f"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS j, md5(array_to_string(ws[i + 1 : i + 350], ' ')) AS chunk_md5
+FROM (SELECT doc_id, ws, unnest(range(0, len(ws), 300)) AS i FROM (SELECT doc_id, string_split({_SPACE_DUCK}, ' ') AS ws FROM documents))
+WHERE i = 0 OR len(ws) > 350 AND len(ws) - i >= 20""",
+    ),
     "tokenize": (tokenize, f"SELECT doc_id, CAST(len({_TOK}) AS INT) AS n_tokens, md5(array_to_string({_TOK}, ' ')) AS tokens_md5 FROM documents"),
     "vocabulary": (vocabulary, "SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS word FROM documents) GROUP BY word"),
     "bm25_topk": (bm25_topk, f"WITH d AS (SELECT doc_id, {_TOK} AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM d), q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark) WHERE NOT list_contains({_STOP}, term)), tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS l, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), sc AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * l / a))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY item_id, doc_id) SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM sc QUALIFY rank <= 10"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import calibration, gates, index, inference, invented, questions, replicates, responses, runs, scorer, selective, text
+from .operators import calibration, gates, hooks, index, inference, invented, questions, replicates, responses, runs, scorer, selective, text
 
-MODULES: tuple = (runs, calibration, selective, gates, text, index, questions, invented, inference, replicates, scorer, responses)
+MODULES: tuple = (runs, calibration, selective, gates, hooks, text, index, questions, invented, inference, replicates, scorer, responses)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

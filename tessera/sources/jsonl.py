@@ -18,7 +18,7 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema)
+    return spark.read.csv(path, header=True, schema=schema, escape='"')
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

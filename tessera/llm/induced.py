@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -52,43 +53,113 @@ class Scratch:
 
 
 class Queues:
-    """A first-in, first-out queue per symbol of (position, symbols shared with the one put there before)."""
+    """A first-in, first-out queue per symbol of (position, symbols shared with the one put there before), read by pop() in
+    blocks, for symbols in the order in which they are read.
 
-    ITEM = np.dtype([("at", "<i8"), ("shared", "u1")])
+    Symbols are put together in ranges that hold a block at most, by edges; only the range that is read is apart by symbol.
+    So there are as many lists as ranges, however many symbols there are, and a symbol with more than a block is a range of
+    its own. What outgrows the limit goes to a file; what is read at once is a block.
+    """
+
+    ITEM = np.dtype([("symbol", "<i8"), ("at", "<i8"), ("shared", "u1")])
 
-    def __init__(self, scratch: Scratch):
+    def __init__(self, scratch: Scratch, edges: np.ndarray):
+        self.edges = edges  # the first symbol of each range
         self.parts: dict[int, list[np.ndarray | tuple[int, int]]] = defaultdict(list)
         self.held, self.scratch, self.file = 0, scratch, None
+        self.open, self.apart = -1, defaultdict(list)
+        self.most = 0  # items held at once, for tests
 
-    def put(self, symbol: int, at: np.ndarray, shared: np.ndarray) -> None:
+    def put(self, symbol: np.ndarray, at: np.ndarray, shared: np.ndarray) -> None:
+        """Items by symbol; those of one symbol in order."""
         item = np.empty(len(at), self.ITEM)
-        item["at"], item["shared"] = at, shared
+        item["symbol"], item["at"], item["shared"] = symbol, at, shared
+        to = np.searchsorted(self.edges, item["symbol"], side="right") - 1
+        for a, z in _cuts(to):
+            if to[a] == self.open and not self._alone(self.open):
+                self._split(item[a:z].copy())
+            else:
+                self._keep(int(to[a]), item[a:z])
+
+    def _alone(self, part: int) -> bool:
+        return part + 1 < len(self.edges) and self.edges[part + 1] == self.edges[part] + 1
+
+    def _keep(self, part: int, item: np.ndarray) -> None:
         if self.held + item.nbytes > self.scratch.in_memory:
             self.file = self.file or self.scratch.file()
             where = self.file.seek(0, os.SEEK_END)
             self.file.write(item.tobytes())
-            self.parts[symbol].append((where, len(item)))
+            self.parts[part].append((where, len(item)))
         else:
             self.held += item.nbytes
-            self.parts[symbol].append(item)
-
-    def take(self, symbol: int) -> list[np.ndarray]:
-        """What the queue holds, in blocks; it is empty then."""
-        got = self.parts.pop(symbol, [])
-        out, size = [], 0
-        held: list[np.ndarray] = []
-        for p in got:
+            self.parts[part].append(item.copy())
+
+    def _split(self, item: np.ndarray) -> None:
+        for a, z in _cuts(item["symbol"]):
+            self.apart[int(item["symbol"][a])].append(item[a:z])
+
+    def _read(self, part: int) -> np.ndarray | None:
+        """The next block of a range, nothing if it is empty."""
+        got, size, kept = [], 0, self.parts.get(part, [])
+        n = 0
+        while n < len(kept) and size < BLOCK:
+            p = kept[n]
             if isinstance(p, tuple):
-                self.file.seek(p[0])
-                p = np.frombuffer(self.file.read(self.ITEM.itemsize * p[1]), self.ITEM)
+                where, left = p
+                take = min(left, BLOCK)
+                self.file.seek(where)
+                got.append(np.frombuffer(self.file.read(self.ITEM.itemsize * take), self.ITEM))
+                if take < left:
+                    kept[n] = (where + self.ITEM.itemsize * take, left - take)
+                    break
             else:
                 self.held -= p.nbytes
-            held.append(p)
-            size += len(p)
-            if size >= BLOCK:
-                out.append(np.concatenate(held))
-                held, size = [], 0
-        return [*out, np.concatenate(held)] if held else out
+                got.append(p)
+            size += len(got[-1])
+            n += 1
+        del kept[:n]
+        if not got:
+            self.parts.pop(part, None)
+            return None
+        out = got[0] if len(got) == 1 else np.concatenate(got)
+        self.most = max(self.most, len(out))
+        return out
+
+    def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The next items of a symbol, a few blocks at most; nothing if there are none now."""
+        part = int(np.searchsorted(self.edges, symbol, side="right")) - 1
+        if self._alone(part):
+            block = self._read(part)
+        else:
+            if part != self.open:
+                self.open, self.apart = part, defaultdict(list)
+                whole = []
+                while (b := self._read(part)) is not None:
+                    whole.append(b)
+                if whole:
+                    item = np.concatenate(whole)
+                    self.most = max(self.most, len(item))
+                    self._split(item[np.argsort(item["symbol"], kind="stable")])
+            got = self.apart.pop(symbol, None)
+            block = np.concatenate(got) if got else None
+        return None if block is None else (block["at"].astype(np.int64), block["shared"].copy())
+
+
+def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the stretches of equal values."""
+    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])).tolist() if len(x) else []
+    return list(zip(at, [*at[1:], len(x)]))
+
+
+def ranges(upto: np.ndarray) -> np.ndarray:
+    """First symbols of ranges of symbols that occur a block's times at most; one that occurs more often is alone. upto: how
+    often the symbols before each occur, all together.
+    """
+    edges, a, n = [0], 0, len(upto) - 1
+    while a < n:
+        a = min(n, max(a + 1, int(np.searchsorted(upto, upto[a] + BLOCK, side="right")) - 1))
+        edges.append(a)
+    return np.array(edges, np.int64)
 
 
 class Pusher:
@@ -97,11 +168,13 @@ class Pusher:
     def __init__(self, text: np.ndarray, rising: np.ndarray, want: bool, queues: Queues, symbols: int):
         self.text, self.rising, self.want, self.queues = text, rising, want, queues
         self.clock = 0
-        self.last = np.full(symbols, -1)  # when a symbol's queue was last put something
+        self.last = queues.scratch.array(symbols, np.int64)  # when a symbol's queue was last put something
+        for a in range(0, symbols, BLOCK):
+            self.last[a : a + BLOCK] = -1
         self.seen = np.full(CAP + 1, -1)  # when a source last shared so much with the one before
 
-    def push(self, at: np.ndarray, shared: np.ndarray, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """at: sources in order; shared: what each shares with the source before. Suffixes that begin with own come back."""
+    def push(self, at: np.ndarray, shared: np.ndarray) -> None:
+        """at: sources in order; shared: what each shares with the source before."""
         ok = np.flatnonzero(at > 0)
         before = at[ok] - 1
         fit = self.rising[before] == self.want
@@ -122,17 +195,9 @@ class Pusher:
             least = np.minimum(least + 1, CAP).astype(np.uint8)
             ends = np.append(heads[1:], len(ok)) - 1
             self.last[symbol[heads]] = self.clock + ok[ends]
+            self.queues.put(symbol, before, least)
         self.seen[shared] = self.clock + np.arange(len(shared))
         self.clock += len(at)
-        mine = (np.zeros(0, np.int64), np.zeros(0, np.uint8))
-        if len(ok):
-            for a, z in zip(heads.tolist(), [*heads[1:].tolist(), len(ok)]):
-                s = int(symbol[a])
-                if s == own:
-                    mine = (before[a:z], least[a:z])
-                else:
-                    self.queues.put(s, before[a:z], least[a:z])
-        return mine
 
 
 def _range_min(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -216,26 +281,93 @@ def _stars(rising: np.ndarray, scratch: Scratch) -> np.ndarray:
 def _names(text: np.ndarray, star: np.ndarray, symbols: int, scratch: Scratch, base: int) -> tuple[np.ndarray, int]:
     """A number for the substring from each S* place to the next one (both included), in the order of their suffixes.
 
-    They are dealt to queues by their first symbol if there are many, so only those of one symbol are sorted at once.
+    base of them are sorted in memory at most: more are dealt to files by their next symbols, around values of a sample,
+    until each part is small, or all that is left in it is equal.
     """
     m = len(star)
     names = scratch.array(m, np.int64)
     if m <= base:
         return names, _name(text, star, np.arange(m), symbols, names, 0)
-    queues, none = Queues(scratch), np.zeros(BLOCK, np.uint8)
-    for a in range(0, m, BLOCK):
-        own = np.arange(a, min(m, a + BLOCK))
-        s = np.asarray(text[star[own]])
-        order = np.argsort(s, kind="stable")
-        own, s = own[order], s[order]
-        cuts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        for x, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(s)]):
-            queues.put(int(s[x]), own[x:z], none[: z - x])
-    count = 0
-    for s in sorted(queues.parts):
-        own = np.concatenate([b["at"] for b in queues.take(s)])
-        count = _name(text, star, own, symbols, names, count)
-    return names, count
+    blocks = (np.arange(a, min(m, a + BLOCK)) for a in range(0, m, BLOCK))
+    return names, _name_many(text, star, blocks, m, 0, symbols, names, 0, scratch, base)
+
+
+def _word(text: np.ndarray, star: np.ndarray, own: np.ndarray, k: int, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols from k on of the substrings of S* numbers own, as many as fit, as one number; and whether they end there."""
+    n, m = len(text), len(star)
+    bits = int(symbols + 2).bit_length()
+    per = max(1, 63 // bits)
+    begin, end = np.asarray(star[own]), np.asarray(star[np.minimum(own + 1, m - 1)]) + 1
+    # after the end; of two, one of which begins the other, the longer falls there and comes first; nothing is before the last
+    mark = np.where(own == m - 1, 0, symbols + 1)
+    word = np.zeros(len(own), np.int64)
+    for d in range(k, k + per):
+        p = begin + d
+        word = (word << bits) | np.where(p < end, text[np.minimum(p, n - 1)].astype(np.int64) + 1, mark)
+    return word, begin + k + per > end
+
+
+def _name_many(text, star, blocks: Iterable[np.ndarray], size: int, k: int, symbols: int, names: np.ndarray, count: int, scratch: Scratch, base: int) -> int:
+    """Names from count on for S* numbers that come in blocks and share their first k symbols; returns the next free name."""
+    waiting = [(blocks, size, k, False)]
+    while waiting:  # parts in order; the next one is the last of the list
+        blocks, size, k, equal = waiting.pop()
+        if equal:
+            for own in blocks:
+                names[own] = count
+            count += 1
+            continue
+        if size <= base:
+            count = _name(text, star, np.concatenate(list(blocks)), symbols, names, count)
+            continue
+        blocks = _Replay(blocks, scratch)
+        step = 64 * max(1, size // (4 * BLOCK))
+        sample = np.sort(np.concatenate([_word(text, star, own[::step], k, symbols)[0] for own in blocks]))
+        values = np.unique(sample[np.linspace(0, len(sample) - 1, min(len(sample), 256)).astype(np.int64)])
+        parts = Queues(scratch, np.arange(2 * len(values) + 2))  # every part alone: read in blocks
+        sizes, ended = np.zeros(2 * len(values) + 1, np.int64), np.zeros(2 * len(values) + 1, bool)
+        for own in blocks:
+            word, ends = _word(text, star, own, k, symbols)
+            at = np.searchsorted(values, word)
+            part = 2 * at + (values[np.minimum(at, len(values) - 1)] == word)
+            order = np.argsort(part, kind="stable")
+            parts.put(part[order], own[order], np.zeros(len(own), np.uint8))
+            sizes += np.bincount(part, minlength=len(sizes))
+            ended[part[ends]] = True  # of a part of equal words all end, or none does
+        per = max(1, 63 // int(symbols + 2).bit_length())
+        for part in np.flatnonzero(sizes)[::-1].tolist():
+            same = part % 2 == 1
+            waiting.append((_drained(parts, part), int(sizes[part]), k + per if same and not ended[part] else k, same and bool(ended[part])))
+    return count
+
+
+def _drained(queues: Queues, part: int) -> Iterator[np.ndarray]:
+    while (b := queues.pop(part)) is not None:
+        yield b[0]
+
+
+class _Replay:
+    """Blocks that can be gone through twice: as they come first they are kept, beyond the limit in a file."""
+
+    def __init__(self, blocks: Iterable[np.ndarray], scratch: Scratch):
+        self.kept: list[np.ndarray | tuple[int, int]] = []
+        self.file, held = None, 0
+        for b in blocks:
+            b = np.ascontiguousarray(b, np.int64)
+            held += b.nbytes
+            if held <= scratch.in_memory:
+                self.kept.append(b)
+                continue
+            self.file = self.file or scratch.file()
+            self.kept.append((self.file.seek(0, os.SEEK_END), len(b)))
+            self.file.write(b.tobytes())
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for b in self.kept:
+            if isinstance(b, tuple):
+                self.file.seek(b[0])
+                b = np.frombuffer(self.file.read(8 * b[1]), np.int64)
+            yield b
 
 
 def _name(text: np.ndarray, star: np.ndarray, own: np.ndarray, symbols: int, names: np.ndarray, count: int) -> int:
@@ -298,6 +430,28 @@ def _in_memory(names: np.ndarray, depth: int) -> np.ndarray:
         h *= 2
 
 
+def _counts(blocks: Iterable[np.ndarray], symbols: int, scratch: Scratch) -> np.ndarray:
+    out = scratch.array(symbols, np.int64)
+    for b in blocks:
+        s, n = np.unique(b, return_counts=True)
+        out[s] += n
+    return out
+
+
+def _upto(count: np.ndarray, scratch: Scratch) -> np.ndarray:
+    out = scratch.array(len(count) + 1, np.int64)
+    np.cumsum(count, out=out[1:])
+    return out
+
+
+def _present(count: np.ndarray, down: bool = False) -> Iterator[int]:
+    """Symbols that occur, in order."""
+    blocks = range(0, len(count), BLOCK)
+    for a in reversed(blocks) if down else blocks:
+        own = (np.flatnonzero(count[a : a + BLOCK]) + a).tolist()
+        yield from reversed(own) if down else own
+
+
 def suffix_order(text: np.ndarray, scratch: Scratch | None = None, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """Positions of text (symbols 0, 1, ...; it ends in a single least one) by the CAP symbols from there on at least, and
     how many symbols each shares with the one before, up to CAP. Recursion ends at base names.
@@ -323,74 +477,54 @@ def suffix_order(text: np.ndarray, scratch: Scratch | None = None, base: int = B
         order, _ = suffix_order(names, scratch, base)
     sa, shared = scratch.array(n, np.int64), scratch.array(n, np.uint8)
     # where the suffixes of each first symbol begin, those that fall before those that rise
-    total, falling = np.zeros(symbols, np.int64), np.zeros(symbols, np.int64)
-    for a in range(0, n, BLOCK):
-        own = np.asarray(text[a : a + BLOCK])
-        total += np.bincount(own, minlength=symbols)
-        falling += np.bincount(own[~rising[a : a + BLOCK]], minlength=symbols)
-    begin = np.concatenate([[0], np.cumsum(total)])
-    star_of = np.zeros(symbols, np.int64)
-    for a in range(0, len(star), BLOCK):
-        star_of += np.bincount(np.asarray(text[star[a : a + BLOCK]]), minlength=symbols)
-    star_begin = np.concatenate([[0], np.cumsum(star_of)])
+    counts = lambda blocks: _counts(blocks, symbols, scratch)
+    total = counts(np.asarray(text[a : a + BLOCK]) for a in range(0, n, BLOCK))
+    falling = counts(np.asarray(text[a : a + BLOCK])[~rising[a : a + BLOCK]] for a in range(0, n, BLOCK))
+    begin = _upto(total, scratch)
+    star_begin = _upto(counts(np.asarray(text[star[a : a + BLOCK]]) for a in range(0, len(star), BLOCK)), scratch)
 
     def seeds(a: int, z: int) -> tuple[np.ndarray, np.ndarray]:
         at = star[order[a:z]]
         back = star[order[max(a - 1, 0) : z - 1]] if a else np.append(at[:1], star[order[: z - 1]])
         return at, shared_prefix(text, at, back)
 
-    queues = Queues(scratch)
+    edges = ranges(begin)
+    queues = Queues(scratch, edges)
     up = Pusher(text, rising, False, queues, symbols)
-    for c in np.flatnonzero(total).tolist():
+    for c in _present(total):
         at, last = int(begin[c]), None
-        blocks = queues.take(c)
-        while blocks:
-            again = []
-            for b in blocks:
-                p, s = b["at"].astype(np.int64), b["shared"].copy()
-                if at == begin[c]:
-                    s[0] = 0
-                sa[at : at + len(p)], shared[at : at + len(p)] = p, s
-                at, last = at + len(p), p[-1:]
-                mine = up.push(p, s, c)
-                if len(mine[0]):
-                    item = np.empty(len(mine[0]), Queues.ITEM)
-                    item["at"], item["shared"] = mine
-                    again.append(item)
-            blocks = again
+        while (b := queues.pop(c)) is not None:
+            p, s = b
+            if at == begin[c]:
+                s[0] = 0
+            sa[at : at + len(p)], shared[at : at + len(p)] = p, s
+            at, last = at + len(p), p[-1:]
+            up.push(p, s)
         for a in range(int(star_begin[c]), int(star_begin[c + 1]), BLOCK):
             p, s = seeds(a, min(a + BLOCK, int(star_begin[c + 1])))
             if a == star_begin[c]:
                 s[0] = 0 if last is None else shared_prefix(text, last, p[:1])[0]
             up.push(p, s)
-    queues = Queues(scratch)
+    queues = Queues(scratch, edges)
     down = Pusher(text, rising, True, queues, symbols)
-    for c in np.flatnonzero(total)[::-1].tolist():
+    for c in _present(total, down=True):
         top = int(begin[c + 1])
         at, link = top, 0  # link: what the next one down shares with the last one placed
-        blocks = queues.take(c)
-        if c == text[n - 1]:
-            item = np.zeros(1, Queues.ITEM)
-            item["at"] = n - 1  # nothing follows it to induce it
-            blocks.append(item)
-        while blocks:
-            again = []
-            for b in blocks:
-                p, s = b["at"].astype(np.int64), b["shared"].copy()
-                if at == top:
-                    s[0] = 0
-                elif c == text[n - 1] and p[0] == n - 1:
-                    s[0] = shared_prefix(text, p[:1], sa[at : at + 1])[0]
-                sa[at - len(p) : at] = p[::-1]
-                # each shares s with the one above it
-                shared[at - len(p) + 1 : min(at + 1, top)] = s[::-1][: min(at + 1, top) - (at - len(p) + 1)]
-                at -= len(p)
-                mine = down.push(p, s, c)
-                if len(mine[0]):
-                    item = np.empty(len(mine[0]), Queues.ITEM)
-                    item["at"], item["shared"] = mine
-                    again.append(item)
-            blocks = again
+        if c == text[n - 1]:  # nothing follows the last suffix to induce it
+            queues.put(np.array([c]), np.array([n - 1]), np.zeros(1, np.uint8))
+        while (b := queues.pop(c)) is not None:
+            p, s = b
+            if c == text[n - 1] and len(k := np.flatnonzero(p == n - 1)):  # no queue carries what the last suffix shares
+                k = int(k[0])
+                above = p[k - 1 : k] if k else np.asarray(sa[at : at + 1])
+                s[k] = shared_prefix(text, p[k : k + 1], above)[0] if len(above) else 0
+            if at == top:
+                s[0] = 0
+            sa[at - len(p) : at] = p[::-1]
+            # each shares s with the one above it
+            shared[at - len(p) + 1 : min(at + 1, top)] = s[::-1][: min(at + 1, top) - (at - len(p) + 1)]
+            at -= len(p)
+            down.push(p, s)
         low = int(begin[c] + falling[c])
         if at != low:
             raise RuntimeError("a suffix was not induced")

@@ -31,8 +31,8 @@ LENGTH, GRAM = 50, 16
 PASSES = 3
 #: Bytes of text for which there is one shard in each pass, and one group of documents at the end.
 SHARD_TEXT = 12 << 20
-#: A run found more often in a slice is hot.
-HOT = 64
+#: A run found more often in a slice is hot, or in more than an EIGHTH of its documents if these are few.
+HOT, EIGHTH, FEW = 64, 8, 3
 #: Bytes whose hashes are worked out together.
 STRETCH = 1 << 15
 #: Runs of a shard whose heads are looked at together.
@@ -131,7 +131,7 @@ def _dealt(rows: DataFrame, turn: int, passes: int, shards: int, hot: int) -> Da
                 met.add(row)
             if not all(keep):
                 b = b.filter(pa.array(keep))
-            out = _slice_rows(b, turn, passes, shards, hot)
+            out = _slice_rows(b, turn, passes, shards, min(hot, max(FEW, b.num_rows // EIGHTH)))
             if out:
                 yield _rows(out, _DEALT)
 

@@ -480,6 +480,35 @@ def test_suffix_order(monkeypatch, in_memory, block, base):
             assert min(m, 50) == next((i for i in range(50) if x[i] != y[i]), 50)
 
 
+@pytest.mark.parametrize("n", [60_000, 240_000])
+def test_suffix_order_holds_little_of_a_symbol_that_is_a_third_of_the_text(monkeypatch, n):
+    block, base = 1 << 11, 1 << 12
+    monkeypatch.setattr(induced, "BLOCK", block)
+    named, queues, plain = [], [], induced._name
+    monkeypatch.setattr(induced, "_name", lambda text, star, own, *rest: named.append(len(own)) or plain(text, star, own, *rest))
+
+    class Watched(induced.Queues):
+        def __init__(self, *args):
+            super().__init__(*args)
+            queues.append(self)
+
+    monkeypatch.setattr(induced, "Queues", Watched)
+    rng = np.random.default_rng(9)
+    text = rng.integers(1, 200, n).astype(np.uint16)
+    text[rng.random(n) < 0.33] = 90
+    text[n // 2 : n // 2 + n // 8] = text[: n // 8]
+    text[n // 4 : n // 4 + 3 * block] = 90  # and a long run of it
+    text[-1] = 0
+    order, shared = induced.suffix_order(text, induced.Scratch(1 << 16), base)
+    assert max(named) <= base and max(q.most for q in queues) <= 2 * block and sum(named) > 3 * base
+    assert max(len(q.parts) + len(q.apart) for q in queues) == 0 and max(len(q.edges) for q in queues) < 600 + 4 * n // block
+    assert (np.sort(order) == np.arange(n)).all()
+    padded = np.concatenate([text, np.zeros(64, np.uint16)])
+    for i in range(0, n - 1, 97):
+        a, b = padded[order[i] : order[i] + 50].tolist(), padded[order[i + 1] : order[i + 1] + 50].tolist()
+        assert a <= b and (max(order[i], order[i + 1]) > n - 50 or min(50, shared[i + 1]) == next((k for k in range(50) if a[k] != b[k]), 50))
+
+
 def brute_suffix(rows):
     first = {}
     for i, t in rows:

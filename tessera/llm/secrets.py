@@ -3,6 +3,7 @@
 Rules are compiled by Thompson's construction, subset construction and minimisation into transition rows. A first
 automaton reads each text's bytes once, in one pass for all rules, and tells whether the text can hold any secret;
 such texts are read by the second, whose accepting states name the rules that end at a byte, for the exact spans.
+Both read each byte once; the spans of a rule take steps in proportion to the text.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ MORE = (
     SecretRule("hub", "hf_[A-Za-z0-9]+", "hf_[A-Za-z0-9]{2}", least=33),
 )
 RULES = BASE + MORE
+#: Steps to nowhere that may be taken again.
+SHORT = 32
 
 
 class _Nfa:
@@ -282,23 +285,37 @@ class SecretScanner:
         return sorted(out)
 
     def _matches(self, i: int, raw: bytes, upto: int) -> Iterator[tuple[int, int]]:
-        """Leftmost longest matches in turn; none ends beyond upto."""
+        """Leftmost longest matches in turn; none ends beyond upto. A state at a place from which no match ends is remembered,
+        so no later start goes the same way again: steps grow with the text, not with its square.
+        """
         auto, rows = self.own[i], self.own_rows[i]
         accepts, dead, first = auto.accepts.tolist(), auto.dead, rows[0]
-        at = 0
+        hopeless: dict[int, bytearray] = {}
+        at, size = 0, len(raw)
         while at < upto:
             s = first[raw[at]]
             if s == dead:
                 at += 1
                 continue
-            end, k = (at + 1 if accepts[s] else -1), at + 1
-            while k < len(raw):
+            k = at + 1
+            end, way, since = (k, [], k + 1) if accepts[s] else (-1, [s], k)  # way: states from place since on, no match yet
+            while k < size:
                 s = rows[s][raw[k]]
                 if s == dead:
                     break
                 k += 1
                 if accepts[s]:
-                    end = k
+                    end, since = k, k + 1
+                    way.clear()
+                elif s in hopeless and hopeless[s][k]:
+                    break
+                else:
+                    way.append(s)
+            if len(way) > SHORT:
+                for place, s in enumerate(way, since):
+                    if s not in hopeless:
+                        hopeless[s] = bytearray(size + 1)
+                    hopeless[s][place] = 1
             if end > 0:
                 yield at, end
                 at = end
@@ -335,7 +352,8 @@ class SecretScanner:
 def scanned(docs: DataFrame, rules: Sequence[SecretRule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_assign, n_access, n_hex, base_sha256, spans, redacted): spans as kind:start:end joined by commas, by
     start, then in the order of the rules; redacted: the text with each span as [kind], or null where there is none.
-    A null text counts as empty; repeated rows stay.
+    A null text counts as empty; repeated rows, and rows without an id, stay. Other columns are not looked at; an empty
+    table gives an empty result.
     """
     rules = tuple(rules)
     base = len(BASE)

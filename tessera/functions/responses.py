@@ -18,6 +18,11 @@ ABSTENTION = "none|insufficient|not\\s+enough|cannot"
 EVIDENCE = "Evidence\\s*:\\s*((?:\\[\\s*\\d+\\s*\\][\\s,;and]*)+)"
 ANSWER_TAG = "</?\\\\s*(?:letter|answer)\\\\s*>"
 
+#: The letter after "answer", a bare letter at the start, the letter after "answer" in reasoning.
+SAID_LETTER = "(?iU)answer(?:\\s+is)?\\W*([A-Za-z])\\b"
+BARE_LETTER = "(?U)^\\W*([A-Za-z])(?:[.):]|\\s*$|\\n)"
+REASONED_LETTER = "(?iU)answer\\W*([A-Za-z])\\b"
+
 #: The patterns of each kind of question, in order of priority.
 GREETING = (
     r"^\s*(hi+|hello+|hey+|namaste|namaskar|good\s+(morning|afternoon|evening|night)|"
@@ -97,9 +102,9 @@ def parse_answer(c: Column, options: Column, idk: str | None = None) -> Column:
         found = F.upper(F.regexp_extract(text, pattern, 1))
         return F.when(F.map_contains_key(options, found), found)
 
-    said = letter("(?iU)answer(?:\\s+is)?\\W*([A-Za-z])\\b")
+    said = letter(SAID_LETTER)
     named = F.filter(F.map_keys(options), lambda k: F.regexp_like(F.lower(text), F.concat(F.lit("(?U)answer\\W*\\Q"), F.lower(options[k]), F.lit("\\E\\b"))))
-    bare = letter("(?U)^\\W*([A-Za-z])(?:[.):]|\\s*$|\\n)")
+    bare = letter(BARE_LETTER)
     answer = F.coalesce(said, F.get(named, F.lit(0)), bare)
     unsure = options[answer] == IDK
     if idk is not None:
@@ -110,7 +115,7 @@ def parse_answer(c: Column, options: Column, idk: str | None = None) -> Column:
 
 def last_answer(c: Column, letters: tuple[str, ...] = ("A", "B", "C", "D", "E")) -> Column:
     """The last letter after "answer" that is one of the options."""
-    found = F.transform(F.regexp_extract_all(c, F.lit("(?iU)answer\\W*([A-Za-z])\\b"), 1), lambda x: F.upper(x))
+    found = F.transform(F.regexp_extract_all(c, F.lit(REASONED_LETTER), 1), lambda x: F.upper(x))
     return _last(F.filter(found, lambda x: x.isin(*letters)))
 
 

@@ -32,6 +32,14 @@ def word_grams(ts: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(ts, i, n), " "))
 
 
+def gram_keys(ts: Column, n: int) -> Column:
+    """A 128-bit key (two longs) of each run of n tokens, from the tokens' own hashes; none where there are fewer."""
+    hashed = F.get(F.transform(F.array(ts), lambda w: F.struct(F.transform(w, lambda t: F.xxhash64(t)).alias("a"), F.transform(w, lambda t: F.xxhash64(F.lit(n), t)).alias("b"))), F.lit(0))
+    starts = lambda h: F.when(F.size(h["a"]) >= n, F.sequence(F.lit(1), F.size(h["a"]) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    key = lambda h, i: F.struct(F.xxhash64(F.slice(h["a"], i, n)).alias("a"), F.xxhash64(F.slice(h["b"], i, n)).alias("b"))
+    return F.get(F.transform(F.array(hashed), lambda h: F.transform(starts(h), lambda i: key(h, i))), F.lit(0))
+
+
 def chunks(c: Column, size: int = 350, overlap: int = 50, least: int = 20) -> Column:
     """A text of up to size words as it is, however short; a longer one as windows of size words, overlapping, of which later
     ones of fewer than least words are left out.

@@ -11,6 +11,7 @@ from ..functions import responses as R
 from ..functions import text as T
 from ..functions.prompts import IDK
 from ..plans.core import VIEWS, Plan, collect, view
+from ..sources.tables import spread
 
 view("outputs", """
 SELECT conv_id, turn, role, CASE (conv_id * 3 + turn) % 12
@@ -81,14 +82,14 @@ def word_13grams(spark, sf):
 def audit_ngram(train: DataFrame, test: DataFrame, n: int = 13) -> DataFrame:
     """(field, items, contaminated, ok) for question and options: test items that share a gram with a training text.
 
-    train: text; test: item_id, question, options. Digests of the test's grams are few; the training side is filtered by them
+    train: text; test: item_id, question, options. Keys of the test's grams are few; the training side is filtered by them
     where it is read and no text is shuffled.
     """
     fields = test.select("item_id", F.explode(F.create_map(F.lit("question"), F.col("question"), F.lit("options"), F.col("options"))).alias("field", "text"))
-    grams = lambda df, *key: df.select(*key, R.gram_words(F.col("text")).alias("ws")).select(*key, F.explode(F.array_distinct(T.word_grams(F.col("ws"), n))).alias("g")).select(*key, F.xxhash64("g").alias("h"), F.md5("g").alias("g"))
+    grams = lambda df, *key: df.select(*key, F.explode(T.gram_keys(R.gram_words(F.col("text")), n)).alias("g"))
     own = grams(fields, "item_id", "field")
-    met = grams(train).join(own.select("h", "g").distinct(), ["h", "g"], "left_semi").distinct()
-    hit = own.join(met, ["h", "g"], "left_semi").groupBy("field").agg(F.countDistinct("item_id").alias("hits"))
+    met = grams(train).join(own.select("g").distinct(), "g", "left_semi").distinct()
+    hit = own.join(met, "g", "left_semi").groupBy("field").agg(F.countDistinct("item_id").alias("hits"))
     every = fields.groupBy("field").agg(F.countDistinct("item_id").alias("items")).join(hit, "field", "left")
     hits = F.coalesce("hits", F.lit(0)).cast("long")
     return every.select("field", "items", hits.alias("contaminated"), (hits == 0).alias("ok"))
@@ -96,7 +97,7 @@ def audit_ngram(train: DataFrame, test: DataFrame, n: int = 13) -> DataFrame:
 
 def audit_ngram_query(spark, sf):
     options = F.array_join(F.slice(F.split("text", " "), 1, 15), " ")
-    return audit_ngram(_read(spark, sf, "documents"), _read(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), options.alias("options")))
+    return audit_ngram(spread(_read(spark, sf, "documents").select("text")), _read(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), options.alias("options")))
 
 
 def gate_index(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, sample: int = 5, k: int = 10) -> DataFrame:

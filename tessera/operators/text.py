@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.core import Plan, collect
+from ..sources.tables import spread
 from .similar import dense_topk, document_pairs, jaccard_pairs
 
 K1, B = 1.5, 0.75
@@ -26,7 +27,7 @@ def dedup_corpus(spark, sf):
 
 
 def chunk_docs(spark, sf):
-    d = _read(spark, sf, "documents")
+    d = spread(_read(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("j", "chunk")).select("doc_id", "j", F.md5("chunk").alias("chunk_md5"))
 
 
@@ -60,17 +61,16 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 
 def bm25_topk(spark, sf):
-    return bm25(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+    return bm25(spread(_read(spark, sf, "documents").select("doc_id", "text")), _read(spark, sf, "benchmark"))
 
 
 def ngram13_overlap(spark, sf):
-    """Shared 13-grams of documents and benchmark passages: the grams' digests are joined."""
+    """Shared 13-grams of documents and benchmark passages: 128-bit keys of grams are joined, and no gram is written out."""
     def grams(df, key):
-        ts = df.select(key, T.tokens(F.col("text")).alias("ts"))
-        return ts.select(key, F.explode(F.array_distinct(T.word_grams(F.col("ts"), 13))).alias("g")).select(key, F.md5("g").alias("g"))
+        return df.select(key, F.explode(T.gram_keys(T.tokens(F.col("text")), 13)).alias("g"))
 
-    d, b = grams(_read(spark, sf, "documents"), "doc_id"), grams(_read(spark, sf, "benchmark"), "item_id")
-    return d.join(b, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    d, b = grams(spread(_read(spark, sf, "documents").select("doc_id", "text")), "doc_id"), grams(_read(spark, sf, "benchmark"), "item_id").distinct()
+    return d.join(b, "g").groupBy("doc_id", "item_id").agg(F.count_distinct("g").alias("shared"))
 
 
 def stream_runs(spark, sf):

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 
@@ -26,3 +27,12 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt anew if its rows lie in fewer partitions than there are cores, as one large row group does: for work that costs
+    far more than moving a row. Partitions are counted without reading a column.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    filled = df.groupBy(F.spark_partition_id()).agg(F.lit(1)).count()
+    return df.repartition(2 * cores) if 0 < filled < cores else df

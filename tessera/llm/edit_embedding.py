@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import discard, shared_dir, slices, written
 from .components import connected_components
 
 CELLS, PERIOD, CLASSES, GRAM = 128, 1024, 256, 4
 SEED = 20240229
 #: Bands of cells, and how many fingerprints of a band one task compares all with all.
 BANDS, GROUP = 32, 2000
+#: Bytes of text for which there is a partition of documents in order of their ids.
+PART_BYTES = 32 << 20
 #: How often a band is split at most: each time its fingerprints are dealt to as many bands as may differ, and one more.
 LEVELS = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -135,15 +137,23 @@ def _compare(far: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def near_pairs(fps: DataFrame, least: float = 0.8, group: int = GROUP) -> DataFrame:
+def near_pairs(fps: DataFrame, least: float = 0.8, group: int = GROUP, used: list[str] | None = None) -> DataFrame:
     """Bit-sampled banding with verification: (a, b, near) for distinct fingerprints, pairs whose chains connect all that are
     at least so like. Nothing is lost: two such fingerprints agree on all but as many of the disjoint bands as cells in which
     they may differ, so that one band more than that holds all such pairs.
 
     A band's members are compared with its least one. Where some are far from it, a band of up to `group` members is
     compared all with all in one task; a larger one is split once by a further band, and what is still larger then is
-    compared block by block, which takes quadratic time. So no group of one task holds more than two blocks.
+    compared block by block, which takes quadratic time. So no group of one task holds more than two blocks. used gets
+    the folders of tables that the result reads.
     """
+
+    def table(df: DataFrame) -> DataFrame:
+        path = shared_dir(df.sparkSession)
+        if used is not None:
+            used.append(path)
+        return written(df, path)
+
     far = max((d for d in range(CELLS) if (1 - d / CELLS - 1 / 255) / (1 - 1 / 255) >= least), default=-1)
     if not 0 <= far < CELLS - 1:
         raise ValueError("least must be above 0 and at most 1")
@@ -151,15 +161,15 @@ def near_pairs(fps: DataFrame, least: float = 0.8, group: int = GROUP) -> DataFr
     levels, tried = min(LEVELS, n - far), far + 1
     deal = [sorted(c.tolist()) for c in np.array_split(np.random.default_rng(SEED + 1).permutation(CELLS), n)]
     hashes = F.array(*[F.xxhash64(F.lit(k), *[F.substring("fingerprint", 2 * c + 1, 2) for c in cs]) for k, cs in enumerate(deal)])
-    one = written(fps.select("fingerprint").where("fingerprint IS NOT NULL").distinct().withColumn("_f", F.xxhash64("fingerprint")))
+    one = table(fps.select("fingerprint").where("fingerprint IS NOT NULL").distinct().withColumn("_f", F.xxhash64("fingerprint")))
     banded = one.select("_f", F.explode(F.slice(F.transform(hashes, lambda h, k: F.struct(h.alias("key"), F.array(k).alias("used"))), 1, tried)).alias("x")).select("_f", "x.*")
     met = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     now = banded.join(met, "key").join(one, "_f").select("key", "used", "fingerprint")
     found, small = [], []
     for depth in range(1, levels + 1):
-        now = written(now)
+        now = table(now)
         firsts = now.groupBy("key").agg(F.min("fingerprint").alias("first"))
-        checked = written(now.join(firsts, "key").select("key", "used", "fingerprint", "first", _near("first", "fingerprint").alias("near")))
+        checked = table(now.join(firsts, "key").select("key", "used", "fingerprint", "first", _near("first", "fingerprint").alias("near")))
         found.append(checked.where(F.col("near") >= least).where("fingerprint <> first").select(F.col("first").alias("a"), F.col("fingerprint").alias("b"), "near"))
         mixed = checked.groupBy("key").agg(F.count("*").alias("n"), F.min("near").alias("least")).where(F.col("least") < least).select("key", "n")
         rest = checked.join(mixed, "key")
@@ -179,38 +189,52 @@ def near_pairs(fps: DataFrame, least: float = 0.8, group: int = GROUP) -> DataFr
     return reduce(DataFrame.unionByName, [*found, groups.applyInArrow(_compare(far), "a string, b string, near double")]).distinct()
 
 
+def with_components(rows: DataFrame, id_col: str, fp_col: str = "fingerprint", least: float = 0.8) -> DataFrame:
+    """rows with component_id: the least id that links of fingerprints at least so like reach, itself included. Rows of one
+    fingerprint are linked; a null id keeps its row, without counting as the least. rows are read several times.
+    """
+    fps = rows.select(F.col(fp_col).alias("fingerprint"))
+    used: list[str] = []
+    roots = connected_components(near_pairs(fps, least, used=used)).select(F.col("node").alias("_node"), "root")
+    discard(rows.sparkSession, *used)
+    least_id = rows.groupBy(F.col(fp_col).alias("_node")).agg(F.min(id_col).alias("_least")).join(roots, "_node", "left")
+    least_id = written(least_id.select("_node", F.coalesce("root", "_node").alias("_root"), "_least"))
+    of_root = least_id.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    named = least_id.join(of_root, "_root").select("_node", "component_id")
+    return rows.join(named, F.col(fp_col) == F.col("_node")).drop("_node")
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, component_id): the least id that links of fingerprints at least so like reach, itself included.
     Equal texts are linked; a null text is an empty one; a null id keeps its row, without counting as the least.
     """
-    fps = written(fingerprints(docs, id_col, text_col))
-    roots = connected_components(near_pairs(fps, least))
-    rooted = fps.join(roots, fps.fingerprint == roots.node, "left").select(id_col, "fingerprint", F.coalesce("root", "fingerprint").alias("_root"))
-    return rooted.join(rooted.groupBy("_root").agg(F.min(id_col).alias("component_id")), "_root").select(id_col, "fingerprint", "component_id")
+    return with_components(written(fingerprints(docs, id_col, text_col)), id_col, least=least)
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (_p, _more, _id, _hash, _text) dealt and sorted so that each document stands before the next one in descending
-    id (nulls last; equal ids by hash), the first standing after the last. _more marks a copy of the row that comes after
-    a partition's last; nothing but these copies and bounds of as many values as partitions is gathered.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """Rows (_p, _more, _has, _id, _hash, _text) dealt and sorted so that each document stands before the next one in descending
+    id (nulls last, which _has tells; equal ids by hash), the first standing after the last. _more marks a copy of the row
+    that comes after a partition's last; nothing but these copies and bounds of as many values as partitions is gathered.
+    There is a partition for each part_bytes of text, and a task for each partition.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lowest = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // part_bytes))
+    own = F.col(id_col).cast("long")
+    rows = docs.select(own.isNotNull().alias("_has"), F.coalesce(own, F.lit(-(1 << 63))).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
     cuts = docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
     bounds = sorted({int(c) for c in cuts})
     p = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b <= F.col("_id"))) if bounds else F.lit(0)
-    rows = rows.select(p.alias("_p"), F.lit(False).alias("_more"), "_id", "_hash", "_text")
-    heads = sorted(tuple(r) for r in rows.groupBy("_p").agg(F.max(F.struct("_id", "_hash")).alias("m")).select("_p", "m._id", "m._hash").collect())
+    rows = rows.select(p.alias("_p"), F.lit(False).alias("_more"), "_has", "_id", "_hash", "_text")
+    heads = sorted(tuple(r) for r in rows.groupBy("_p").agg(F.max(F.struct("_has", "_id", "_hash")).alias("m")).select("_p", "m.*").collect())
     if not heads:
         return rows
     after = [(heads[k - 1][0], *heads[k - 1][1:], heads[k][0]) for k in range(len(heads))]  # the head of each is next for the partition above; k = 0: wraps round
-    small = spark.createDataFrame(after, "_q int, _i long, _h long, _to int")
+    small = spark.createDataFrame(after, "_q int, _there boolean, _i long, _h long, _to int")
     small = F.broadcast(small)  # at most a row for each partition
-    more = rows.join(small, (rows._p == small._q) & (rows._id == small._i) & (rows._hash == small._h)).select(F.col("_to").alias("_p"), F.lit(True).alias("_more"), "_id", "_hash", "_text")
+    more = rows.join(small, (rows._p == small._q) & (rows._has == small._there) & (rows._id == small._i) & (rows._hash == small._h)).select(F.col("_to").alias("_p"), F.lit(True).alias("_more"), "_has", "_id", "_hash", "_text")
     both = rows.unionByName(more)
-    return both.repartition(parts, "_p").sortWithinPartitions("_p", "_more", F.desc("_id"), F.desc("_hash"))
+    return both.repartitionById(parts, "_p").sortWithinPartitions("_p", "_more", F.desc("_has"), F.desc("_id"), F.desc("_hash"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,15 +244,14 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     import hashlib
 
-    lowest = -(1 << 63)
     names = ["_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, held = embedding(), None
         for b in slices(batches, "_text"):
             out = []
-            for p, more, i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist()):
-                text = text or ""
+            for p, more, has, i, text in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3, 5))):
+                text, i = text or "", i if has else None
                 codes = code_points(text)
                 ends = e.walk(codes)
                 now = (p, more, i, text, codes, ends, e.sample(codes, ends))
@@ -240,7 +263,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     tail = e.walk(edited[keep:], int(t[keep - 1])) if keep else t[:0]
                     efp = e.sample(edited, np.concatenate([t[:keep], tail]))
                     digest = hashlib.sha256((own_text[:keep] + text[: n // 2]).encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((None if own == lowest else own, n, digest, fp.tobytes().hex(), efp.tobytes().hex(), likeness(fp, efp), likeness(fp, now[6])))
+                    out.append((own, n, digest, fp.tobytes().hex(), efp.tobytes().hex(), likeness(fp, efp), likeness(fp, now[6])))
                 held = now
             if out:
                 yield pa.record_batch([pa.array(c) if k else pa.array(c, pa.int64()) for k, c in enumerate(map(list, zip(*out)))], names)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_column, classifier, edit_embedding, lines, packing, quality, secrets, simhash, suffix_dedup, tokenfiles, trie, urls, vafile
+from .common import written
 from .tokens import tokenizer_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -18,44 +19,58 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that earlier documents hold are removed; see suffix_dedup.deduplicated for nulls, repeated rows
+    and empty tables.
+    """
     return suffix_dedup.deduplicated(_docs(spark, sf_dir), with_text=False)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and the cascade's verdict for all documents; see quality.assessed."""
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.assessed(_docs(spark, sf_dir)).select(*cols)
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_embedding.edited_fingerprints(_docs(spark, sf_dir))
+    """Fingerprints of all documents and of their edited texts, with the class (component_id) that banding and verification
+    find for each; nulls, repeated rows and empty tables as edit_embedding.edited_fingerprints says.
+    """
+    return edit_embedding.with_components(written(edit_embedding.edited_fingerprints(_docs(spark, sf_dir))), "doc_id")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens; see packing.pack_documents."""
     return packing.pack_documents(_docs(spark, sf_dir), tokenizer_path(BYTE_BPE), end_id=1)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that later copies of three-line windows cover are removed; see lines.deduplicated."""
     df = lines.deduplicated(_docs(spark, sf_dir))
     return df.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents; see secrets.scanned."""
     return secrets.scanned(_docs(spark, sf_dir)).drop("redacted")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, written as files and read back; see tokenfiles.tokens_round_trip."""
     return tokenfiles.tokens_round_trip(_docs(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=2)
 
 
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and their decoded texts; see bpe_column.digests."""
     return bpe_column.digests(_docs(spark, sf_dir), tokenizer_path(WORD_BPE))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by two co-trained views; see classifier.classified."""
     return classifier.classified(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; see simhash.near_duplicates."""
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 

@@ -392,6 +392,38 @@ def test_banding_loses_no_link(spark, monkeypatch, group, levels):
     assert len(want) > 30 and classes((r.a, r.b) for r in got) == classes(want)
 
 
+def test_edit_query_names_classes_and_keeps_the_least_id(spark, tmp_path):
+    from tessera.llm import entries
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(3000)) for _ in range(4)]
+    rows = [(-(1 << 63), texts[0]), (3, texts[0][:2950] + "zz"), (None, texts[0]), (9, texts[1]), (9, texts[1]), (7, None), (8, ""), (2, texts[2]), (12, texts[2] + texts[3] * 30)]
+    spark.createDataFrame([(*r, 0, "x", 1) for r in rows], "doc_id long, text string, _p int, fingerprint string, component_id int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entries.op3_document_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    e = edit_embedding.embedding()
+    fps = {r.fingerprint: np.frombuffer(bytes.fromhex(r.fingerprint), np.uint8) for r in got}
+    root = {f: f for f in fps}
+    for a in fps:
+        for b in fps:
+            if edit_embedding.likeness(fps[a], fps[b]) >= 0.8:
+                root = {f: root[a] if r == root[b] else r for f, r in root.items()}
+    least = {}
+    for r in got:
+        if r.doc_id is not None:
+            least[root[r.fingerprint]] = min(least.get(root[r.fingerprint], r.doc_id), r.doc_id)
+    assert all(r.component_id == least[root[r.fingerprint]] for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[-(1 << 63)].component_id == by[3].component_id == by[None].component_id == -(1 << 63)
+    # the next document of each in descending id, nulls last, round to the first
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0])
+    for (i, t), (_, u) in zip(order, [*order[1:], (None, texts[0])]):
+        t, u = t or "", u or ""
+        n = len(t) // 2
+        assert i == 9 or by[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + u[:n]).encode()).hexdigest(), i  # 9 is there twice
+
+
+
 def test_edit_near_duplicates(spark):
     rng = random.Random(7)
     texts = ["".join(rng.choice("abcdefghij ") for _ in range(2000)) for _ in range(3)]

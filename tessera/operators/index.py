@@ -109,7 +109,7 @@ def bm25_index(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     path = build(docs, shared_dir(spark, "index"), title_col="source")
     found = search(spark, path, spark.read.parquet(f"{sf}/benchmark.parquet"))
-    return found.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
+    return found.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "score")
 
 
 def index_finds_itself(spark, sf):
@@ -134,7 +134,7 @@ tf AS (SELECT doc_id, l, stem, count(*) AS tf FROM dw JOIN s USING (word) GROUP
 df AS (SELECT stem, count(*) AS df FROM tf GROUP BY stem),
 qt AS (SELECT item_id, stem, count(*) AS times FROM qw JOIN s USING (word) GROUP BY ALL),
 sc AS (SELECT item_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * l / a))), 6) AS score FROM tf JOIN df USING (stem) JOIN qt USING (stem), st GROUP BY item_id, doc_id)
-SELECT item_id, doc_id, round(score, 5) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
+SELECT item_id, doc_id, score FROM sc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
 
 QUERIES = {
     "bm25_index": (bm25_index, _DUCK),

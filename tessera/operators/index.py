@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stem_sql
 from ..functions.text import STOPWORDS
-from ..sources.tables import shared_dir, written
+from ..sources.tables import shared_dir, spread, written
 
 K1, B = 1.5, 0.75
 #: Postings of a part, about.
@@ -106,7 +106,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, id_c
 
 def bm25_index(spark, sf):
     """The ten best documents of each benchmark passage, from an index that is written and read again; titles: the source."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text"))
     path = build(docs, shared_dir(spark, "index"), title_col="source")
     found = search(spark, path, spark.read.parquet(f"{sf}/benchmark.parquet"))
     return found.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
@@ -74,6 +75,12 @@ def score(df: DataFrame, make: Callable[[], Scorer], first: str, second: str | N
     return df.mapInArrow(lambda batches: _scored(batches, make, cols, size, kind, name), f"{ddl}, `{name}` {RESULTS[kind][0]}")
 
 
+def six_digits(x: float) -> float:
+    """x, not negative, to six digits; halves go up, as SQL rounds doubles, where round() goes by the exact binary value."""
+    whole = math.floor(x * 1e6)
+    return (whole + (x * 1e6 - whole >= 0.5)) / 1e6
+
+
 class Overlap:
     """A scorer without a model: the share of the first text's different words that the second has, six digits. It claims to be
     out of memory beyond so many characters, batches as models pad them: rows times the longest row.
@@ -89,14 +96,15 @@ class Overlap:
             raise RuntimeError("out of memory")
         out = []
         for a, b in pairs:
-            x, y = (set(re.findall("[a-z]+", t.lower())) for t in (a, b))
-            out.append(round(len(x & y) / len(x), 6) if x else 0.0)
+            # one letter has a lower case of two code points in Python alone
+            x, y = (set(re.findall("[a-z]+", t.replace("\u0130", "i").lower())) for t in (a, b))
+            out.append(six_digits(len(x & y) / len(x)) if x else 0.0)
         return out
 
 
 def batch_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Each turn of a conversation against the turn before it, by Overlap."""
-    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    """Each turn of a conversation against the turn before it, by Overlap; turns without a text take no part."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet").where("text IS NOT NULL")
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
     pairs = c.select("conv_id", "turn", "text").join(before, ["conv_id", "turn"])
     return score(pairs, Overlap, "before", "text").select("conv_id", "turn", "score")

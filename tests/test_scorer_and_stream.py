@@ -1,5 +1,6 @@
 """The batch scorer under lack of memory, and the incremental append."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -41,6 +42,18 @@ def test_scores_of_rows(spark):
     assert scorer.score(df.limit(0), make, "t").count() == 0
 
 
+def test_batch_scores_equal_their_sql(spark, tmp_path):
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "abcdefghijklmnop"]
+    texts = [" ".join(words), "aa", None, "x", "x \u0130stanbul \u212a", "istanbul k", " ".join(words[:64]), " ".join(words[:5]), "", "x"]
+    rows = [(1, i, "user", t) for i, t in enumerate(texts)] + [(2, None, "user", "x"), (None, 0, "user", "x"), (None, 1, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run, sql = scorer.QUERIES["batch_scores"]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in run(spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(sql).fetchall()) and (1, 1, 0.007813) in got
+
+
 def test_ids_are_appended_once(spark, tmp_path):
     schema = "event_id long, user_id long, event_type string, value double"
     put = lambda rows, name: spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))

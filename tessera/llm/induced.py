@@ -400,7 +400,8 @@ def _name(text: np.ndarray, star: np.ndarray, own: np.ndarray, symbols: int, nam
         fresh |= np.append(True, old[1:] != old[:-1])
         group[order] = np.cumsum(fresh) - 1
         size = np.bincount(group[order])
-        live = live[(size[group[live]] > 1) & (begin[live] + k <= end[live] - 1)] if k < n else live[:0]
+        # one that ends with the word goes on, as its group may hold longer ones: only the mark parts them
+        live = live[(size[group[live]] > 1) & (begin[live] + k <= end[live])] if k <= n else live[:0]
     names[own] = count + group
     return count + int(group.max(initial=-1)) + 1
 

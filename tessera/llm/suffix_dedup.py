@@ -47,7 +47,12 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     words = np.ndarray((len(raw) - 7,), "<u8", raw.data, 0, (1,))
     h = words[:m] * _A
-    h ^= words[8 : m + 8] * _B
+    # mixed before the second half comes in: two changed bytes, one in each half, would often cancel otherwise
+    h ^= h >> np.uint64(32)
+    h *= _C
+    h ^= h >> np.uint64(32)
+    h ^= words[8 : m + 8]
+    h *= _B
     h ^= h >> np.uint64(31)
     h *= _C
     h ^= h >> np.uint64(29)

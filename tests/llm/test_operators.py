@@ -578,6 +578,25 @@ def test_suffix_dedup(spark, corpus, small):
     assert suffix_dedup.deduplicated(make(spark, []), **small).count() == 0
 
 
+def test_suffix_order_of_substrings_that_end_with_a_word():
+    """Symbols of 9 bits go seven to a word; a substring of seven may begin a longer one, which comes first."""
+    for low in (b"d", b"a"):
+        turns = [b"c" * k + b"ab" + x for k in range(1, 9) for x in (b"ccb", b"caa")]
+        raw = np.frombuffer(b"".join(b"e" + (b"f" * k) + low + after + bytes([103 + k]) for k in range(1, 12) for after in (b"", b"c", b"e") for _ in turns[:2]) + b"".join(turns * 2), np.uint8)
+        text = np.append(raw.astype(np.uint16) + 1, 0).astype(np.uint16)
+        text[0] = 256
+        order, shared = induced.suffix_order(text)
+        for a, b, s in zip(order[:-1].tolist(), order[1:].tolist(), shared[1:].tolist()):
+            p, q = text[a : a + 64].tolist(), text[b : b + 64].tolist()
+            assert p <= q and s == next((k for k in range(min(len(p), len(q))) if p[k] != q[k]), min(len(p), len(q)))
+
+
+def test_gram_hashes_of_changes_in_both_halves():
+    raw = np.frombuffer(b"dhgbhbgha hcfb f" * 2500, np.uint8).copy()
+    raw[7::16], raw[15::16] = np.arange(2500) % 50 + 48, np.arange(2500) // 50 + 48
+    assert len(set(suffix_dedup.gram_hashes(raw)[::16].tolist())) == 2500
+
+
 def test_suffix_dedup_shard_beyond_its_memory(monkeypatch):
     """One shard of many keys, with text, queues, heads and results in files, against the same shard in memory."""
     import pyarrow as pa

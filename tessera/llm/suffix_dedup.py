@@ -3,7 +3,8 @@
 Every 50-byte window is keyed by the least hash of its 16-byte strings, so equal windows have equal keys; a run of windows
 with one key travels with its bytes (about 67 for 18 windows) to the key's shard, equal runs of a slice of the input as one.
 There, keys that one document alone has are dropped and equal runs are joined. Where all runs of a key are equal, so are their
-windows one by one, and the run's least document is that of each. The others are sorted by external induction (induced.py); neighbours in suffix order that share 50 bytes, as the queues carried it, form the groups of equal
+windows one by one, and the run's least document is that of each; the same holds for a run none of whose windows has the
+hash of another run's. The others are sorted by external induction (induced.py); neighbours in suffix order that share 50 bytes, as the queues carried it, form the groups of equal
 windows, and each group's least document is compared with every document that holds it. A shard lies in scratch files beyond
 a memory limit, so it may be far larger than memory.
 
@@ -37,6 +38,8 @@ HOT, EIGHTH, FEW = 64, 8, 3
 STRETCH = 1 << 15
 #: Runs of a shard whose heads are looked at together.
 HEADS = 1 << 18
+#: Windows whose hashes are compared at once; where there are more, all their runs are sorted.
+WINDOWS = 1 << 22
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -103,6 +106,19 @@ def _gather(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     return out
 
 
+def _window_hashes(raw: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each window of runs that stand one after the other, from those of 16-byte strings that cover it."""
+    grams = gram_hashes(raw)
+    windows = lens - LENGTH + 1
+    at = np.repeat(np.cumsum(lens) - lens - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    h = grams[at]
+    for k in (GRAM, 2 * GRAM, LENGTH - GRAM):
+        h *= _A
+        h ^= h >> np.uint64(32)
+        h ^= grams[at + k]
+    return h
+
+
 def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
     """Bounds of the stretches of equal values."""
     at = np.flatnonzero(np.append(True, x[1:] != x[:-1])).tolist() if len(x) else []
@@ -218,7 +234,7 @@ class Shard:
 
     def _joined(self) -> None:
         """Distinct runs of keys that several documents have: self.run; for each head its run's number, or -1; self.text
-        of those that aren't alone with their key. top: where a run begins there, or -1.
+        of those that may have windows of others. top: where a run begins there, or -1.
         """
         self.head, self.place, self.raw = self._read("head", _HEAD), self._read("place", _PLACE), self._read("raw", np.uint8)
         n = len(self.head)
@@ -260,6 +276,7 @@ class Shard:
             mixed = np.append(False, run["key"][1:] == run["key"][:-1])
             mixed |= np.append(mixed[1:], False)
             lens = run["len"].astype(np.int64)
+            mixed = self._meeting(np.flatnonzero(mixed), begin[own[first]], lens)
             inside = np.where(mixed, lens + 1, 0)
             run["top"] = np.where(mixed, top + np.cumsum(inside) - inside, -1)
             self.files["run"].write(run.tobytes())
@@ -273,6 +290,23 @@ class Shard:
         self.run = self._read("run", self.run_type) if runs else None
         self.text = self._read("text", np.uint16)
 
+    def _meeting(self, which: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Whether a run, one of which, may have a window of another one: equal windows have equal hashes. The more documents
+        there are, the more keys are equal by chance, and the suffixes of those runs need no sorting.
+        """
+        out = np.zeros(len(lens), bool)
+        windows = lens[which] - LENGTH + 1
+        if not len(which) or int(windows.sum()) > WINDOWS:
+            out[which] = True
+            return out
+        parts = (which[a : a + BLOCK // 4] for a in range(0, len(which), BLOCK // 4))
+        h = np.concatenate([_window_hashes(_gather(self.raw, begin[k], lens[k]), lens[k]) for k in parts])
+        order = np.argsort(h, kind="stable")
+        h, run = h[order], np.repeat(which, windows)[order]
+        met = np.flatnonzero((h[1:] == h[:-1]) & (run[1:] != run[:-1]))
+        out[run[met]] = out[run[met + 1]] = True
+        return out
+
     def _least(self) -> np.ndarray:
         """By place in the text: the least document of the window that begins there."""
         text = self.text

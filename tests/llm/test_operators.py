@@ -597,6 +597,25 @@ def test_gram_hashes_of_changes_in_both_halves():
     assert len(set(suffix_dedup.gram_hashes(raw)[::16].tolist())) == 2500
 
 
+def test_suffix_sort_leaves_out_runs_that_share_no_window():
+    """Texts that share strings of 16 to 49 bytes by chance have equal keys, and nothing to sort but one passage."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    phrases = ["".join(rng.choices("abcdefgh", k=30)) for _ in range(20)]
+    texts = ["".join(p + "".join(rng.choices("ijklmn", k=8)) for p in rng.choices(phrases, k=60)) for _ in range(20)]
+    for more in (0, 1):
+        if more:
+            texts[3], texts[9] = texts[3] + texts[5][200:280], texts[9] + texts[5][200:280]
+        batch = pa.record_batch([pa.array(range(20)), pa.array(range(20)), pa.array([t.encode() for t in texts], pa.binary())], ["_id", "_tag", "_text"])
+        shard = suffix_dedup.Shard()
+        for r in suffix_dedup._slice_rows(batch, 0, 1, 1, 64):
+            shard.add(r[2], r[5])
+        spans = [np.frombuffer(d, suffix_dedup._SPAN) for b in shard.found(3) for d in b.column(4).to_pylist()]
+        assert (0 < len(shard.text) < 2000 and spans) if more else (len(shard.text) == 0 and not spans)
+        shard.close()
+
+
 def test_suffix_dedup_shard_beyond_its_memory(monkeypatch):
     """One shard of many keys, with text, queues, heads and results in files, against the same shard in memory."""
     import pyarrow as pa

@@ -27,7 +27,7 @@ QUERIES = collect(
     Plan("candidate_chunks", "SELECT r.qid, r.idx, r.dense_rank, o.o_orderpriority AS title FROM {ranked} AS r JOIN {orders} AS o ON r.qid = o.o_orderkey WHERE r.dense_rank <= 5"),
     Plan("run_evidence", "SELECT a.id, a.strict, e.relevant, e.score FROM {answers} AS a JOIN {ranked} AS e ON a.qid = e.qid AND e.dense_rank = 1"),
     Plan("leakage_antijoin", "SELECT DISTINCT a.qid FROM {runs} AS a WHERE NOT EXISTS (SELECT 1 FROM {ranked} AS b WHERE a.qid = b.qid)"),
-    Plan("missing_unexpected_ids", "SELECT 'missing' AS side, o.o_orderkey AS id FROM {orders} AS o LEFT ANTI JOIN {ranked} AS r ON o.o_orderkey = r.qid UNION ALL SELECT 'unexpected', r.qid FROM (SELECT DISTINCT qid FROM {ranked}) AS r LEFT ANTI JOIN {orders} AS o ON o.o_orderkey = r.qid", "SELECT 'missing' AS side, o.o_orderkey AS id FROM {orders} AS o WHERE o.o_orderkey NOT IN (SELECT qid FROM {ranked}) UNION ALL SELECT 'unexpected', r.qid FROM (SELECT DISTINCT qid FROM {ranked}) AS r WHERE r.qid NOT IN (SELECT o_orderkey FROM {orders})"),
+    Plan("missing_unexpected_ids", "SELECT 'missing' AS side, o.o_orderkey AS id FROM {orders} AS o LEFT ANTI JOIN (SELECT DISTINCT l_orderkey AS qid FROM {lineitem}) AS r ON o.o_orderkey = r.qid UNION ALL SELECT 'unexpected', r.qid FROM (SELECT DISTINCT l_orderkey AS qid FROM {lineitem}) AS r LEFT ANTI JOIN {orders} AS o ON o.o_orderkey = r.qid", "SELECT 'missing' AS side, o.o_orderkey AS id FROM {orders} AS o WHERE o.o_orderkey NOT IN (SELECT qid FROM {ranked}) UNION ALL SELECT 'unexpected', r.qid FROM (SELECT DISTINCT qid FROM {ranked}) AS r WHERE r.qid NOT IN (SELECT o_orderkey FROM {orders})"),
     Plan("resume_todo", "SELECT DISTINCT r.qid FROM {runs} AS r LEFT ANTI JOIN {labels} AS l ON r.qid = l.doc_id", "SELECT DISTINCT r.qid FROM {runs} AS r WHERE NOT EXISTS (SELECT 1 FROM {labels} AS l WHERE r.qid = l.doc_id)"),
     Plan("gold_mismatch", "SELECT a.qid, a.pred AS a, b.pred AS b FROM {runs} AS a JOIN {runs} AS b ON a.qid = b.qid AND a.model = 'm0' AND b.model = 'm2' WHERE a.pred <> b.pred"),
     Plan("fabricated_pairs", "SELECT qid, max(CASE WHEN model = 'm0' THEN pred END) AS fake, max(CASE WHEN model = 'm1' THEN pred END) AS real FROM {runs} GROUP BY qid HAVING count(CASE WHEN model = 'm0' THEN 1 END) > 0 AND count(CASE WHEN model = 'm1' THEN 1 END) > 0"),

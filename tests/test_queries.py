@@ -113,6 +113,11 @@ def test_red_flags_equal_their_sql_whatever_a_turn_says(spark, tmp_path):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.sql(registry.oracle_sql()["red_flags"]).fetchall()))
 
 
+def test_missing_ids_need_no_window(spark):
+    plan = registry.queries()["missing_unexpected_ids"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Rank" not in plan
+
+
 def test_emergency():
     from tessera.functions.emergency import first_flag
 

@@ -60,9 +60,11 @@ def _layers(duck: bool) -> list[dict[str, str]]:
     ]
 
 
-def stem_sql(words: str, duck: bool = False) -> str:
-    """(word, stem) for the rows (word) of the SQL table or subquery words. Words are in lower case, without apostrophes."""
-    inner, columns = f"SELECT word FROM {words} AS w0", ["word"]
+def stem_sql(words: str, duck: bool = False, keep: tuple[str, ...] = ()) -> str:
+    """(word, stem) for the rows (word) of the SQL table or subquery words, with its columns keep, which no layer may name.
+    Words are in lower case, without apostrophes.
+    """
+    inner, columns = f"SELECT {', '.join(['word', *keep])} FROM {words} AS w0", ["word", *keep]
     for i, layer in enumerate(_layers(duck)):
         new = [c for c in layer if c not in columns]
         parts = [f"{layer[c]} AS {c}" if c in layer else c for c in columns] + [f"{layer[c]} AS {c}" for c in new]
@@ -72,4 +74,4 @@ def stem_sql(words: str, duck: bool = False) -> str:
         inner = f"SELECT {', '.join(parts)} FROM ({inner}) AS l{i}"
         columns += new
     final = f"CASE word {_case(SPECIAL)} ELSE CASE WHEN length(word) <= 2 OR word IN ({_in(KEPT)}) THEN word WHEN kept THEN whole ELSE replace(w, 'Y', 'y') END END"
-    return f"SELECT word, {final} AS stem FROM ({inner}) AS l"
+    return f"SELECT {', '.join(['word', *keep])}, {final} AS stem FROM ({inner}) AS l"

@@ -1,24 +1,30 @@
 """URL filters: host and path rules, and for URLs that no rule fits two character language models.
 
 The models are smoothed variable-order Markov models over the bytes of URLs that rules allow and of URLs that rules block.
-A context of up to ORDER bytes is kept if it holds at least one of CONTEXTS parts of its side's bytes, so the model has a
-bounded size whatever it is counted on: contexts of one length share out the bytes among them, and CONTEXTS of them at most
-can hold so many. All rows with a rule are counted, but for one of HELD_OUT, which calibrate the score.
+Every context of up to ORDER bytes counts, however rare, so models grow with the input: they are tables, and what a byte
+says after the bytes before it (a window) is joined from them, order by order. All rows with a rule are counted, but for
+one of HELD_OUT, which calibrate the score.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, discard, fresh, shared_dir, slices, written
+from .common import SLICE_BYTES, discard, fresh, slices, table_path, written
 
-ORDER, CONTEXTS, LEAST = 5, 1024, 2
+ORDER = 5
+#: Contexts of an order, and bytes a context must hold to count: no limit.
+CONTEXTS, LEAST = math.inf, 1
+#: A window that holds one of so many parts of all bytes is looked up in its task instead of being joined.
+HOT = 4096
+#: A window's log ratio is added up as a whole number of these parts, so sums don't depend on their order.
+UNIT = 1 << 32
 HELD_OUT = 5
 #: Held-out scores are counted by steps of 1 / STEPS, from -RANGE to RANGE.
 STEPS, RANGE = 500, 8.0
@@ -49,117 +55,97 @@ def matched(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return rule, verdict
 
 
-def _codes(data: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
-    """For each byte, itself and the order bytes before it as one number, -1 where a URL has fewer; order is 6 at most."""
-    code, ok = data.astype(np.int64), np.ones(len(data), bool)
-    place = np.arange(len(data)) - starts
-    for j in range(1, order + 1):
-        ok &= place >= j
-        code[j:] += data[:-j].astype(np.int64) << (8 * j)
-    return np.where(ok, code, -1)
-
-
-def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, place of its URL's first byte for each byte, lengths); nulls are empty. A line end closes each URL."""
-    texts = [x.encode() + b"\n" if x is not None else b"\n" for x in col.to_pylist()]
+def _windows(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, window, order bytes before it in its URL, ORDER at most) for each byte, a slice of the bytes at a time. A window
+    is a byte and the ORDER bytes before it, nine bits each, the byte itself lowest; zero where there is none. A line end
+    closes each URL.
+    """
+    texts = [x.encode() + b"\n" for x in col.to_pylist()]
     sizes = np.array([len(x) for x in texts], np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    return np.frombuffer(b"".join(texts), np.uint8), np.repeat(first, sizes), sizes
+    data, begin = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+    step = max(1, SLICE_BYTES // 8)
+    for at in range(0, len(data), step):
+        before, end = min(at, ORDER), min(len(data), at + step)
+        d, row = data[at - before : end].astype(np.int64) + 1, np.searchsorted(begin, np.arange(at, end), side="right") - 1
+        place = np.arange(at, end) - begin[row]
+        code = d[before:].copy()
+        for j in range(1, ORDER + 1):
+            has = place >= j
+            code[has] += d[np.flatnonzero(has) + before - j] << (9 * j)
+        yield row, code, np.minimum(place, ORDER)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, good, bad, n): windows and how often they are in URLs that teach the allowed, the blocked, and in all."""
     for batch in slices(batches, "url"):
-        good = batch.column(batch.schema.get_field_index("good")).to_numpy(zero_copy_only=False)
-        data, starts, sizes = _bytes(batch.column(batch.schema.get_field_index("url")))
-        side = np.repeat(good, sizes)
-        for order in range(ORDER + 1):
-            codes = _codes(data, starts, order)
-            for s in (False, True):
-                code, n = np.unique(codes[(side == s) & (codes >= 0)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), s)), pa.array(np.full(len(code), order, np.int32)), pa.array(code), pa.array(n)], names=["good", "ord", "code", "n"])
-
-
-@dataclass
-class Markov:
-    """Contexts of each order as sorted numbers, with what they hold (bytes, different bytes), and the bytes that follow."""
-
-    contexts: list[np.ndarray]
-    totals: list[np.ndarray]
-    kinds: list[np.ndarray]
-    codes: list[np.ndarray]
-    counts: list[np.ndarray]
-
-    def chances(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Each byte's chance after the bytes before it: Witten-Bell, each order mixed with the one below, lastly 1 / 256."""
-        p = np.full(len(data), 1 / 256)
-        for order in range(ORDER + 1):
-            if not len(self.contexts[order]):
-                break
-            codes = _codes(data, starts, order)
-            ctx = codes >> 8
-            at = np.minimum(np.searchsorted(self.contexts[order], ctx), len(self.contexts[order]) - 1)
-            known = (codes >= 0) & (self.contexts[order][at] == ctx)
-            n = np.minimum(np.searchsorted(self.codes[order], codes), len(self.codes[order]) - 1)
-            seen = np.where(self.codes[order][n] == codes, self.counts[order][n], 0)
-            total, kinds = self.totals[order][at], self.kinds[order][at]
-            p = np.where(known, (seen + kinds * p) / (total + kinds), p)
-        return p
-
-
-def fit(urls: DataFrame) -> tuple[Markov, Markov]:
-    """The models (blocked, allowed) from urls (url, good). n-grams are counted in tasks, summed over all rows, and only those
-    of kept contexts reach the driver: 256 * CONTEXTS * (ORDER + 1) a side at most.
-    """
-    counted = urls.select("url", "good").mapInArrow(_counted, "good boolean, ord int, code long, n long")
-    grams = counted.groupBy("good", "ord", "code").agg(F.sum("n").alias("n"))
-    path = shared_dir(urls.sparkSession)
-    grams = written(grams, path)
-    sizes = {r.good: r.n for r in grams.where("ord = 0").groupBy("good").agg(F.sum("n").alias("n")).collect()}
-    least = F.when(F.col("good"), max(LEAST, sizes.get(True, 0) / CONTEXTS)).otherwise(max(LEAST, sizes.get(False, 0) / CONTEXTS))
-    kept = grams.groupBy("good", "ord", F.shiftright("code", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where((F.col("total") >= least) | (F.col("ord") == 0))
-    rows = grams.withColumn("ctx", F.shiftright("code", 8)).join(kept, ["good", "ord", "ctx"]).select("good", "ord", "ctx", "total", "kinds", "code", "n").toPandas()
-    discard(urls.sparkSession, path)
-    models = []
-    for side in (False, True):
-        parts: list[list[np.ndarray]] = [[] for _ in range(5)]
-        for order in range(ORDER + 1):
-            x = rows[(rows.good == side) & (rows.ord == order)].sort_values("code")
-            c = x.drop_duplicates("ctx").sort_values("ctx")
-            for out, v in zip(parts, (c.ctx, c.total, c.kinds, x.code, x.n)):
-                out.append(v.to_numpy(np.int64))
-        models.append(Markov(*parts))
-    return models[0], models[1]
-
-
-def score(texts: pa.Array, blocked: Markov, allowed: Markov) -> np.ndarray:
-    """Per URL, the mean over its bytes (and its end) of the log of the two chances' ratio; more than 0: likelier allowed."""
-    data, starts, sizes = _bytes(texts)
-    if not len(sizes):
-        return np.zeros(0)
-    ratio = np.zeros(len(data))
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    step, at = max(1, SLICE_BYTES // 8), 0
-    while at < len(data):  # a long URL goes piece by piece, with the bytes before each piece
-        before, end = min(at, ORDER), min(len(data), at + step)
-        d, s = data[at - before : end], np.maximum(starts[at - before : end] - (at - before), -ORDER - 1)
-        ratio[at:end] = (np.log(allowed.chances(d, s)) - np.log(blocked.chances(d, s)))[before:]
-        at = end
-    return np.round(np.add.reduceat(ratio, begin[:-1]) / sizes, 6)
-
+        weights = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("good", "bad", "n")]
+        for row, code, _ in _windows(batch.column(batch.schema.get_field_index("url"))):
+            kinds, at = np.unique(code, return_inverse=True)
+            sums = [np.zeros(len(kinds), np.int64) for _ in weights]
+            for total, w in zip(sums, weights):
+                np.add.at(total, at, w[row])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), *map(pa.array, sums)], names=["code", "good", "bad", "n"])
 
-def _scored(batches: Iterator[pa.RecordBatch], column: str, blocked: Markov, allowed: Markov, name: str) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, column):
-        s = score(batch.column(batch.schema.get_field_index(column)), blocked, allowed)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, name])
 
-
-def scored(df: DataFrame, column: str, models: tuple[Markov, Markov], name: str) -> DataFrame:
-    blocked, allowed = models
-    return df.mapInArrow(lambda batches: _scored(batches, column, blocked, allowed, name), f"{_ddl(df)}, `{name}` double")
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+def _looked_up(batches: Iterator[pa.RecordBatch], codes: np.ndarray, ratios: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(id, code, ratio): a row for each byte whose window is to be joined, and one for each URL's others, put together."""
+    for batch in slices(batches, "url"):
+        ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
+        for row, code, _ in _windows(batch.column(batch.schema.get_field_index("url"))):
+            at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
+            hot = codes[at] == code if len(codes) else np.zeros(len(code), bool)
+            rows = np.unique(row)
+            total = np.zeros(len(rows), np.int64)
+            if hot.any():
+                np.add.at(total, np.searchsorted(rows, row[hot]), ratios[at[hot]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row[~hot]]), pa.array(code[~hot]), pa.array(np.zeros((~hot).sum(), np.int64))], names=["id", "code", "ratio"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(-1 - ids[rows]), pa.array(total)], names=["id", "code", "ratio"])
+
+
+def ratios(windows: DataFrame) -> DataFrame:
+    """(code, n, ratio) of windows (code, good, bad, n): the log of the byte's chance among the allowed over that among the
+    blocked, in UNITs. Witten-Bell: each order is mixed with the one below, lastly 1 / 256. The chances of one order's
+    strings are joined from those with a byte less, so at most 256 rows share a key.
+    """
+    sides = ("good", "bad")
+    chances = None
+    for order in range(ORDER + 1):
+        low = F.lit((1 << (9 * (order + 1))) - 1)
+        here = windows.groupBy(F.col("code").bitwiseAND(low).alias("c")).agg(*[F.sum(s).alias(s) for s in sides]).withColumn("ctx", F.shiftright("c", 9))
+        # a context that a URL's beginning cuts short is none: the order below stands for it
+        whole = (F.col("ctx") >= (1 << (9 * (order - 1)))) if order else F.lit(True)
+        held = here.where(whole).groupBy("ctx").agg(*[F.sum(s).alias(f"{s}_total") for s in sides], *[F.count_if(F.col(s) > 0).alias(f"{s}_kinds") for s in sides])
+        here = here.join(held, "ctx", "left")
+        if chances is None:
+            here = here.withColumns({f"{s}_p": F.lit(1 / 256) for s in sides})
+        else:
+            here = here.withColumn("short", F.col("c").bitwiseAND(F.lit((1 << (9 * order)) - 1))).join(chances, "short")
+        mixed = {s: F.when(F.col(f"{s}_total") > 0, (F.col(s) + F.col(f"{s}_kinds") * F.col(f"{s}_p")) / (F.col(f"{s}_total") + F.col(f"{s}_kinds"))).otherwise(F.col(f"{s}_p")) for s in sides}
+        chances = here.select(F.col("c").alias("short"), *[p.alias(f"{s}_p") for s, p in mixed.items()])
+    ratio = F.round((F.log("good_p") - F.log("bad_p")) * UNIT).cast("long").alias("ratio")
+    return windows.select("code", "n").join(chances.select(F.col("short").alias("code"), ratio), "code")
+
+
+def scores(urls: DataFrame) -> DataFrame:
+    """(id, score) of urls (id, url, n rows, of which good and bad teach): the mean over the URL's bytes (and its end) of the
+    log of the two chances' ratio; more than 0: likelier allowed. 0 for all if one side has no rows to teach it.
+    """
+    taught = urls.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    if not taught.good or not taught.bad:
+        return urls.select("id", F.lit(0.0).alias("score"))
+    spark = urls.sparkSession
+    counted = written(urls.select("url", "good", "bad", "n").mapInArrow(_counted, "code long, good long, bad long, n long").groupBy("code").agg(*[F.sum(c).alias(c) for c in ("good", "bad", "n")]))
+    table = written(ratios(counted))
+    everything = table.agg(F.sum("n").alias("n")).first().n
+    often = F.col("n") >= everything / HOT
+    hot = table.where(often).select("code", "ratio").orderBy("code").toPandas()  # HOT rows at most
+    codes, values = hot.code.to_numpy(np.int64), hot.ratio.to_numpy(np.int64)
+    bytes_ = urls.select("id", "url").mapInArrow(lambda batches: _looked_up(batches, codes, values), "id long, code long, ratio long")
+    joined = bytes_.join(table.where(~often).select("code", F.col("ratio").alias("rare")), "code", "left")
+    sums = joined.groupBy("id").agg(F.sum(F.coalesce("rare", "ratio")).alias("total"))
+    out = written(sums.join(urls.select("id", (F.octet_length("url") + 1).alias("size")), "id").select("id", F.round(F.col("total") / UNIT / F.col("size"), 6).alias("score")))
+    discard(spark, table_path(counted), table_path(table))
+    return out
 
 
 def calibrate(bins: Sequence[tuple[float, int, int]]) -> tuple[float, float]:
@@ -195,17 +181,18 @@ def filtered(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str,
     made = ("host", "path", "rule", "verdict", "score", "p_allow")
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
-    known = pages.select(F.col(url_col).alias("url"), host.alias("host"), path.alias("path")).select("url", verdict.alias("verdict")).where("verdict IS NOT NULL")
-    known = known.select("url", (F.col("verdict") == "allow").alias("good"), (F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0).alias("held"))
-    models = fit(known.where("NOT held"))
-    if not all(len(m.codes[0]) for m in models):
-        none = [np.zeros(0, np.int64)] * (ORDER + 1)
-        models = (Markov(*[none] * 5),) * 2
-    step = F.round(F.greatest(F.lit(-RANGE), F.least(F.lit(RANGE), "_score")) * STEPS) / STEPS
-    bins = scored(known.where("held").select("url", "good"), "url", models, "_score").groupBy(step.alias("s")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
+    teaches = lambda says: F.when((F.col("verdict") == says) & ~F.col("held"), F.col("n")).otherwise(0)
+    every = pages.groupBy(F.coalesce(F.col(url_col), F.lit("")).alias("url")).agg(F.count("*").alias("n"))
+    every = every.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).select("url", "n", verdict.alias("verdict"), held.alias("held"))
+    every = written(every.withColumns({"good": teaches("allow"), "bad": teaches("block"), "id": F.monotonically_increasing_id()}))
+    found = every.join(scores(every), "id")
+    step = F.round(F.greatest(F.lit(-RANGE), F.least(F.lit(RANGE), "score")) * STEPS) / STEPS
+    counts = [F.sum(F.when(F.col("verdict") == says, F.col("n")).otherwise(0)).alias(name) for says, name in (("allow", "good"), ("block", "bad"))]
+    bins = found.where("held AND verdict IS NOT NULL").groupBy(step.alias("s")).agg(*counts)
     a, b = calibrate([(r.s, r.good, r.bad) for r in bins.orderBy("s").collect()])
-    name = fresh(pages, "url_score")
-    rows = scored(pages, url_col, models, name)
+    name, key = fresh(pages, "url_score"), fresh(pages, "url_key")
+    rows = pages.join(found.select(F.col("url").alias(key), F.col("score").alias(name)), F.coalesce(F.col(url_col), F.lit("")) == F.col(key), "left")
     keep = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in made or c == url_col]
     p = 1 / (1 + F.exp(-(F.lit(a) * F.col(f"`{name}`") + F.lit(b))))
     rows = rows.select(*keep, host.alias("host"), path.alias("path"), F.col(f"`{name}`").alias("score"), p.alias("p_allow"))

@@ -105,3 +105,18 @@ def test_calibration():
 def test_few_rows(spark, rows):
     got = urls.filtered(spark.createDataFrame(rows, "page_id long, url string")).collect()
     assert len(got) == len(rows) and all(r.verdict == "allow" for r in got)
+
+
+@pytest.mark.parametrize("hot", [1, 50, 1 << 40])
+def test_rare_contexts_count(spark, monkeypatch, hot):
+    monkeypatch.setattr(urls, "HOT", hot)  # windows are joined, both, or looked up
+    common = [f"http://{a}.{s}/{p}/{i}" for i in range(400) for a, s, p in (("aaa", "org", "x"), ("aaa", "com", "de"))]
+    rare = [f"http://zqzq{i}.org/" for i in range(8)]  # 8 of some 17,000 bytes are after zqzq
+    asked = ["http://zqzq.net/", "http://aaa.net/", "http://other.net/é"]
+    got = {r.url: r for r in urls.filtered(spark.createDataFrame([(u,) for u in common + rare + asked], "url string").repartition(3)).collect()}
+    taught = lambda u: (h - (1 << 64) if (h := xxhash.xxh64_intdigest(u.encode(), seed=42)) >> 63 else h) % urls.HELD_OUT
+    good, bad = Plain([u for u in common + rare if ".org/" in u and taught(u)]), Plain([u for u in common if ".com/" in u and taught(u)])
+    good.least = bad.least = 1
+    for u in asked:
+        a, b = good.log(u), bad.log(u)
+        assert got[u].score == pytest.approx((sum(a) - sum(b)) / len(a), abs=2e-6)
